@@ -1,7 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
 from folioflow.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from folioflow.llm.fingerprints import op7_fingerprints
 from folioflow.llm.packing import op1_packing
+from folioflow.llm.secrets import op4_secrets
 
-QUERIES = {"op1_packing": op1_packing, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_packing": op1_packing, "op4_secrets": op4_secrets, "op7_fingerprints": op7_fingerprints, "op9_exact_dedup": op9_exact_dedup}
 SQL = {"op9_exact_dedup": OP9_SQL}
