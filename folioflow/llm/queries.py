@@ -2,8 +2,19 @@
 
 from folioflow.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from folioflow.llm.fingerprints import op7_fingerprints
+from folioflow.llm.mixing import op8_mixing
 from folioflow.llm.packing import op1_packing
+from folioflow.llm.quality import op3_quality
 from folioflow.llm.secrets import op4_secrets
+from folioflow.llm.sharding import op5_sharding
 
-QUERIES = {"op1_packing": op1_packing, "op4_secrets": op4_secrets, "op7_fingerprints": op7_fingerprints, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_quality": op3_quality,
+    "op4_secrets": op4_secrets,
+    "op5_sharding": op5_sharding,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_mixing": op8_mixing,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 SQL = {"op9_exact_dedup": OP9_SQL}
