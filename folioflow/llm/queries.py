@@ -3,6 +3,7 @@
 from folioflow.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from folioflow.llm.fingerprints import op7_fingerprints
 from folioflow.llm.mixing import op8_mixing
+from folioflow.llm.near_dedup import op10_near_dedup
 from folioflow.llm.packing import op1_packing
 from folioflow.llm.quality import op3_quality
 from folioflow.llm.secrets import op4_secrets
@@ -16,5 +17,6 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 SQL = {"op9_exact_dedup": OP9_SQL}
