@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_ROOT: list[str] = []
 
 
@@ -42,7 +43,12 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        held = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")  # what is written needs its shuffle files no more
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, held)
         if not keep:
             self.gone.append(path)
         return self.spark.read.schema(df.schema).parquet(path)

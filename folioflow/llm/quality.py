@@ -200,13 +200,34 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: fl
     counts, rounded; null labels and null ids teach nothing. A null text is empty, an empty text has a
     score like any other. Repeated rows get a row each; an empty table gives none.
     """
+    model, stats = learn(docs, labels, scratch, id_col, text_col)
+    scored = stats.mapInArrow(partial(scores, model), "doc_id bigint, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model learned from docs' labelled rows, and the written statistics of all of docs."""
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     stats = scratch.save(source.mapInArrow(stats_of, "doc_id bigint, stats array<double>"), "stats", keep=True)
     marks = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg(F.round(F.avg("quality")).cast("int").alias("y"))
     labelled = stats.join(marks, stats["doc_id"] == marks["_id"]).select(F.col("doc_id").alias("key"), "stats", "y")
-    model = fit(docs.sparkSession, scratch.save(labelled, "labelled"))
-    scored = stats.mapInArrow(partial(scores, model), "doc_id bigint, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return fit(docs.sparkSession, scratch.save(labelled, "labelled")), stats
+
+
+def score_of(model: Model, text: Column) -> Column:
+    """A text's score, wherever the row lies: nothing is joined or shuffled."""
+
+    @F.pandas_udf("double")
+    def scored(texts):
+        import pandas as pd
+
+        column = pa.array(texts, pa.string())
+        out = np.zeros(len(column))
+        for row, off, data in text_slices(column):
+            out[row : row + len(off) - 1] = model.score(statistics(data, off))
+        return pd.Series(np.clip(out, 0, 1))
+
+    return scored(text)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

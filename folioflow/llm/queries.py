@@ -8,15 +8,19 @@ from folioflow.llm.packing import op1_packing
 from folioflow.llm.quality import op3_quality
 from folioflow.llm.secrets import op4_secrets
 from folioflow.llm.sharding import op5_sharding
+from folioflow.llm.substring_dedup import op6_substring_dedup
+from folioflow.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op5_sharding": op5_sharding,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
-SQL = {"op9_exact_dedup": OP9_SQL}
+SQL = {"op2_warc": OP2_SQL, "op9_exact_dedup": OP9_SQL}
