@@ -1,21 +1,21 @@
 """MinHash near-dedup by fast similarity sketching, banding and exact verification.
 
-A document is the set of its distinct word shingles. Sketching throws every shingle into one of BINS
+A document is the set of its distinct word shingles. Sketching throws every shingle into one of t
 bins, in rounds with fresh hashes; each bin keeps its least value, a value of an earlier round being
-less than any of a later one, and the rounds go on until every bin is filled. Round BINS + b throws
+less than any of a later one, and the rounds go on until every bin is filled. Round t + b throws
 every shingle into bin b, so each bin fills whatever the set's size. Equal coordinates of two sketches
 occur with a probability of the sets' Jaccard similarity, and concentrate as independent ones do.
 
-Documents with equal sets are one vertex. Vertices that share a band of ROWS coordinates are
-candidates, confirmed on their full sets:
+Documents with equal sets are one vertex. Vertices that share a band of coordinates are candidates,
+confirmed on their full sets. In every round, each band bucket that still holds more than one component
+picks a leader out of its largest one, anew each round, and holds the members of the others against it:
+a round makes no more pairs than buckets have members, and its links join most of a group. When a round
+finds no link (or after ROUNDS), the members outside a bucket's largest component are held against all
+members of other components. Every pair of one bucket is thus either confirmed, refuted or known to be
+connected; none is cut off.
 
-1. in every band bucket each member is held against one leader, whose links join most of a group;
-2. then, wherever a bucket still holds more than one component, all pairs across its components are
-   held against each other, but for those in the bucket's largest component, which are joined already.
-
-Every pair of one bucket is thus either confirmed, refuted or known to be connected; none is cut off.
-A pair with similarity s shares no bucket with a probability of (1 - s**ROWS)**(BINS / ROWS): 2e-8 at
-0.85, 3e-6 at 0.8.
+Bands have as many coordinates as a chance of at most MISS allows that a pair at the threshold shares
+none of the BANDS bands: 7 at a similarity of 0.85, 5 at 0.8.
 """
 
 from __future__ import annotations
@@ -27,7 +27,12 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import Scratch, mix, span_hashes, text_or_empty, text_slices, word_hashes
 
-BINS, ROWS = 96, 4
+BANDS, MISS, ROUNDS = 36, 1e-6, 6
+
+
+def band_rows(percent: int) -> int:
+    """Coordinates a band."""
+    return max([1, *(r for r in range(1, 20) if (1 - (percent / 100) ** r) ** BANDS <= MISS)])
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, words_in: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,30 +54,30 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words_in: int) -> tuple[np.n
     return hashes, np.searchsorted(owner, np.arange(n_docs + 1))
 
 
-def sketches(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A row of BINS values for each set; rows of empty sets stay at the largest value."""
+def sketches(hashes: np.ndarray, start: np.ndarray, bins: int) -> np.ndarray:
+    """A row of `bins` values for each set; rows of empty sets stay at the largest value."""
     n = len(start) - 1
-    out = np.full(n * BINS, np.uint64(2**64 - 1))
+    out = np.full(n * bins, np.uint64(2**64 - 1))
     owner = np.repeat(np.arange(n), np.diff(start))
-    for i in range(2 * BINS):
+    for i in range(2 * bins):
         if not len(hashes):
             break
         h = mix(hashes, 1000 + i)
-        value = (np.uint64(i) << np.uint64(56)) | (h >> np.uint64(8))
-        if i < BINS:
-            at = owner * BINS + (mix(hashes, 5000 + i) % np.uint64(BINS)).astype(np.int64)
+        value = (np.uint64(i) << np.uint64(54)) | (h >> np.uint64(10))
+        if i < bins:
+            at = owner * bins + (mix(hashes, 5000 + i) % np.uint64(bins)).astype(np.int64)
         else:
-            at = owner * BINS + (i - BINS)
+            at = owner * bins + (i - bins)
         np.minimum.at(out, at, value)
-        open_ = (out.reshape(n, BINS) == np.uint64(2**64 - 1)).any(axis=1)[owner]
+        open_ = (out.reshape(n, bins) == np.uint64(2**64 - 1)).any(axis=1)[owner]
         hashes, owner = hashes[open_], owner[open_]
-    return out.reshape(n, BINS)
+    return out.reshape(n, bins)
 
 
 SKETCHED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
 
 
-def sketch_batches(words_in: int):
+def sketch_batches(words_in: int, rows: int):
     """mapInArrow over (doc_id, text): the set's size, a 128-bit digest of it, and its band keys."""
 
     def run(batches):
@@ -86,12 +91,12 @@ def sketch_batches(words_in: int):
                     total = np.zeros(len(hashes) + 1, np.uint64)
                     np.cumsum(mix(hashes, k), out=total[1:])
                     sums.append((total[start[1:]] - total[start[:-1]]).view(np.int64))
-                sk = sketches(hashes, start).reshape(n, BINS // ROWS, ROWS)
-                key = np.zeros((n, BINS // ROWS), np.uint64)
-                for r in range(ROWS):
+                sk = sketches(hashes, start, BANDS * rows).reshape(n, BANDS, rows)
+                key = np.zeros((n, BANDS), np.uint64)
+                for r in range(rows):
                     key = mix(key * np.uint64(31) + sk[:, :, r], 40 + r)
-                key = mix(key + np.arange(BINS // ROWS, dtype=np.uint64), 60)
-                filled = np.where(size > 0, BINS // ROWS, 0)
+                key = mix(key + np.arange(BANDS, dtype=np.uint64), 60)
+                filled = np.where(size > 0, BANDS, 0)
                 flat = key[size > 0].ravel().view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(filled)])
                 bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
@@ -114,7 +119,7 @@ def set_batches(words_in: int):
 
 
 def confirm_batches(percent: int):
-    """mapInArrow over (a, b, set of a, set of b): the pairs with 100 |A and B| >= percent |A or B|."""
+    """mapInArrow over (ra, rb, set of a, set of b): those with 100 |A and B| >= percent |A or B|."""
 
     def run(batches):
         for batch in batches:
@@ -133,7 +138,7 @@ def confirm_batches(percent: int):
                 common = np.bincount(owner[1:][both], minlength=some.num_rows)
                 union = sides[0][2] + sides[1][2] - common
                 ok = pa.array(100 * common >= percent * union)
-                yield pa.RecordBatch.from_arrays([some.column(0).filter(ok), some.column(1).filter(ok)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([some.column(0).filter(ok), some.column(1).filter(ok)], names=["ra", "rb"])
 
     return run
 
@@ -175,44 +180,54 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words_in: int = 5, percent: in
     none.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    base = scratch.save(source.mapInArrow(sketch_batches(words_in), SKETCHED), "sketched", keep=True)
+    base = scratch.save(source.mapInArrow(sketch_batches(words_in, band_rows(percent)), SKETCHED), "sketched", keep=True)
     own = ["n_shingles", "set_a", "set_b"]
     filled = base.filter("n_shingles > 0 and doc_id is not null")
     reps = filled.groupBy(*own).agg(F.min("doc_id").alias("rep"))
     member = scratch.save(filled.select("doc_id", *own).join(reps, own).select("doc_id", "rep", *own).distinct(), "members", keep=True)
     vertex = filled.join(reps, own).filter("doc_id = rep").select("rep", "n_shingles", "bands").dropDuplicates(["rep", "n_shingles", "bands"])
     banded = vertex.select("rep", "n_shingles", F.explode("bands").alias("band"))
-    crowd = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).filter("n > 1")
-    bucket = scratch.save(banded.join(crowd.select("band", "leader"), "band"), "buckets", keep=True)
+    crowd = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    bucket = scratch.save(banded.join(crowd, "band").withColumn("root", F.col("rep")), "buckets", keep=True)
     # sets of all vertices that share a bucket
     needed = bucket.select(F.col("rep").alias("_r")).distinct()
     sets = source.join(needed, source["doc_id"] == needed["_r"], "left_semi").mapInArrow(set_batches(words_in), "doc_id bigint, shingles array<bigint>")
     sets = scratch.save(sets, "sets", keep=True)
+    alike = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")  # others differ too much in size to be linked
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Edges between the components of linked pairs."""
         x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-        full = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb")
-        return scratch.save(full.mapInArrow(confirm_batches(percent), "a bigint, b bigint"), name, keep=True)
-
-    size = bucket.select(F.col("rep").alias("a"), F.col("leader").alias("b")).filter("a <> b").distinct()
-    star = confirmed(size, "star")
-    repeated = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    joined = components(scratch, star, "first")
-    placed = bucket.join(joined, bucket["rep"] == joined["v"], "left").select("band", "rep", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    # per bucket and component its size; the largest component of a bucket needs no pairs within
-    parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "root")).alias("top")).filter("k > 1").select("band", F.col("top.root").alias("top"))
-    mixed = scratch.save(mixed, "mixed", keep=True)
-    all_ = placed.join(mixed, "band")
-    rest = all_.filter("root <> top").select("band", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("root").alias("ra"))
-    other = all_.select("band", F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("root").alias("rb"), "top")
-    across = rest.join(other, "band").filter("ra <> rb and (rb = top or a < b)")
-    across = across.filter(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))  # else too unlike in size to be linked
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(across, "across")
-    links = star.union(more).union(repeated)
-    whole = components(scratch, links, "last")
+        once = pairs.select("a", "b", "ra", "rb").distinct()
+        full = once.join(x, "a").join(y, "b").select("ra", "rb", "sa", "sb")
+        return scratch.save(full.mapInArrow(confirm_batches(percent), "ra bigint, rb bigint").distinct(), name, keep=True)
+
+    def unsettled(rows: DataFrame, name: str) -> DataFrame:
+        """Rows of buckets with more than one component, with the largest one as top."""
+        parts = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
+        several = parts.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "root")).alias("t")).filter("k > 1")
+        return scratch.save(rows.join(several.select("band", F.col("t.root").alias("top")), "band"), name, keep=True)
+
+    edges = member.select(F.col("doc_id").alias("ra"), F.col("rep").alias("rb")).filter("ra <> rb")  # repeated ids may join sets
+    for k in range(ROUNDS):
+        open_ = unsettled(bucket, f"open-{k}")
+        leader = open_.filter("root = top").groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("b"), F.col("n_shingles").alias("nb"))).alias("l"))
+        leader = leader.select("band", "l.b", "l.nb")
+        rest = open_.filter("root <> top").select("band", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("root").alias("ra"), F.col("top").alias("rb"))
+        found = confirmed(rest.join(leader, "band").filter(alike), f"round-{k}")
+        bucket = open_.drop("top")
+        if found.isEmpty():
+            break
+        edges = edges.union(found)
+        joined = components(scratch, found.toDF("a", "b"), f"joined-{k}").select("v", F.col("root").alias("to"))
+        bucket = bucket.join(joined, bucket["root"] == joined["v"], "left").select("rep", "n_shingles", "band", F.coalesce("to", "root").alias("root"))
+    open_ = unsettled(bucket, "open-last")
+    rest = open_.filter("root <> top").select("band", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("root").alias("ra"))
+    other = open_.select("band", F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("root").alias("rb"), "top")
+    across = rest.join(other, (rest["band"] == other["band"]) & (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("top")) | (F.col("a") < F.col("b"))) & alike)
+    edges = edges.union(confirmed(across, "across"))
+    whole = components(scratch, edges.toDF("a", "b"), "last")
     least = base.select("doc_id", "n_shingles").join(whole, base["doc_id"] == whole["v"], "left")
     component = F.coalesce("root", "doc_id")
     return least.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
