@@ -11,8 +11,9 @@ confirmed on their full sets. In every round, each band bucket that still holds
 picks a leader out of its largest one, anew each round, and holds the members of the others against it:
 a round makes no more pairs than buckets have members, and its links join most of a group. When a round
 finds no link (or after ROUNDS), the members outside a bucket's largest component are held against all
-members of other components. Every pair of one bucket is thus either confirmed, refuted or known to be
-connected; none is cut off.
+members of other components, in the first bucket that a pair shares, if their sketches' signatures are
+no further apart than those of linked pairs are. Every pair of one bucket is thus either confirmed, refuted or known to be
+connected; no partner is cut off by a cap.
 
 Bands have as many coordinates as a chance of at most MISS allows that a pair at the threshold shares
 none of the BANDS bands: 7 at a similarity of 0.85, 5 at 0.8.
@@ -20,14 +21,18 @@ none of the BANDS bands: 7 at a similarity of 0.85, 5 at 0.8.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import Scratch, mix, span_hashes, text_or_empty, text_slices, word_hashes
 
-BANDS, MISS, ROUNDS = 36, 1e-6, 6
+BANDS, MISS, ROUNDS = 36, 1e-6, 3
+#: Bits of each sketch coordinate in a signature, and standard deviations that it may be off.
+BITS, OFF = 4, 5.0
 
 
 def band_rows(percent: int) -> int:
@@ -74,11 +79,29 @@ def sketches(hashes: np.ndarray, start: np.ndarray, bins: int) -> np.ndarray:
     return out.reshape(n, bins)
 
 
-SKETCHED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
+def signature(sketch: np.ndarray) -> np.ndarray:
+    """BITS bits of each coordinate, packed into 64-bit numbers."""
+    n, t = sketch.shape
+    per = 64 // BITS
+    few = np.zeros((n, -(-t // per) * per), np.uint64)
+    few[:, :t] = mix(sketch, 80) & np.uint64(2**BITS - 1)
+    return (few.reshape(n, -1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
+
+
+def most_bits(percent: int) -> int:
+    """Signatures of a pair at the threshold differ in fewer bits, but for OFF standard deviations.
+
+    Of t coordinates a share of p = 1 - similarity differ, each in BITS / 2 bits on average.
+    """
+    t, p = BANDS * band_rows(percent), 1 - percent / 100
+    return int(t * p * BITS / 2 + OFF * math.sqrt(t * (p * BITS / 4 + p * (1 - p) * BITS**2 / 4)))
+
+
+SKETCHED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sig array<bigint>"
 
 
 def sketch_batches(words_in: int, rows: int):
-    """mapInArrow over (doc_id, text): the set's size, a 128-bit digest of it, and its band keys."""
+    """mapInArrow over (doc_id, text): the set's size, a 128-bit digest of it, and its band keys and signature."""
 
     def run(batches):
         for batch in batches:
@@ -91,7 +114,10 @@ def sketch_batches(words_in: int, rows: int):
                     total = np.zeros(len(hashes) + 1, np.uint64)
                     np.cumsum(mix(hashes, k), out=total[1:])
                     sums.append((total[start[1:]] - total[start[:-1]]).view(np.int64))
-                sk = sketches(hashes, start, BANDS * rows).reshape(n, BANDS, rows)
+                sk = sketches(hashes, start, BANDS * rows)
+                sig = signature(sk)
+                sig = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * sig.shape[1], pa.int32()), pa.array(sig.ravel().view(np.int64)))
+                sk = sk.reshape(n, BANDS, rows)
                 key = np.zeros((n, BANDS), np.uint64)
                 for r in range(rows):
                     key = mix(key * np.uint64(31) + sk[:, :, r], 40 + r)
@@ -100,7 +126,7 @@ def sketch_batches(words_in: int, rows: int):
                 flat = key[size > 0].ravel().view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(filled)])
                 bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(size, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), bands], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(size, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), bands, sig], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"])
 
     return run
 
@@ -223,9 +249,15 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words_in: int = 5, percent: in
         joined = components(scratch, found.toDF("a", "b"), f"joined-{k}").select("v", F.col("root").alias("to"))
         bucket = bucket.join(joined, bucket["root"] == joined["v"], "left").select("rep", "n_shingles", "band", F.coalesce("to", "root").alias("root"))
     open_ = unsettled(bucket, "open-last")
-    rest = open_.filter("root <> top").select("band", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("root").alias("ra"))
-    other = open_.select("band", F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("root").alias("rb"), "top")
-    across = rest.join(other, (rest["band"] == other["band"]) & (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("top")) | (F.col("a") < F.col("b"))) & alike)
+    more = filled.select(F.col("doc_id").alias("_v"), "bands", *[F.col("sig")[i].alias(f"s{i}") for i in range(-(-BANDS * band_rows(percent) * BITS // 64))])
+    known = open_.join(more, open_["rep"] == more["_v"]).drop("_v").dropDuplicates(["band", "rep"])
+    known = scratch.save(known, "known")
+    x, y = known.filter("root <> top").alias("x"), known.alias("y")
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in known.columns if c[0] == "s"), F.lit(0))
+    near_enough = (apart <= most_bits(percent)) & F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")
+    first_shared = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
+    differ = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.top")) | (F.col("x.rep") < F.col("y.rep")))
+    across = x.join(y, (F.col("x.band") == F.col("y.band")) & differ & near_enough & first_shared).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
     edges = edges.union(confirmed(across, "across"))
     whole = components(scratch, edges.toDF("a", "b"), "last")
     least = base.select("doc_id", "n_shingles").join(whole, base["doc_id"] == whole["v"], "left")
