@@ -1,6 +1,6 @@
 """Imports every module of queries; QUERIES and SQL then hold them all."""
 
-from folioflow.plans import aggregates, graph, memory, relational, retrieval, text, windows  # noqa: F401
+from folioflow.plans import aggregates, graph, memory, relational, report, retrieval, text, windows  # noqa: F401
 from folioflow.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
