@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import Scratch, mix, span_hashes, text_or_empty, text_slices, word_hashes
 
 BANDS, MISS, ROUNDS = 36, 1e-6, 3
-#: Bits of each sketch coordinate in a signature, and standard deviations that it may be off.
-BITS, OFF = 4, 5.0
+#: A signature's coordinates, the bits kept of each, and the standard deviations that it may be off.
+SIGNED, BITS, OFF = 2048, 2, 5.0
 
 
 def band_rows(percent: int) -> int:
@@ -68,9 +68,9 @@ def sketches(hashes: np.ndarray, start: np.ndarray, bins: int) -> np.ndarray:
         if not len(hashes):
             break
         h = mix(hashes, 1000 + i)
-        value = (np.uint64(i) << np.uint64(54)) | (h >> np.uint64(10))
+        value = (np.uint64(i) << np.uint64(50)) | (h >> np.uint64(14))
         if i < bins:
-            at = owner * bins + (mix(hashes, 5000 + i) % np.uint64(bins)).astype(np.int64)
+            at = owner * bins + (mix(hashes, 9000 + i) % np.uint64(bins)).astype(np.int64)
         else:
             at = owner * bins + (i - bins)
         np.minimum.at(out, at, value)
@@ -91,17 +91,17 @@ def signature(sketch: np.ndarray) -> np.ndarray:
 def most_bits(percent: int) -> int:
     """Signatures of a pair at the threshold differ in fewer bits, but for OFF standard deviations.
 
-    Of t coordinates a share of p = 1 - similarity differ, each in BITS / 2 bits on average.
+    Of its coordinates a share of p = 1 - similarity differ, each in BITS / 2 bits on average.
     """
-    t, p = BANDS * band_rows(percent), 1 - percent / 100
+    t, p = SIGNED, 1 - percent / 100
     return int(t * p * BITS / 2 + OFF * math.sqrt(t * (p * BITS / 4 + p * (1 - p) * BITS**2 / 4)))
 
 
-SKETCHED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sig array<bigint>"
+SKETCHED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
 
 
 def sketch_batches(words_in: int, rows: int):
-    """mapInArrow over (doc_id, text): the set's size, a 128-bit digest of it, and its band keys and signature."""
+    """mapInArrow over (doc_id, text): the set's size, a 128-bit digest of it, and its band keys."""
 
     def run(batches):
         for batch in batches:
@@ -114,10 +114,7 @@ def sketch_batches(words_in: int, rows: int):
                     total = np.zeros(len(hashes) + 1, np.uint64)
                     np.cumsum(mix(hashes, k), out=total[1:])
                     sums.append((total[start[1:]] - total[start[:-1]]).view(np.int64))
-                sk = sketches(hashes, start, BANDS * rows)
-                sig = signature(sk)
-                sig = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * sig.shape[1], pa.int32()), pa.array(sig.ravel().view(np.int64)))
-                sk = sk.reshape(n, BANDS, rows)
+                sk = sketches(hashes, start, BANDS * rows).reshape(n, BANDS, rows)
                 key = np.zeros((n, BANDS), np.uint64)
                 for r in range(rows):
                     key = mix(key * np.uint64(31) + sk[:, :, r], 40 + r)
@@ -126,7 +123,7 @@ def sketch_batches(words_in: int, rows: int):
                 flat = key[size > 0].ravel().view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(filled)])
                 bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(size, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), bands, sig], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(size, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), bands], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     return run
 
@@ -144,6 +141,16 @@ def set_batches(words_in: int):
     return run
 
 
+def signature_batches(batches):
+    """mapInArrow over (doc_id, shingles): the signature of each set's sketch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            start = np.asarray(some.column(1).offsets)
+            sig = signature(sketches(np.asarray(some.column(1).flatten()).view(np.uint64), start - start[0], SIGNED))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * sig.shape[1], pa.int32()), pa.array(sig.ravel().view(np.int64)))], names=["v", "sig"])
+
+
 def confirm_batches(percent: int):
     """mapInArrow over (ra, rb, set of a, set of b): those with 100 |A and B| >= percent |A or B|."""
 
@@ -249,8 +256,11 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words_in: int = 5, percent: in
         joined = components(scratch, found.toDF("a", "b"), f"joined-{k}").select("v", F.col("root").alias("to"))
         bucket = bucket.join(joined, bucket["root"] == joined["v"], "left").select("rep", "n_shingles", "band", F.coalesce("to", "root").alias("root"))
     open_ = unsettled(bucket, "open-last")
-    more = filled.select(F.col("doc_id").alias("_v"), "bands", *[F.col("sig")[i].alias(f"s{i}") for i in range(-(-BANDS * band_rows(percent) * BITS // 64))])
-    known = open_.join(more, open_["rep"] == more["_v"]).drop("_v").dropDuplicates(["band", "rep"])
+    some = open_.select(F.col("rep").alias("_v")).distinct()
+    signed = sets.join(some, sets["doc_id"] == some["_v"], "left_semi").select("doc_id", "shingles").mapInArrow(signature_batches, "v bigint, sig array<bigint>")
+    signed = scratch.save(signed, "signed").select("v", *[F.col("sig")[i].alias(f"s{i}") for i in range(SIGNED * BITS // 64)])
+    more = filled.select(F.col("doc_id").alias("_v"), "bands")
+    known = open_.join(more, open_["rep"] == more["_v"]).drop("_v").dropDuplicates(["band", "rep"]).join(signed, F.col("rep") == F.col("v")).drop("v")
     known = scratch.save(known, "known")
     x, y = known.filter("root <> top").alias("x"), known.alias("y")
     apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in known.columns if c[0] == "s"), F.lit(0))
