@@ -129,3 +129,17 @@ def q5(t):
 def q21(t):
     last = R.first_per(t.conversations, ["conv_id"], [F.desc("turn")], 4)
     return last.groupBy("conv_id").agg(R.keep_in_order(F.col("turn"), F.concat(F.col("role"), F.lit(": "), F.substring("text", 1, 50)), "\n").alias("memory"))
+
+
+@query("vec3_hash_embedding")
+def vec3(t):
+    from folioflow.functions.embedding import hash_embedding
+
+    return t.documents.select("doc_id", hash_embedding(F.col("text"), 64).alias("embedding"))
+
+
+@query("vec4_separation")
+def vec4(t):
+    from folioflow.functions.embedding import separate
+
+    return t.embeddings.select("vec_id", separate(F.col("embedding"), 128).alias("separated"))
