@@ -33,6 +33,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.gone = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", []
+        self.saved = 0
 
     def __enter__(self) -> Scratch:
         return self
@@ -42,7 +43,8 @@ class Scratch:
             self.drop(path)
 
     def save(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-        path = f"{self.path}/{name}"
+        self.saved += 1
+        path = f"{self.path}/{self.saved}-{name}"
         held = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")  # what is written needs its shuffle files no more
         try:
