@@ -55,6 +55,12 @@ class Scratch:
             self.gone.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self, df: DataFrame) -> None:
+        """Drop a saved table before the block ends: nothing reads it any more."""
+        for path in [p for p in self.gone if any(p.split(":")[-1].lstrip("/") in f for f in df.inputFiles()[:1])]:
+            self.drop(path)
+            self.gone.remove(path)
+
     def drop(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -13,7 +13,7 @@ equal anchors, so:
 1. names of anchors are counted over the corpus; a window may repeat only if its anchor's name does;
 2. long segments, cut where a symbol's hash says so, are compared: inside a segment that stands
    earlier too, every window repeats;
-3. the other windows with a shared anchor are compared by a 128-bit hash of their words, and each
+3. the other windows with a shared anchor are compared by a 96-bit hash of their words, and each
    that isn't the first of its kind marks its words.
 """
 
@@ -184,7 +184,7 @@ def scan_batches(window: int):
     return run
 
 
-WINDOWS = "doc_id bigint, th bigint, covered array<bigint>, h1 array<bigint>, h2 array<bigint>, pos array<bigint>"
+WINDOWS = "doc_id bigint, th bigint, covered array<bigint>, h1 array<bigint>, h2 array<int>, pos array<int>"
 
 
 def window_batches(window: int):
@@ -219,26 +219,26 @@ def window_batches(window: int):
                 shared = np.isin(fold(key, owner), fold(pairs[0], pairs[1])) & ~inside
                 p = starts[shared]
                 h1 = span_hashes(words, p, p + window).view(np.int64)
-                h2 = span_hashes(other, p, p + window, 1).view(np.int64)
+                h2 = span_hashes(other, p, p + window, 1).view(np.int64).astype(np.int32)  # 96 bits in all
                 c = starts[inside]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, n), batch.column(1).slice(row, n), lists(c - first[owner[inside]], owner[inside], n), lists(h1, owner[shared], n), lists(h2, owner[shared], n), lists(p - first[owner[shared]], owner[shared], n)],
+                    [batch.column(0).slice(row, n), batch.column(1).slice(row, n), lists(c - first[owner[inside]], owner[inside], n), lists(h1, owner[shared], n), lists(h2, owner[shared], n), lists((p - first[owner[shared]]).astype(np.int32), owner[shared], n)],
                     names=["doc_id", "th", "covered", "h1", "h2", "pos"],
                 )
 
     return run
 
 
-REMOVED = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
+REMOVED = "doc_id bigint, th bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
 
 
 def remove_batches(window: int):
-    """mapInArrow over (doc_id, text, starts of repeated windows)."""
+    """mapInArrow over (doc_id, th, text, starts of repeated windows)."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text, starts in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            for doc, th, text, starts in zip(*batch.columns, strict=True):
                 words = text.as_py().encode().split()  # of bytes: parts at the six ASCII spaces
                 gone = np.zeros(len(words) + 1, np.int64)
                 p = np.asarray(starts.values)
@@ -246,10 +246,10 @@ def remove_batches(window: int):
                 np.add.at(gone, p + window, -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                rows.append((doc.as_py(), len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((doc.as_py(), th.as_py(), len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "th", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -267,7 +267,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 20, id_col:
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST)).alias("doc_id"), text_or_empty(text_col).alias("text"))
     source = source.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    scanned = scratch.save(source.mapInArrow(scan_batches(window), SCANNED), "scanned", keep=True)
+    scanned = scratch.save(source.mapInArrow(scan_batches(window), SCANNED), "scanned")
+    base = scratch.save(scanned.select("doc_id", "th", "n_words", "sha"), "base", keep=True)
     unique = scanned.agg((F.count(F.lit(1)) == F.count_distinct("doc_id")).alias("u")).first()["u"]
     row = ["doc_id"] if unique else ["doc_id", "th"]  # repeated ids: tell rows apart by their text
     anchors = scanned.select(*row, F.explode("keys").alias("key"))
@@ -278,7 +279,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 20, id_col:
     again = seg.join(firsts, "hash").filter("doc_id <> fd or start <> fs").groupBy(*row).agg(F.collect_set("start").alias("segs"))
     again = scratch.save(again, "segments")
     both = mine.join(again, row, "left").select(*row, "keys", F.coalesce("segs", F.array().cast("array<bigint>")).alias("segs"))
-    near = scratch.save(source.join(both, row), "near", keep=True)
+    near = scratch.save(source.join(both, row), "near")
+    scratch.forget(scanned)
     found = scratch.save(near.select("doc_id", "th", "text", "keys", "segs").mapInArrow(window_batches(window), WINDOWS), "windows")
     one = found.select(*row, F.explode(F.arrays_zip("h1", "h2", "pos")).alias("w")).select(*row, "w.h1", "w.h2", "w.pos")
     first = one.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("f.doc_id").alias("fd"), F.col("f.pos").alias("fp"))
@@ -286,12 +288,11 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 20, id_col:
     marks = scratch.save(marks, "marks")
     covered = found.filter(F.size("covered") > 0).select(*row, "covered")
     starts = marks.join(covered, row, "full").select(*row, F.concat(F.coalesce("marks", F.array().cast("array<bigint>")), F.coalesce("covered", F.array().cast("array<bigint>"))).alias("starts"))
-    losing = scratch.save(near.join(starts, row).select("doc_id", *([] if unique else ["th"]), "text", "starts"), "losing")
-    removed = losing.select("doc_id", "text", "starts").mapInArrow(remove_batches(window), REMOVED)
+    removed = near.join(starts, row).select("doc_id", near["th"], "text", "starts").mapInArrow(remove_batches(window), REMOVED)
     removed = scratch.save(removed, "removed", keep=True)
-    lost = scratch.save(losing.select(*row).distinct(), "lost", keep=True)
+    lost = removed.select(*row).distinct()
     own = F.when(F.col("doc_id") != LOWEST, F.col("doc_id")).alias("doc_id")
-    rest = scanned.join(lost, row, "left_anti").select(own, "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    rest = base.join(lost, row, "left_anti").select(own, "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     removed = removed.select(own, "n_words", "n_removed", "kept_sha256", "kept_text")
     return rest.unionByName(removed.drop("kept_text")), removed
 
