@@ -45,12 +45,12 @@ def relation_strength(citations: DataFrame, shared: DataFrame) -> DataFrame:
     return c.join(s, ["a", "b"], "full").select("a", "b", strength.alias("strength"))
 
 
-def completeness(nodes: DataFrame) -> DataFrame:
+def completeness(nodes: DataFrame, *more: Column) -> DataFrame:
     """One row: how complete the concepts' teaching is, and the essential types without any."""
     n = {k: F.count_if(F.col("kind") == k) for k in ESSENTIAL}
     score = sum((F.least(F.lit(1.0), n[k] / 2.0) * w for k, w in ESSENTIAL.items()), F.lit(0.0))
     missing = F.array_join(F.array_compact(F.array(*[F.when(n[k] == 0, k) for k in ESSENTIAL])), ",")
-    return nodes.agg(F.count(F.lit(1)).alias("total"), F.round(score, 6).alias("completeness"), missing.alias("missing"))
+    return nodes.agg(F.count(F.lit(1)).alias("total"), F.round(score, 6).alias("completeness"), missing.alias("missing"), *more)
 
 
 def ancestors(parents: DataFrame, most: int = 12) -> DataFrame:

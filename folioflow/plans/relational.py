@@ -318,8 +318,8 @@ def ups10(t):
 
 @query("ups11_retention", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def ups11(t):
-    end = t.events.agg(F.max("ts").alias("end"))
-    return t.events.join(F.broadcast(end), F.col("ts") >= F.col("end") - F.expr("INTERVAL 7 DAY")).select("event_id")
+    end = t.events.agg(F.max("ts")).first()[0]
+    return t.events.filter(F.col("ts") >= F.lit(end).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAY")).select("event_id")
 
 
 @query("srt1_top_k", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
