@@ -63,15 +63,17 @@ def sparse_scores(rows: DataFrame, query: str, content: str = "content") -> Data
     return tokens.filter("_n > 0").withColumn("sparse_score", score).drop("_t", "_n")
 
 
-def fuse(dense: DataFrame, sparse: DataFrame, k: int, id_col: str = "id") -> DataFrame:
-    """Sum of 1 / (60 + rank) over both rankings; the k best.
+def fuse(dense: DataFrame, sparse: DataFrame, k: int, id_col: str = "id", weights: DataFrame | None = None) -> DataFrame:
+    """Sum of 1 / (60 + rank) over both rankings, times the row's weight if given; the k best.
 
-    dense has (id, dense_score), sparse (id, sparse_score); either may lack an id.
+    dense has (id, dense_score), sparse (id, sparse_score), weights (id, weight); the first two may lack an id.
     """
     d = global_rank(dense.select(id_col, "dense_score"), "dense_score", id_col, "dense_rank")
     s = global_rank(sparse.select(id_col, "sparse_score"), "sparse_score", id_col, "sparse_rank")
     part = lambda c: F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0))
     both = d.join(s, id_col, "full").withColumn("rrf_score", part("dense_rank") + part("sparse_rank"))
+    if weights is not None:
+        both = both.join(weights, id_col, "left").withColumn("rrf_score", F.col("rrf_score") * F.coalesce("weight", F.lit(1.0)))
     return both.orderBy(F.desc("rrf_score"), id_col).limit(k).select(id_col, "rrf_score")
 
 
@@ -91,9 +93,9 @@ def hybrid_search(rows: DataFrame, query: str, query_vector: list[float], k: int
     """rows (id, document_id, content, embedding) to the k best (id, document_id, rrf_score, rank)."""
     dense = dense_scores(rows.select("id", "embedding"), query_vector)
     sparse = sparse_scores(rows.select("id", "content"), query)
-    fused = fuse(dense, sparse, max(4 * k, 24))
-    ranked = fused.join(rows.select("id", "document_id", "content"), "id")
-    weight = F.when(X.chunk_class(F.col("content"), F.lit("")) == "filler", TYPE_WEIGHT["filler"]).otherwise(1.0)
-    ranked = ranked.withColumn("rrf_score", F.col("rrf_score") * weight)
+    kind = X.chunk_class(F.col("content"), F.lit(""))
+    weight = F.create_map(*[F.lit(x) for pair in TYPE_WEIGHT.items() for x in pair])[kind]
+    fused = fuse(dense, sparse, max(4 * k, 24), weights=rows.select("id", weight.alias("weight")))
+    ranked = fused.join(rows.select("id", "document_id"), "id")
     ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rrf_score"), "id")))  # at most max(4k, 24) rows
     return rebalance(ranked, k, "document_id").select("id", "document_id", "rrf_score", "rank")

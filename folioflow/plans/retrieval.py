@@ -80,9 +80,17 @@ def win2(t):
     return S.rebalance(ranked, 8, "source").select("doc_id")
 
 
-@query("q1_hybrid_search")
+FILLER = r"""(len(list_filter(['copyright', 'all rights reserved', 'isbn', 'publisher'], lambda w: contains(substr(lower(content), 1, 200), w))) >= 2
+ OR (length(regexp_replace(content, '^\s+|\s+$', '', 'g')) < 60 AND NOT regexp_matches(content, '(?i)(^|[^a-z])(example|exercise|problem) *[0-9]*')))"""
+HYBRID = FUSED.replace("coalesce(1.0 / (60 + s.r), 0) AS score FROM d FULL JOIN s ON d.id = s.id", "coalesce(1.0 / (60 + s.r), 0) AS raw FROM d FULL JOIN s ON d.id = s.id").replace(
+    "\nf AS (SELECT", "\ng AS (SELECT").replace(" ORDER BY score DESC, 1 LIMIT 32)", f"), f AS (SELECT g.id, document_id, raw * CASE WHEN {FILLER} THEN 0.4 ELSE 1.0 END AS score FROM g JOIN {ROWS} r ON g.id = r.id ORDER BY score DESC, g.id LIMIT 32)") + """,
+k AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY rank) AS i FROM k)
+SELECT id, document_id, round(score, 9) AS rrf_score, rank FROM n ORDER BY CASE WHEN i = 1 THEN 1 WHEN i <= 5 THEN 2 ELSE 3 END, rank LIMIT 8"""
+
+
+@query("q1_hybrid_search", HYBRID)
 def q1(t):
-    return S.hybrid_search(corpus(t), QUERY, query_vector(t))
+    return S.hybrid_search(corpus(t), QUERY, query_vector(t)).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
 @query("q2_qa_focus", "SELECT conv_id, turn, round(1.0 / (60 + turn) + CASE WHEN role = 'assistant' THEN 0.18 ELSE 0.08 END + CASE WHEN n >= 2 THEN 0.16 ELSE 0 END, 9) AS score FROM (SELECT *, count(DISTINCT role) OVER (PARTITION BY conv_id) AS n FROM conversations) ORDER BY score DESC, conv_id, turn LIMIT 30")
