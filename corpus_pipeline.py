@@ -2,19 +2,20 @@
 
 Every stage takes what the one before kept, written as Parquet and read again. A document leaves if the
 classifier rejects it (its score is under 0.7), if an equal text with a larger doc_id stays, or if it is
-linked to a document with a smaller doc_id. Mixing orders the rest by the mix; packing takes all.
+linked to a document with a smaller doc_id. Mixing writes the rest in the order of the mix; packing takes all
+in the order of the files' rows, so that sequences follow the mix.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import Scratch, text_or_empty
 from folioflow.llm.exact_dedup import exact_dedup
 from folioflow.llm.mixing import mix
 from folioflow.llm.near_dedup import near_dedup
-from folioflow.llm.packing import digest, pack
+from folioflow.llm.packing import digest, pack_in_order
 from folioflow.llm.quality import learn, score_of
 
 
@@ -36,15 +37,26 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """docs, as read from files, with _row: a number of its own for each row, by the files' names, then their rows."""
+    rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    sizes = rows.groupBy("_file").agg((F.max("_at") + 1).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    first = sizes.select(F.col("_file").alias("_f"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return rows.join(F.broadcast(first), F.col("_file") == F.col("_f")).select(*docs.columns, (F.col("_first") + F.col("_at")).alias("_row"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    order = mix(docs.select("doc_id", "source")).select(F.col("doc_id").alias("_id"), "position")
-    return docs.join(order, docs["doc_id"].eqNullSafe(order["_id"])).repartitionByRange("position").sortWithinPartitions("position").select(docs.columns)
+    rows = in_file_order(docs)
+    # joined by the row's number: ids may repeat or be null
+    order = mix(rows.select("doc_id", "source", "_row")).select(F.col("_row").alias("_of"), "position")
+    return rows.join(order, F.col("_row") == F.col("_of")).repartitionByRange("position").sortWithinPartitions("position").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digest(pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return digest(pack_in_order(in_file_order(docs), "_row", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixing", mixed), ("packing", packed)]

@@ -220,6 +220,69 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, i
         return packed.unionByName(full)
 
 
+PLACED = "stretch bigint, doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence bigint, offset bigint, padding bigint"
+
+
+def packed_stretch(ranks_path: str, pattern: str, capacity: int, rows_at_once: int = 400):
+    """An applyInArrow function over a stretch's rows (stretch, row, doc_id, text): its pieces, placed.
+
+    Pieces of a length take their places in the order of rows, and sequences are numbered from 0 by
+    their first piece in that order.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        bpe, end = tokenizer(ranks_path, pattern), np.array([END], "<u4").tobytes()
+        table = table.sort_by("row")
+        pieces = []
+        for at in range(0, table.num_rows, rows_at_once):
+            some = table.slice(at, rows_at_once)
+            for doc, raw in zip(some.column("doc_id").to_pylist(), bpe.encode(some.column("text").to_pylist()), strict=True):
+                raw += end
+                pieces += [(doc, start, min(capacity, len(raw) // 4 - start), raw[4 * start : 4 * (start + capacity)], len(raw) // 4) for start in range(0, len(raw) // 4, capacity)]
+        size = np.array([p[2] for p in pieces], np.int64)
+        lengths, counts = np.unique(size[size < capacity], return_counts=True)
+        plan = plan_windows(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), capacity)
+        n = sum(times for _, times in plan)
+        sequence, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        at = {s: np.flatnonzero(size == s) for s in lengths.tolist()}
+        for s, first, stop, seq, each, off in places(plan):
+            nth = np.arange(stop - first)
+            sequence[at[s][first:stop]] = seq + nth // each
+            offset[at[s][first:stop]] = off + nth % each * s
+        whole = np.flatnonzero(size == capacity)
+        sequence[whole] = n + np.arange(len(whole))
+        filled = np.bincount(sequence, size, n + len(whole)).astype(np.int64)
+        padding = np.where(filled & (filled - 1) == 0, 0, capacity - filled)[sequence]
+        _, head = np.unique(sequence, return_index=True)
+        number = np.empty(len(head), np.int64)
+        number[np.argsort(head)] = np.arange(len(head))
+        doc, start, length, ids, tokens = zip(*pieces, strict=True)
+        stretch = np.full(len(size), table.column("stretch")[0].as_py(), np.int64)
+        cols = [pa.array(stretch), *[pa.array(c, pa.int64()) for c in (doc, start, length)], pa.array(ids, pa.binary()), pa.array(tokens, pa.int64()), pa.array(number[sequence]), pa.array(offset), pa.array(padding)]
+        return pa.Table.from_arrays(cols, names=["stretch", "doc_id", "start", "length", "ids", "doc_tokens", "sequence", "offset", "padding"])
+
+    return run
+
+
+def pack_in_order(docs: DataFrame, row_col: str, ranks_path: str, pattern: str, capacity: int = 1024, rows_in_stretch: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """pack(), with sequences that follow the order of docs' rows by the number row_col, which must be unique.
+
+    Documents whose numbers fall into the same rows_in_stretch of them are a stretch: packed by one
+    task, among themselves, and numbered after the stretches before.
+    """
+    spark = docs.sparkSession
+    with Scratch(spark, "packing") as scratch:
+        stretch = F.floor(F.col(row_col) / rows_in_stretch).cast("bigint").alias("stretch")
+        source = docs.select(stretch, F.col(row_col).cast("bigint").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
+        cut = scratch.save(source.groupBy("stretch").applyInArrow(packed_stretch(ranks_path, pattern, capacity), PLACED), "pieces", keep=True)
+        sizes = cut.groupBy("stretch").agg((F.max("sequence") + 1).alias("n"))
+        before = Window.partitionBy(F.lit(0)).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
+        first = sizes.select(F.col("stretch").alias("_s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+        first = scratch.save(first, "first", keep=True)
+        joined = cut.join(F.broadcast(first), F.col("stretch") == F.col("_s"))
+        return joined.select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("_first") + F.col("sequence")).alias("sequence_id"), "offset", "padding")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

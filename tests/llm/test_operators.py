@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 
@@ -415,3 +416,33 @@ def test_pipeline_stages_follow_the_plain_versions(spark):
             assert out.columns == docs.columns
         docs = out
     assert rows_of(pipeline.run(spark, SF), "doc_id", "start", "length", "ids_crc32") == rows_of(docs, "doc_id", "start", "length", "ids_crc32")
+
+
+def test_sequences_follow_the_mix_whatever_the_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    # sources stand one after the other in the files; a third of the ids are null, a third are the same
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * (1 + i % 90), "en", "a" if i < 4000 else "b" if i < 5000 else "c", i) for i in range(5250)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    pipeline.mixed(spark, docs, SF).write.parquet(f"{tmp_path}/mixed")
+    after = spark.read.parquet(f"{tmp_path}/mixed")
+    assert sorted(r["n_chars"] for r in after.collect()) == list(range(5250))
+
+    def first_stretches(df):
+        """Of the sequences that hold the first 512 and 1024 documents: their texts by source."""
+        named = pipeline.in_file_order(df).withColumn("doc_id", F.col("n_chars"))
+        got = packing.pack_in_order(named, "_row", P.path("byte_bpe_50k.tiktoken"), P.PATTERN, rows_in_stretch=512).toPandas()
+        assert sorted(set(got.doc_id)) == list(range(5250)) and not got.duplicated(["doc_id", "start"]).any()
+        check_places(got)
+        order = got.groupby("doc_id").sequence_id.min().sort_values(kind="stable").index
+        return [Counter(rows[i][3] for i in order[:n]) for n in (512, 1024)]
+
+    def check_places(got):
+        for _, p in got.sort_values("offset").groupby("sequence_id"):
+            assert list(p.offset) == [0, *p.length.cumsum()[:-1]] and p.length.sum() <= 1024
+        assert set(got.sequence_id) == set(range(got.sequence_id.nunique()))
+
+    weight = {s: n**0.5 for s, n in (("a", 4000), ("b", 1000), ("c", 250))}
+    off = lambda had: max(abs(had[s] - w / sum(weight.values()) * sum(had.values())) for s, w in weight.items())
+    assert max(map(off, first_stretches(after))) < 64
+    assert max(map(off, first_stretches(docs))) > 200  # without the stage
