@@ -2,74 +2,79 @@
 
 A source's rows are cut into blocks. Block j of a source with weight w has release time floor(j / w)
 and deadline ceil((j + 1) / w); at each slot the released block with the earliest deadline is placed,
-so after any number t of slots a source has had w t blocks, off by less than one. With weights in
-whole parts of PERIOD the schedule repeats, so the driver plans one period; every block's slot then
-follows from its number. When a source runs dry, the rest share the slots by their own weights in
-turn: no row is dropped, and there are at most as many such phases as sources.
+so after any number t of slots a source has had w t blocks, off by less than one. Weights are ratios of
+whole numbers, taken exactly. The driver plans slots until a source runs dry, or one period of the
+schedule if it repeats before (.6, .3 and .1 do every 10 slots); every block's slot then follows from
+its number. When a source runs dry, the rest share the slots by their own weights in turn: no row is
+dropped, and there are at most as many such phases as sources.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import Scratch, numbered
 
-PERIOD = 1000
 
+def parts(weights: dict[str, float]) -> dict[str, int]:
+    """The least whole numbers in the very ratio of the weights (as decimals); their sum is the period.
 
-def parts(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole parts of the period, at least 1 each, nearest to the weights (largest remainder)."""
-    period = max(period, 4 * len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+    Sources of weight 0 have no part beside others: they wait until only such sources are left.
+    """
+    exact = {s: Fraction(repr(float(w))) for s, w in weights.items() if w > 0} or dict.fromkeys(weights, Fraction(1))
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * unit) for s, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: n // common for s, n in whole.items()}
 
 
-def pfair(shares: dict[str, int]) -> list[str]:
-    """One period: the source of each slot, by earliest deadline among released blocks."""
+def pfair(shares: dict[str, int], blocks: dict[str, int] | None = None) -> list[str]:
+    """The source of each slot, by earliest deadline among released blocks: a period, or until a source's blocks are used up."""
     period = sum(shares.values())
     window = lambda s, j: (j * period // shares[s], -((-(j + 1) * period) // shares[s]))
     waiting = [(window(s, 0)[0], s, 0) for s in sorted(shares)]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     slots = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
+    while len(slots) < period:
+        while waiting and waiting[0][0] <= len(slots):
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (window(s, j)[1], s, j))
         _, s, j = heapq.heappop(ready)
         slots.append(s)
+        if blocks and j + 1 == blocks[s]:
+            break
         if j + 1 < shares[s]:
             heapq.heappush(waiting, (window(s, j + 1)[0], s, j + 1))
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
+def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
     """Plan until every source is used up.
 
     A phase has its first slot, its period's slots by source, and for each source the number of its
-    first block and of blocks placed. It ends at the slot at which the first of its sources is dry.
+    first block and of blocks placed. It ends at the slot at which the first of its sources is dry; a
+    phase shorter than its weights' period is planned whole and does not repeat.
     """
     left, done, slot, plan = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        shares = parts({s: weights[s] for s in left}, period)
-        order = pfair(shares)
+        shares = parts({s: weights[s] for s in left})
+        order = pfair(shares, left)
         at: dict[str, list[int]] = {s: [] for s in shares}
         for t, s in enumerate(order):
             at[s].append(t)
-        # the slot of a source's last block, were the phase to last
-        last = {s: (n - 1) // shares[s] * len(order) + at[s][(n - 1) % shares[s]] for s, n in left.items()}
-        length = min(last.values()) + 1
+        length = len(order)
+        if length == sum(shares.values()):
+            # the slot of a source's last block, were the phase to last
+            length = min((left[s] - 1) // n * len(order) + at[s][(left[s] - 1) % n] for s, n in shares.items()) + 1
         whole, rest = divmod(length, len(order))
-        used = {s: whole * shares[s] + sum(t < rest for t in at[s]) for s in left}
-        plan.append({"slot": slot, "period": len(order), "at": at, "first": {s: done[s] for s in left}, "used": used})
+        used = {s: whole * len(at[s]) + sum(t < rest for t in at[s]) for s in shares}
+        plan.append({"slot": slot, "period": len(order), "at": at, "first": {s: done[s] for s in shares}, "used": used})
         slot += length
         for s, n in used.items():
             done[s] += n
@@ -101,11 +106,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         table, total = [], sum(target.values())
         for p in phases(blocks, target):
             for s, slots in p["at"].items():
-                table.append((s, p["first"][s], p["first"][s] + p["used"][s], p["slot"], p["period"], slots, target[s] / total))
+                if slots:
+                    table.append((s, p["first"][s], p["first"][s] + p["used"][s], p["slot"], p["period"], slots, target[s] / total))
         plan = spark.createDataFrame(table, "_s string, _from bigint, _to bigint, _slot bigint, _period bigint, _at array<int>, _w double")
         ranked = numbered(keyed, ["source_key"], own, "_rank", sum(rows.values()))
         ranked = ranked.withColumn("block", F.expr(f"_rank div {rows_in_block}"))
-        # a row for each source and phase, PERIOD slots a phase in all: a size that documents don't change
+        # a row for each source and phase, with a number for each of its blocks at most: 4 bytes for rows_in_block documents
         put = ranked.join(F.broadcast(plan), (F.col("source_key") == F.col("_s")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to")))
         turn = "(block - _from)"
         slot = F.expr(f"_slot + {turn} div size(_at) * _period + element_at(_at, cast({turn} % size(_at) as int) + 1)")

@@ -315,6 +315,26 @@ def test_pfair_stays_within_a_block():
         assert had == shares
 
 
+def test_mixing_keeps_to_the_true_weights_over_many_periods():
+    many = {"half": 299.0, **{f"s{i}": 1.0 for i in range(299)}}
+    for weights, total in (({"a": 0.6, "b": 0.3, "c": 0.1}, 60_000), (many, 20_000), ({"x": 5000**0.5, "y": 70**0.5, "z": 3**0.5}, 50_000)):
+        true = {s: w / sum(weights.values()) for s, w in weights.items()}
+        p = phases({s: int(total * w) + 2 for s, w in true.items()}, weights)[0]
+        assert sum(p["used"].values()) > 0.9 * total
+        source = {t: s for s, slots in p["at"].items() for t in slots}
+        had = Counter()
+        for t in range(sum(p["used"].values())):
+            had[source[t % p["period"]]] += 1
+            if t % 97 == 0 or t < 100:
+                assert all(abs(had[s] - w * (t + 1)) < 1 + 1e-6 for s, w in true.items())
+    assert parts({"a": 0.6, "b": 0.3, "c": 0.1}) == {"a": 6, "b": 3, "c": 1}
+
+
+def test_sources_of_no_weight_come_last():
+    plan = phases({"a": 5, "none": 3}, {"a": 1.0, "none": 0.0})
+    assert [p["used"] for p in plan] == [{"a": 5}, {"none": 3}]
+
+
 def test_mixing_places_every_row_once(spark):
     docs = spark.range(1000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'big' WHEN id < 100 THEN NULL ELSE concat('s', id % 5) END AS source")
     got = mix(docs, {"big": 1.0, "s1": 3.0}, rows_in_block=7).toPandas()
