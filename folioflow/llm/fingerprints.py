@@ -1,12 +1,17 @@
 """Document fingerprints by consistent weighted sampling.
 
-A document's terms are its pairs of neighbouring words (its only word, if there is but one), hashed
-into FEATURES coordinates; a term's weight is how often it occurs. For each of `samples` positions k
-and each term with weight w, with r and c drawn from Gamma(2, 1) and beta from [0, 1) by term and k
-alone: t = floor(ln w / r + beta), ln a = ln c - r (t - beta) - r. The least ln a is the sample; two
+A document's terms are its pairs of neighbouring words (its only word, if there is but one), as
+64-bit hashes; a term's weight is how often it occurs. For each of `samples` positions k and each
+term with weight w, with r and c drawn from Gamma(2, 1) and beta from [0, 1) by term and k alone:
+t = floor(ln w / r + beta), ln a = ln c - r (t - beta) - r. The least ln a is the sample; two
 documents share it with a probability of their generalised Jaccard similarity, sum(min) / sum(max)
 of the weights. A fingerprint keeps 16 bits of each sample, as hex; the share of equal positions
 estimates the similarity, with a standard error of at most 0.5 / sqrt(samples).
+
+For weight 1, t is 0 and a = c exp(-r (1 - beta)) is exponential with mean 1. So that is drawn first,
+as 32 uniform bits by tabulation (all 64 bits of the term count), whose least needs no logarithm; r
+and beta are drawn given a, from a counter hash, where a weight is more than 1: v = r (1 - beta) is
+ln(1 + e / a) and r is v + f, with e and f exponential of mean 1.
 """
 
 from __future__ import annotations
@@ -21,48 +26,73 @@ from pyspark.sql import types as T
 
 from folioflow.llm.common import buckets_for, mix, text_or_empty, text_slices, word_hashes, worker_cache
 
-FEATURES, SAMPLES = 1 << 17, 96
+SAMPLES = 96
+#: Terms are cut into as many parts of 16 bits.
+PARTS = 4
 
 
-def tables(samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ln a of every term with weight 1, and r and beta, each FEATURES x samples; kept by the worker."""
+def tables(samples: int) -> list[np.ndarray]:
+    """Random 32-bit numbers for each value of each part of a term, 65536 x samples; kept by the worker."""
     cache, key = worker_cache(), ("cws", samples)
     if key not in cache:
         rng = np.random.Generator(np.random.PCG64(20240607))
-        shape = (FEATURES, samples)
-        r = np.maximum(rng.standard_gamma(2.0, shape, np.float32), np.float32(1e-3)).astype(np.float16)
-        beta = rng.random(shape, np.float32).astype(np.float16)
-        least = np.log(np.maximum(rng.standard_gamma(2.0, shape, np.float32), np.float32(1e-6)))
-        for at in range(0, FEATURES, 4096):  # by blocks: no second table of that size
-            some = slice(at, at + 4096)
-            least[some] += r[some].astype(np.float32) * (beta[some] - np.float32(1))
-        cache[key] = least, r, beta
+        cache[key] = [rng.integers(0, 1 << 32, (1 << 16, samples), np.uint32) for _ in range(PARTS)]
     return cache[key]
 
 
+def draws(terms: np.ndarray, samples: int) -> np.ndarray:
+    """32 uniform bits for each term and sample."""
+    first, *others = tables(samples)
+    out = first[terms & np.uint64(0xFFFF)]
+    for i, table in enumerate(others, 1):
+        out ^= table[(terms >> np.uint64(16 * i)) & np.uint64(0xFFFF)]
+    return out
+
+
 def weighted_terms(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, weights and each document's first row among them."""
+    """Terms, weights and each document's first row among them."""
     n_docs, n_words = len(first) - 1, np.diff(first)
     doc = np.repeat(np.arange(n_docs), n_words)
     pair = np.flatnonzero(doc[1:] == doc[:-1]) if len(doc) else np.zeros(0, np.int64)
     single = first[:-1][n_words == 1]
     term = np.concatenate([mix(words[pair] * np.uint64(3) + words[pair + 1], 5), mix(words[single], 6)])
-    key = np.concatenate([doc[pair], doc[single]]) * FEATURES + (term & np.uint64(FEATURES - 1)).astype(np.int64)
-    key, weight = np.unique(key, return_counts=True)
-    return key % FEATURES, weight, np.searchsorted(key, np.arange(n_docs + 1) * FEATURES)
-
-
-def sample(features: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
-    """The least ln a at each position over one document's terms."""
-    least, r, beta = tables(samples)
-    once = weights == 1
-    best = least[features[once]].min(axis=0) if once.any() else np.full(samples, np.inf, np.float32)
-    if not once.all():
-        f, w = features[~once], np.log(weights[~once]).astype(np.float32)[:, None]
-        rr, b = r[f].astype(np.float32), beta[f].astype(np.float32)
-        t = np.floor(w / rr + b)
-        best = np.minimum(best, (least[f] - rr * t).min(axis=0))
-    return best
+    doc = np.concatenate([doc[pair], doc[single]])
+    order = np.lexsort((term, doc))
+    term, doc = term[order], doc[order]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return term[at], np.diff(np.append(at, len(term))), np.searchsorted(doc[at], np.arange(n_docs + 1))
+
+
+def exponential(bits: np.ndarray) -> np.ndarray:
+    """Exponential numbers of mean 1, increasing with 32 uniform bits."""
+    return -np.log1p((bits.astype(np.float64) + 0.5) * -(2.0**-32))
+
+
+def sample(terms: np.ndarray, weights: np.ndarray, samples: int, rows_at_once: int = 1024) -> np.ndarray:
+    """The sample at each position over one document's terms: its draw's 32 bits and, above them, t."""
+    once, k = weights == 1, np.arange(samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    best, chosen = np.full(samples, np.inf), np.zeros(samples, np.uint64)
+    some = terms[once]
+    if len(some):
+        least = np.min([draws(some[at : at + rows_at_once], samples).min(axis=0) for at in range(0, len(some), rows_at_once)], axis=0)
+        best, chosen = np.log(exponential(least)), least.astype(np.uint64)
+    some, logs = terms[~once], np.log(weights[~once])[:, None]
+    for at in range(0, len(some), rows_at_once):
+        part = some[at : at + rows_at_once]
+        bits = draws(part, samples)
+        a, more = exponential(bits), mix(part[:, None] + k, 11)
+        v = np.log1p(exponential(more >> np.uint64(32)) / a)
+        r = v + exponential(more & np.uint64(0xFFFFFFFF))
+        t = np.floor((logs[at : at + rows_at_once] + r - v) / r)  # beta is (r - v) / r
+        value = np.log(a) - r * t
+        row = value.argmin(axis=0)
+        there = (row, np.arange(samples))
+        less = value[there] < best
+        best = np.where(less, value[there], best)
+        chosen = np.where(less, bits[there] | t[there].astype(np.uint64) << np.uint64(32), chosen)
+    return chosen
 
 
 def fingerprints(texts: list[str], samples: int) -> np.ndarray:
@@ -70,12 +100,11 @@ def fingerprints(texts: list[str], samples: int) -> np.ndarray:
     out = np.zeros((len(texts), samples), np.uint16)
     for row, off, data in text_slices(pa.array(texts, pa.string())):
         words, first = word_hashes(data, off)
-        features, weights, start = weighted_terms(words, first)
+        terms, weights, start = weighted_terms(words, first)
         for i in range(len(off) - 1):
             some = slice(start[i], start[i + 1])
             if some.start < some.stop:
-                least = sample(features[some], weights[some], samples) + np.float32(0)
-                out[row + i] = (mix(least.view(np.uint32).astype(np.uint64), 9) & np.uint64(0xFFFF)).astype(np.uint16)
+                out[row + i] = (mix(sample(terms[some], weights[some], samples), 9) & np.uint64(0xFFFF)).astype(np.uint16)
     return out
 
 

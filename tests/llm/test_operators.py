@@ -22,7 +22,7 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 from folioflow.llm import packing, quality, secrets, sharding, warc  # noqa: E402
 from folioflow.llm.common import Scratch  # noqa: E402
 from folioflow.llm.exact_dedup import OP9_SQL, exact_dedup, op9_exact_dedup  # noqa: E402
-from folioflow.llm.fingerprints import edited, fingerprint_documents, likeness  # noqa: E402
+from folioflow.llm.fingerprints import edited, fingerprint_documents, fingerprints, likeness, sample  # noqa: E402
 from folioflow.llm.mixing import mix, parts, pfair, phases  # noqa: E402
 from folioflow.llm.near_dedup import near_dedup, op10_near_dedup  # noqa: E402
 from folioflow.llm.substring_dedup import op6_substring_dedup, remove_repeats  # noqa: E402
@@ -294,6 +294,25 @@ def test_fingerprints_estimate_the_weighted_similarity(spark, documents):
     assert abs(likeness(first.fingerprint, first.edited_fingerprint) - first.near_edited) < 1e-12
 
 
+def test_fingerprints_of_long_texts():
+    rng = random.Random(4)
+    words = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(100_000)) for _ in range(3)]
+    a, b, c = fingerprints([words[0], words[1], words[0] + " " + words[2]], 480)
+    assert (a == b).mean() < 0.01  # unrelated
+    assert abs((a == c).mean() - 0.5) < 0.08
+    twice, c = fingerprints([words[0] + " " + words[0], words[0] + " " + words[1] + " " + words[2]], 480)
+    assert abs((a == twice).mean() - 0.5) < 0.08 and abs((twice == c).mean() - 0.25) < 0.08
+
+
+def test_samples_share_the_weighted_jaccard():
+    rng = np.random.default_rng(8)
+    terms = rng.integers(0, 2**64, 60, np.uint64)
+    for most in (2, 5, 40):
+        x, y = rng.integers(1, most + 1, 60), rng.integers(1, most + 1, 60)
+        same = (sample(terms, x, 6000) == sample(terms, y, 6000)).mean()
+        assert abs(same - np.minimum(x, y).sum() / np.maximum(x, y).sum()) < 0.03
+
+
 def test_fingerprint_edge_cases(spark, odd, empty):
     got = fingerprint_documents(odd).collect()
     assert len(got) == odd.count() and all(0 <= r["near_next"] <= 1 for r in got)
