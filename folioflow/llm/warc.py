@@ -7,7 +7,10 @@ spread over several members.
 
 Reading takes each file whole and walks it. A record must be complete, end in two line ends and
 match its digests, a member its checksum. After a failed check the reader searches on for the next
-member or version line that is valid, goes on from there, and logs the bytes between as a gap.
+member or version line that is valid, goes on from there, and logs the bytes between as a gap. Inside
+a member it does the same with the bytes inflated, up to where inflating fails: valid records on both
+sides of the damage are kept. A gap inside a member has the member's offset and length, and the place
+among the inflated bytes in its reason.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MEMBER = (1 << 24) - 1
+UNFINISHED = ("truncated record", "no end of record", "no end of header")
+VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
@@ -98,7 +103,7 @@ def same_digest(labelled: str, data: bytes) -> bool:
 
 def plain_record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     """The record at a version line: its end, header fields and block."""
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 16))
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise Broken("no end of header")
     fields = {}
@@ -127,40 +132,90 @@ def payload_of(fields: dict[str, str], block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
 
 
-def inflate(data: bytes, at: int) -> tuple[int, bytes]:
-    """The gzip member at `at`: its end and content."""
+def inflate(data: bytes, at: int) -> tuple[int, bytes, str]:
+    """The gzip member at `at`: its end, content and, if it is damaged, why; then as much as could be inflated, and the end is unknown."""
     unpack, out, fed = zlib.decompressobj(31), [], at
+    while not unpack.eof:
+        if fed >= len(data):
+            return fed, b"".join(out), "truncated member"
+        piece, fed = data[fed : fed + 65536], min(fed + 65536, len(data))
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(piece))
+        except zlib.error:
+            for i in range(0, len(piece)):  # byte by byte: what comes before the fault counts
+                try:
+                    out.append(before.decompress(piece[i : i + 1]))
+                except zlib.error:
+                    break
+            return fed, b"".join(out), "member checksum or format"
+    return fed - len(unpack.unused_data), b"".join(out), ""
+
+
+def is_whole(data: bytes, at: int) -> bool:
     try:
-        while not unpack.eof:
-            if fed >= len(data):
-                raise Broken("truncated member")
-            out.append(unpack.decompress(data[fed : fed + 65536]))
-            fed = min(fed + 65536, len(data))
-    except zlib.error as e:
-        raise Broken("member checksum or format") from e
-    return fed - len(unpack.unused_data), b"".join(out)
-
-
-def parse(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
-    """What starts at `at`: its end and records. A record that one member breaks off goes on in the next."""
+        plain_record(data, at)
+    except Broken:
+        return False
+    return True
+
+
+def finished(data: bytes, end: int, inner: bytes, pos: int) -> tuple[int, bytes] | None:
+    """The end and content of the members up to that which ends the record at inner[pos:], if they do."""
+    while data.startswith(b"\x1f\x8b", end):
+        end, more, fault = inflate(data, end)
+        if fault:
+            return None
+        inner += more
+        try:
+            plain_record(inner, pos)
+            return end, inner
+        except Broken as why:
+            if str(why) not in UNFINISHED:
+                return None
+    return None
+
+
+def parse(data: bytes, at: int) -> tuple[int | None, list[tuple[dict[str, str], bytes]], list[str]]:
+    """What starts at `at`: its end (None if a damaged member hides it), records and gaps inside.
+
+    A record that one member breaks off goes on in the next.
+    """
     if data.startswith(b"WARC/", at):
         end, fields, block = plain_record(data, at)
-        return end, [(fields, block)]
+        return end, [(fields, block)], []
     if not data.startswith(b"\x1f\x8b", at):
         raise Broken("neither a member nor a version line")
-    end, inner = inflate(data, at)
-    found, pos = [], 0
+    end, inner, fault = inflate(data, at)
+    found, gaps, pos = [], [], 0
     while pos < len(inner):
         try:
             pos, fields, block = plain_record(inner, pos)
+            found.append((fields, block))
+            continue
         except Broken as why:
-            if str(why) in ("truncated record", "no end of record", "no end of header") and len(inner) - pos >= MEMBER - (1 << 16):
-                end, more = inflate(data, end)
-                inner += more
-                continue
-            raise
-        found.append((fields, block))
-    return end, found
+            reason = str(why)
+        if not fault and reason in UNFINISHED and len(inner) - pos >= MEMBER - (1 << 16) and (longer := finished(data, end, inner, pos)):
+            end, inner = longer
+            continue
+        start, pos = pos, next((m.start() for m in VERSION.finditer(inner, pos + 1) if is_whole(inner, m.start())), len(inner))
+        gaps.append((start, pos, fault if fault and pos == len(inner) else reason))
+    if fault and not (gaps and gaps[-1][1] == len(inner)):
+        gaps.append((len(inner), len(inner), fault))
+    if gaps and not found:
+        raise Broken(gaps[0][2])
+    return None if fault else end, found, [f"{reason}: bytes {a} to {b} of the member" for a, b, reason in gaps]
+
+
+def next_valid(data: bytes, at: int) -> int:
+    """The next member or version line at or after `at` from which something can be read; else the end."""
+    for m in START.finditer(data, at):
+        try:
+            parse(data, m.start())
+        except Broken:
+            continue
+        return m.start()
+    return len(data)
 
 
 def walk(data: bytes):
@@ -168,21 +223,17 @@ def walk(data: bytes):
     pos = 0
     while pos < len(data):
         try:
-            end, found = parse(data, pos)
+            end, found, gaps = parse(data, pos)
         except Broken as why:
-            start, reason, end = pos, str(why), None
-            for m in START.finditer(data, pos + 1):
-                try:
-                    end, found = parse(data, m.start())
-                except Broken:
-                    continue
-                pos = m.start()
-                break
-            if end is None:
-                yield start, len(data) - start, [], reason
-                return
-            yield start, pos - start, [], reason
+            after = next_valid(data, pos + 1)
+            yield pos, after - pos, [], str(why)
+            pos = after
+            continue
+        if end is None:
+            end = next_valid(data, pos + 2)
         yield pos, end - pos, found, ""
+        for reason in gaps:
+            yield pos, end - pos, [], reason
         pos = end
 
 

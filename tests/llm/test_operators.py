@@ -155,6 +155,32 @@ def test_warc_files_are_ordinary_gzip_and_salvage_finds_what_is_whole(spark, tmp
     assert rows_of(warc.gaps_of(read), "offset", "length") == sorted([(third[0], third[1]), (ninth[0], ninth[1])], key=repr)
 
 
+def test_warc_keeps_urls_of_any_length(spark, tmp_path):
+    spark.createDataFrame([(1, "http://x/" + "u" * 200_000, "text"), (2, "u", "b")], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r["page_id"] for r in warc.op2_warc(spark, str(tmp_path)).collect()} == {1, 2}
+
+
+def test_warc_salvages_inside_a_member():
+    rng = random.Random(2)
+    payloads = [bytes(rng.randrange(256) for _ in range(3000)) for _ in range(30)]
+    records = [warc.record(i, "u", p, hashlib.sha1(p).hexdigest(), len(p), "response", None) for i, p in enumerate(payloads)]
+    ids = lambda raw: [f["warc-record-id"] for x in warc.walk(raw) for f, _ in x[2]]
+    names = [f"<urn:page:{i}>" for i in range(30)]
+    # a bad record among valid ones in a sound member
+    bad = bytearray(records[4])
+    bad[-100] ^= 0xFF
+    raw = gzip.compress(b"".join([*records[:4], bytes(bad), *records[5:]]))
+    assert ids(raw) == names[:4] + names[5:] and sum(bool(x[3]) for x in warc.walk(raw)) == 1
+    # a member cut off, with a sound one behind it: the records before the cut, then those of the next
+    whole = gzip.compress(b"".join(records[:20]))
+    raw = whole[: len(whole) // 2] + gzip.compress(b"".join(records[20:]))
+    got = ids(raw)
+    assert got[:9] == names[:9] and got[-10:] == names[20:] and len(got) == len(set(got)) <= 20
+    assert any(x[3] for x in warc.walk(raw))
+    assert ids(whole[:-4]) == names[:20]  # its checksum is cut off
+    assert ids(whole[: len(whole) // 2])[:9] == names[:9]
+
+
 def test_warc_of_no_pages(spark, tmp_path):
     warc.write_archives(spark.read.parquet(f"{SF}/pages.parquet").limit(0), f"{tmp_path}/w")
     assert warc.read_archives(spark, f"{tmp_path}/w").count() == 0
