@@ -3,7 +3,9 @@
 A candidate is a long run of key-like characters soon after a word such as "key" or "bearer". Its
 marginal cost is what it adds to the compressed size of the text around it, under a raw dictionary
 of common identifiers and code: words and names that fit the surroundings cost little, random
-material costs about its own entropy. Candidates whose cost per character reaches the threshold are
+material costs about its own entropy. Every candidate is measured, whatever its characters, with
+copies of it in the surroundings masked; where it stands partly in a pattern's span, the rest beside
+an assignment, or the whole run around other spans. Candidates whose cost per character reaches the threshold are
 reported as kind "novel", beside the patterns' spans.
 """
 
@@ -27,6 +29,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 NAMED = re.compile(r"[dDtTnNyY][\"']?\x20*[:=]")
 # Words that make their surroundings sensitive.
 SENSITIVE = re.compile(r"password|passwd|passphrase|pwd|secret|token|api|key|auth|bearer|credential|private|signature|cookie|session", re.IGNORECASE | re.ASCII)
+NAME = re.compile(r"[A-Za-z0-9_-]{0,15}=")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 # Identifiers and code that primes the dictionary.
 IDENTIFIERS = """
@@ -51,9 +54,25 @@ def novelty(text: str, start: int, end: int, before: int = 512, after: int = 256
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         cache["zstd"] = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
     pack = cache["zstd"]
-    left, right = text[max(0, start - before) : start].encode(), text[end : end + after].encode()
-    whole = len(pack.compress(left + text[start:end].encode() + right))
-    return (whole - len(pack.compress(left + right))) / (end - start)
+    run, size = text[start:end], end - start
+    left, right = text[max(0, start - before - size) : start], text[end : end + after + size]
+    # a key that occurs again close by is no less a key: its copies, also under another name, are masked
+    for copy in [run, *[x for x in run.split("=") if 16 <= len(x) < size]]:
+        left, right = left.replace(copy, " " * len(copy)), right.replace(copy, " " * len(copy))
+    left, right = left[-before:].encode(), right[:after].encode()
+    whole = len(pack.compress(left + run.encode() + right))
+    return (whole - len(pack.compress(left + right))) / size
+
+
+def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of start..end that no span (they are sorted) covers."""
+    parts = []
+    for x, y in spans:
+        if start < end and x < end and start < y:
+            if start < x:
+                parts.append((start, x))
+            start = y
+    return [*parts, (start, end)] if start < end else parts
 
 
 def scan(text: str, threshold: float = 0.68, near: int = 48) -> list[tuple[int, int, str]]:
@@ -64,17 +83,20 @@ def scan(text: str, threshold: float = 0.68, near: int = 48) -> list[tuple[int,
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    base = [(a, b) for a, b, _ in found]
+    assigned = sorted((a, b) for a, b, kind in found if kind == "assign")
+    others = sorted((a, b) for a, b, kind in found if kind != "assign")
+    novel = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, y in base):
-            continue
-        run = m[0]
-        # letters of both cases or digits among letters: a plain word is no key
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-            continue
-        if SENSITIVE.search(text, max(0, a - near), a) and novelty(text, a, b) >= threshold:
-            found.append((a, b, "novel"))
+        for a, b in outside(*m.span(), assigned):
+            if b - a < 16 or not SENSITIVE.search(text, max(0, a - near), a):
+                continue
+            rest = outside(a, b, others)
+            # nothing but a short name before a reported value, or padding after it
+            if all(NAME.fullmatch(text[x:y]) if x == a and y < b else not text[x:y].strip("=") for x, y in rest) and rest != [(a, b)]:
+                continue
+            if novelty(text, a, b) >= threshold:
+                novel.append((a, b, "novel"))
+    found += novel
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -229,6 +229,19 @@ def test_secret_spans():
     assert secrets.scan("ſecret=abcdefgh") == []  # letters are ASCII
 
 
+def test_novel_secrets_of_any_letters_twice_and_around_spans():
+    novel = lambda text: [text[a:b] for a, b, k in secrets.scan(text) if k == "novel"]
+    letters = "qZxWvKpJtRbNcMgHdFyL"
+    assert novel(f"bearer credential {letters} and more words") == [letters]
+    key = "9fK2xLq8ZtR4vW7pYb3N"
+    assert novel(f"bearer credential {key} and then the same key {key} again") == [key, key]
+    assert novel(f"the key a={key} or the key bb={key} again") == [f"a={key}", f"bb={key}"]
+    around = "Zk3vQ9xTfWp" + "0123fedc9a7b45e8c1d60b9f" + "LmX7yRgHq2N"
+    assert novel(f"private credential {around} here") == [around]
+    assert novel("session cookie x=0123fedc9a7b45e8c1d60b9f here") == []  # reported as hex, under a name
+    assert novel("the signature of 20240101 internationalization authentication") == []
+
+
 def test_secrets_edge_cases(spark, odd, empty):
     got = secrets.scan_secrets(odd).collect()
     assert len(got) == odd.count()
