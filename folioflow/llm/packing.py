@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import Scratch, text_or_empty, worker_cache
 
 END = 0
+#: The vocabulary's added token: the library cuts texts at it and gives its id.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 #: A space before a character that can't be white space: no pre-token of the vocabulary's pattern spans it.
 CUT = re.compile(r"(?= [!-~À-߿])")
 #: A space that anything else follows.
@@ -38,7 +40,8 @@ class WordTokenizer:
 
     Texts are cut only where the vocabulary's own pattern always cuts, so a text's ids are those of
     its words in turn; the words not yet known in a batch are encoded together. A test holds the ids
-    against the tokenizers library's. Names of special tokens in a text are ordinary text.
+    against the tokenizers library's. To encode() the added token's name is ordinary text; encode_added()
+    is the library's default.
     """
 
     def __init__(self, ranks_path: str, pattern: str):
@@ -85,6 +88,12 @@ class WordTokenizer:
         self.known[""] = b""
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
+    def encode_added(self, texts: list[str]) -> list[bytes]:
+        parts = [text.split(ADDED) for text in texts]
+        ids = iter(self.encode(list(itertools.chain.from_iterable(parts))))
+        added = np.array([ADDED_ID], "<u4").tobytes()
+        return [added.join(itertools.islice(ids, len(p))) for p in parts]
+
 
 def tokenizer(ranks_path: str, pattern: str) -> WordTokenizer:
     cache, key = worker_cache(), ("bpe", ranks_path)
@@ -111,7 +120,7 @@ def pieces_of(ranks_path: str, pattern: str, capacity: int, rows_at_once: int =
             for at in range(0, batch.num_rows, rows_at_once):
                 some = batch.slice(at, rows_at_once)
                 out = []
-                for doc, raw in zip(some.column(0).to_pylist(), bpe.encode(some.column(1).to_pylist()), strict=True):
+                for doc, raw in zip(some.column(0).to_pylist(), bpe.encode_added(some.column(1).to_pylist()), strict=True):
                     raw += end
                     n = len(raw) // 4
                     for start in range(0, n, capacity):
@@ -236,7 +245,7 @@ def packed_stretch(ranks_path: str, pattern: str, capacity: int, rows_at_once: i
         pieces = []
         for at in range(0, table.num_rows, rows_at_once):
             some = table.slice(at, rows_at_once)
-            for doc, raw in zip(some.column("doc_id").to_pylist(), bpe.encode(some.column("text").to_pylist()), strict=True):
+            for doc, raw in zip(some.column("doc_id").to_pylist(), bpe.encode_added(some.column("text").to_pylist()), strict=True):
                 raw += end
                 pieces += [(doc, start, min(capacity, len(raw) // 4 - start), raw[4 * start : 4 * (start + capacity)], len(raw) // 4) for start in range(0, len(raw) // 4, capacity)]
         size = np.array([p[2] for p in pieces], np.int64)

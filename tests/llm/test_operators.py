@@ -64,6 +64,19 @@ def test_tokens_are_the_tokenizers_librarys(documents):
         assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
 
 
+def test_added_tokens_are_the_librarys_by_default(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x ", "it's  <|endoftext|>\n\ny", "<|endoftext", "no token"]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    ours = packing.WordTokenizer(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode_added(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ours] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for got in (packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), packing.pack_in_order(docs, "doc_id", P.path("byte_bpe_50k.tiktoken"), P.PATTERN)):
+        assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got.collect()} == {i: [*x, 0] for i, x in enumerate(want)}
+
+
 def check_packed(rows, expected, capacity):
     places, by_doc = {}, {}
     for r in rows:
