@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import random
 import sys
 import tempfile
 import uuid
@@ -20,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="folioflow-"))
     return f"file://{_LOCAL_ROOT[0]}"
@@ -93,6 +97,22 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows:
     return joined.select(*df.columns, (F.col("_first") + F.col("_r") - 1).cast("bigint").alias(out))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
+    """rows joined with groups, which has one row for each of the keys' values and counts its rows in n.
+
+    Groups with more than one in `most` of all counted rows are at most `most` in number: they are
+    broadcast, so their rows stay where they lie; the rest are joined by a shuffle. Both tables are
+    read more than once: pass written ones.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    named = groups.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *[c for c in groups.columns if c not in (*keys, "n")], "n")
+    on = [F.col(k) == F.col(f"_g{i}") for i, k in enumerate(keys)]
+    hot, held = F.col("n") * most > total, [f"_g{i}" for i in range(len(keys))]
+    few = F.broadcast(named.filter(hot))
+    rest = rows.join(F.broadcast(named.filter(hot).select(*held)), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(named.filter(~hot), on)).drop(*held, "n")
+
+
 def worker_cache() -> dict:
     """One dict per Python worker; functions pickled by value have no module globals that last."""
     return sys.__dict__.setdefault("_folioflow_worker_cache", {})
@@ -105,8 +125,15 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Odd multipliers of the polynomial hashes modulo 2**64.
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Hashes are elements of the field of this prime.
+PRIME = (1 << 61) - 1
+#: Bytes of a word that one lane holds, and the most lanes before a keyed digest takes over.
+LANE, MOST_LANES = 7, 36
+
+
+def fresh_seed() -> int:
+    """A seed drawn by the driver for one run: whoever wrote the texts can't know it."""
+    return random.SystemRandom().getrandbits(62)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -117,23 +144,47 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, base: int, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, or those of its inverse; kept by the worker."""
-    cache, key = worker_cache(), ("powers", base, inverse)
-    if key not in cache or len(cache[key]) < n:
-        x = np.full(max(n, 1 << 20), pow(base, -1, 2**64) if inverse else base, np.uint64)
-        x[0] = 1
-        cache[key] = np.multiply.accumulate(x)
-    return cache[key][:n]
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for any uint64."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, both below it: products of halves, as 2**61 is 1."""
+    low, half = np.uint64((1 << 31) - 1), np.uint64(31)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + a0 * b0)
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hash values[s:e] for each span: equal sequences hash equally wherever they stand."""
-    n, base = len(values), BASES[which]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(n, base), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * powers(n + 1, base, inverse=True)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64), which + 1)
+
+def powers(n: int, base: int, which: str) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo PRIME; the worker keeps those of the last base."""
+    cache = worker_cache()
+    held, x = cache.get(("powers", which), (None, None))
+    if held != base or len(x) < n:
+        x = np.ones(1, np.uint64)
+        while len(x) < max(n, 1 << 18):
+            x = np.concatenate([x, times(x, np.uint64(pow(base, len(x), PRIME)))])
+        cache["powers", which] = (base, x)
+    return x[:n]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash values[s:e] (all below PRIME) for each span: equal sequences hash equally wherever they stand.
+
+    A polynomial over the prime field at a point drawn from the seed: two given sequences of n values
+    are equal for n / 2**61 of the seeds at most.
+    """
+    base = random.Random(f"span {seed}").randrange(2, PRIME - 1)
+    n = len(values)
+    terms = times(values, powers(n, base, f"span {seed & 1}"))
+    low, high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumsum(terms & np.uint64(0xFFFFFFFF), out=low[1:])
+    np.cumsum(terms >> np.uint64(32), out=high[1:])
+    low, high = low[ends] - low[starts], high[ends] - high[starts]
+    total = reduced(reduced(low) + (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)))
+    return times(total, powers(n + 1, pow(base, -1, PRIME), f"back {seed & 1}")[starts])
 
 
 def text_slices(array, most: int = 1 << 20):
@@ -170,10 +221,39 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = False, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word, and the documents' first words."""
+def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A hash below PRIME for each word, and the documents' first words.
+
+    A word's lanes of LANE bytes and its length are multiplied by numbers drawn from the seed and
+    added up in the prime field: two words are equal for one in 2**61 seeds. Words of more than
+    LANE * MOST_LANES bytes are digested under the seed as key.
+    """
+    cache = worker_cache()
+    if cache.get("lanes", (None,))[0] != seed:
+        rng = random.Random(f"word {seed}")
+        cache["lanes"] = (seed, [rng.randrange(1, PRIME) for _ in range(MOST_LANES + 1)])
+    *factors, by_length = cache["lanes"][1]
     if lower:
         data = LOWER[data]
     starts, ends, first = word_spans(data, off)
-    table = mix(np.arange(256, dtype=np.uint64), 77 + which)
-    return span_hashes(table[data], starts, ends, which), first
+    size = ends - starts
+    padded = np.zeros((len(data) // 8 + 3) * 8, np.uint8)
+    padded[: len(data)] = data
+    eights = padded.view("<u8")
+    out = times(size.astype(np.uint64), np.full(1, by_length, np.uint64))
+    todo = np.flatnonzero(size <= LANE * MOST_LANES)
+    for i, factor in enumerate(factors):
+        if i:
+            todo = todo[size[todo] > LANE * i]
+        if not len(todo):
+            break
+        at = starts[todo] + LANE * i
+        shift = ((at & 7) << 3).astype(np.uint64)
+        lane = (eights[at >> 3] >> shift) | ((eights[(at >> 3) + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        held = (np.minimum(size[todo] - LANE * i, LANE) << 3).astype(np.uint64)
+        lane &= (np.uint64(1) << held) - np.uint64(1)
+        out[todo] = reduced(out[todo] + times(lane, np.full(1, factor, np.uint64)))
+    for i in np.flatnonzero(size > LANE * MOST_LANES):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=str(seed).encode())
+        out[i] = int.from_bytes(digest.digest(), "little") % PRIME
+    return out, first

@@ -7,13 +7,14 @@ every shingle into bin b, so each bin fills whatever the set's size. Equal coord
 occur with a probability of the sets' Jaccard similarity, and concentrate as independent ones do.
 
 Documents with equal sets are one vertex. Vertices that share a band of coordinates are candidates,
-confirmed on their full sets. In every round, each band bucket that still holds more than one component
-picks a leader out of its largest one, anew each round, and holds the members of the others against it:
-a round makes no more pairs than buckets have members, and its links join most of a group. When a round
-finds no link (or after ROUNDS), the members outside a bucket's largest component are held against all
-members of other components, in the first bucket that a pair shares, if their sketches' signatures are
-no further apart than those of linked pairs are. Every pair of one bucket is thus either confirmed, refuted or known to be
-connected; no partner is cut off by a cap.
+confirmed on their texts' own words. In each of ROUNDS rounds, every band bucket that still holds more
+than one component picks a leader out of its largest one, anew each round, and holds the members of the
+others against it: a round makes no more pairs than buckets have members, and its links join most of a
+group. What is still in a bucket of several components is then joined exactly: with shingles ordered from
+the rarest of these documents to the most common one, two sets as similar as asked share one of their
+first n - ceil(n * similarity) + 1 shingles, and a bound from the places of the shared ones leaves few
+pairs of different components to confirm. Every pair of one bucket is thus confirmed, refuted or known to
+be connected: the rounds only save work, and nothing is cut off by a cap.
 
 Bands have as many coordinates as a chance of at most MISS allows that a pair at the threshold shares
 none of the BANDS bands: 7 at a similarity of 0.85, 5 at 0.8.
@@ -21,18 +22,18 @@ none of the BANDS bands: 7 at a similarity of 0.85, 5 at 0.8.
 
 from __future__ import annotations
 
-import math
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Scratch, mix, span_hashes, text_or_empty, text_slices, word_hashes
+from folioflow.llm.common import Scratch, fresh_seed, join_groups, mix, span_hashes, text_or_empty, text_slices, word_hashes
 
 BANDS, MISS, ROUNDS = 36, 1e-6, 3
-#: A signature's coordinates, the bits kept of each, and the standard deviations that it may be off.
-SIGNED, BITS, OFF = 2048, 2, 5.0
+#: Pairs of one leader that a task holds against its text.
+PAIRS_IN_TASK = 5000
 
 
 def band_rows(percent: int) -> int:
@@ -40,9 +41,9 @@ def band_rows(percent: int) -> int:
     return max([1, *(r for r in range(1, 20) if (1 - (percent / 100) ** r) ** BANDS <= MISS)])
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, words_in: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, off: np.ndarray, words_in: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document, and where each document's start."""
-    words, first = word_hashes(data, off, lower=True)
+    words, first = word_hashes(data, off, lower=True, seed=seed)
     n_docs, n_words = len(first) - 1, np.diff(first)
     doc = np.repeat(np.arange(n_docs), n_words)
     at = np.flatnonzero(np.arange(len(words)) + words_in <= first[1:][doc]) if len(words) else np.zeros(0, np.int64)
@@ -50,7 +51,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words_in: int) -> tuple[np.n
     starts = np.concatenate([at, first[:-1][few]])
     ends = np.concatenate([at + words_in, first[1:][few]])
     owner = np.concatenate([doc[at], few])
-    hashes = span_hashes(words, starts, ends)
+    hashes = span_hashes(words, starts, ends, seed)
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), bool)
@@ -79,41 +80,21 @@ def sketches(hashes: np.ndarray, start: np.ndarray, bins: int) -> np.ndarray:
     return out.reshape(n, bins)
 
 
-def signature(sketch: np.ndarray) -> np.ndarray:
-    """BITS bits of each coordinate, packed into 64-bit numbers."""
-    n, t = sketch.shape
-    per = 64 // BITS
-    few = np.zeros((n, -(-t // per) * per), np.uint64)
-    few[:, :t] = mix(sketch, 80) & np.uint64(2**BITS - 1)
-    return (few.reshape(n, -1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
-
-
-def most_bits(percent: int) -> int:
-    """Signatures of a pair at the threshold differ in fewer bits, but for OFF standard deviations.
-
-    Of its coordinates a share of p = 1 - similarity differ, each in BITS / 2 bits on average.
-    """
-    t, p = SIGNED, 1 - percent / 100
-    return int(t * p * BITS / 2 + OFF * math.sqrt(t * (p * BITS / 4 + p * (1 - p) * BITS**2 / 4)))
-
-
 SKETCHED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
 
 
-def sketch_batches(words_in: int, rows: int):
+def sketch_batches(words_in: int, rows: int, seed: int):
     """mapInArrow over (doc_id, text): the set's size, a 128-bit digest of it, and its band keys."""
 
     def run(batches):
         for batch in batches:
             for row, off, data in text_slices(batch.column(1)):
                 n = len(off) - 1
-                hashes, start = shingle_sets(data, off, words_in)
-                size = np.diff(start)
-                sums = []
-                for k in (11, 12):  # sums of mixed members: equal for equal sets
-                    total = np.zeros(len(hashes) + 1, np.uint64)
-                    np.cumsum(mix(hashes, k), out=total[1:])
-                    sums.append((total[start[1:]] - total[start[:-1]]).view(np.int64))
+                hashes, start = shingle_sets(data, off, words_in, seed)
+                size, raw = np.diff(start), hashes.tobytes()
+                ends = (start * 8).tolist()
+                digests = b"".join(hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(ends, ends[1:]))
+                digests = np.frombuffer(digests, np.int64).reshape(n, 2)
                 sk = sketches(hashes, start, BANDS * rows).reshape(n, BANDS, rows)
                 key = np.zeros((n, BANDS), np.uint64)
                 for r in range(rows):
@@ -123,55 +104,46 @@ def sketch_batches(words_in: int, rows: int):
                 flat = key[size > 0].ravel().view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(filled)])
                 bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(size, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), bands], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(size, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), bands], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     return run
 
 
-def set_batches(words_in: int):
-    """mapInArrow over (doc_id, text): the shingle set as a sorted array."""
+def set_batches(words_in: int, seed: int):
+    """mapInArrow over (doc_id, root, text): the shingle set as a sorted array."""
 
     def run(batches):
         for batch in batches:
-            for row, off, data in text_slices(batch.column(1)):
-                hashes, start = shingle_sets(data, off, words_in)
+            for row, off, data in text_slices(batch.column(2)):
+                hashes, start = shingle_sets(data, off, words_in, seed)
                 sets = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(off) - 1), sets], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([c.slice(row, len(off) - 1) for c in batch.columns[:2]] + [sets], names=["doc", "root", "shingles"])
 
     return run
 
 
-def signature_batches(batches):
-    """mapInArrow over (doc_id, shingles): the signature of each set's sketch."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
-            start = np.asarray(some.column(1).offsets)
-            sig = signature(sketches(np.asarray(some.column(1).flatten()).view(np.uint64), start - start[0], SIGNED))
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * sig.shape[1], pa.int32()), pa.array(sig.ravel().view(np.int64)))], names=["v", "sig"])
+def shingles_of(text: str, words_in: int) -> set[tuple[bytes, ...]]:
+    """The set itself: tuples of words, lower-cased (A-Z) and parted at the six ASCII spaces."""
+    words = text.encode().lower().split()
+    return set(zip(*(words[i:] for i in range(words_in)))) if len(words) >= words_in else {tuple(words)} - {()}
 
 
-def confirm_batches(percent: int):
-    """mapInArrow over (ra, rb, set of a, set of b): those with 100 |A and B| >= percent |A or B|."""
+def confirm_batches(words_in: int, percent: int):
+    """mapInArrow over (ra, rb, text of a, text of b): those with 100 |A and B| >= percent |A or B|."""
 
     def run(batches):
+        last, held = None, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                sides = []
-                for col in (2, 3):
-                    lists = some.column(col)
-                    sizes = np.diff(np.asarray(lists.offsets))
-                    sides.append((np.asarray(lists.flatten()), np.repeat(np.arange(len(lists)), sizes), sizes))
-                # members of both sides of one pair are the repeats in the sorted union of both
-                value, owner = np.concatenate([sides[0][0], sides[1][0]]), np.concatenate([sides[0][1], sides[1][1]])
-                order = np.lexsort((value, owner))
-                value, owner = value[order], owner[order]
-                both = (value[1:] == value[:-1]) & (owner[1:] == owner[:-1])
-                common = np.bincount(owner[1:][both], minlength=some.num_rows)
-                union = sides[0][2] + sides[1][2] - common
-                ok = pa.array(100 * common >= percent * union)
-                yield pa.RecordBatch.from_arrays([some.column(0).filter(ok), some.column(1).filter(ok)], names=["ra", "rb"])
+            ok = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                b = b.as_py()
+                if b != last:  # rows come sorted by b
+                    last, held = b, shingles_of(b, words_in)
+                x = shingles_of(a.as_py(), words_in)
+                both = len(x & held)
+                ok.append(bool(x) and 100 * both >= percent * (len(x) + len(held) - both))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["ra", "rb"])
 
     return run
 
@@ -212,39 +184,41 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words_in: int = 5, percent: in
     set; rows with a null id are left out of links, get a null component and are kept. An empty table gives
     none.
     """
+    seed = fresh_seed()
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    base = scratch.save(source.mapInArrow(sketch_batches(words_in, band_rows(percent)), SKETCHED), "sketched", keep=True)
+    base = scratch.save(source.mapInArrow(sketch_batches(words_in, band_rows(percent), seed), SKETCHED), "sketched", keep=True)
     own = ["n_shingles", "set_a", "set_b"]
     filled = base.filter("n_shingles > 0 and doc_id is not null")
-    reps = filled.groupBy(*own).agg(F.min("doc_id").alias("rep"))
-    member = scratch.save(filled.select("doc_id", *own).join(reps, own).select("doc_id", "rep", *own).distinct(), "members", keep=True)
-    vertex = filled.join(reps, own).filter("doc_id = rep").select("rep", "n_shingles", "bands").dropDuplicates(["rep", "n_shingles", "bands"])
+    reps = scratch.save(filled.groupBy(*own).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
+    member = scratch.save(join_groups(filled.select("doc_id", *own), reps, own).select("doc_id", "rep", *own).distinct(), "members", keep=True)
+    vertex = filled.join(reps.drop("n"), (filled["doc_id"] == reps["rep"]) & (filled["set_a"] == reps["set_a"]) & (filled["set_b"] == reps["set_b"])).select("rep", filled["n_shingles"], "bands").dropDuplicates(["rep", "n_shingles", "bands"])
     banded = vertex.select("rep", "n_shingles", F.explode("bands").alias("band"))
     crowd = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     bucket = scratch.save(banded.join(crowd, "band").withColumn("root", F.col("rep")), "buckets", keep=True)
-    # sets of all vertices that share a bucket
+    # texts of all vertices that share a bucket
     needed = bucket.select(F.col("rep").alias("_r")).distinct()
-    sets = source.join(needed, source["doc_id"] == needed["_r"], "left_semi").mapInArrow(set_batches(words_in), "doc_id bigint, shingles array<bigint>")
-    sets = scratch.save(sets, "sets", keep=True)
+    texts = scratch.save(source.join(needed, source["doc_id"] == needed["_r"], "left_semi"), "texts", keep=True)
     alike = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")  # others differ too much in size to be linked
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Edges between the components of linked pairs."""
-        x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-        y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-        once = pairs.select("a", "b", "ra", "rb").distinct()
-        full = once.join(x, "a").join(y, "b").select("ra", "rb", "sa", "sb")
-        return scratch.save(full.mapInArrow(confirm_batches(percent), "ra bigint, rb bigint").distinct(), name, keep=True)
-
-    def unsettled(rows: DataFrame, name: str) -> DataFrame:
+        """Edges between the components of linked pairs; a leader of many pairs is dealt to several tasks."""
+        once = scratch.save(pairs.select("a", "b", "ra", "rb").distinct(), f"{name}-pairs")
+        loads = scratch.save(once.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.expr(f"(n - 1) div {PAIRS_IN_TASK} + 1")), f"{name}-loads")
+        dealt = join_groups(once, loads, ["b"]).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("k")))
+        x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+        y = texts.join(loads, F.col("doc_id") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("salt"), F.col("text").alias("tb"))
+        full = dealt.join(x, "a").join(y.hint("shuffle_merge"), ["b", "salt"]).select("ra", "rb", "ta", "tb")
+        return scratch.save(full.mapInArrow(confirm_batches(words_in, percent), "ra bigint, rb bigint").distinct(), name, keep=True)
+
+    def unsettled(rows: DataFrame, key: str, name: str) -> DataFrame:
         """Rows of buckets with more than one component, with the largest one as top."""
-        parts = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-        several = parts.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "root")).alias("t")).filter("k > 1")
-        return scratch.save(rows.join(several.select("band", F.col("t.root").alias("top")), "band"), name, keep=True)
+        parts = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("c"))
+        several = parts.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "root")).alias("t")).filter("k > 1")
+        return scratch.save(rows.join(several.select(key, F.col("t.root").alias("top")), key), name, keep=True)
 
     edges = member.select(F.col("doc_id").alias("ra"), F.col("rep").alias("rb")).filter("ra <> rb")  # repeated ids may join sets
     for k in range(ROUNDS):
-        open_ = unsettled(bucket, f"open-{k}")
+        open_ = unsettled(bucket, "band", f"open-{k}")
         leader = open_.filter("root = top").groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("b"), F.col("n_shingles").alias("nb"))).alias("l"))
         leader = leader.select("band", "l.b", "l.nb")
         rest = open_.filter("root <> top").select("band", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("root").alias("ra"), F.col("top").alias("rb"))
@@ -255,20 +229,24 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words_in: int = 5, percent: in
         edges = edges.union(found)
         joined = components(scratch, found.toDF("a", "b"), f"joined-{k}").select("v", F.col("root").alias("to"))
         bucket = bucket.join(joined, bucket["root"] == joined["v"], "left").select("rep", "n_shingles", "band", F.coalesce("to", "root").alias("root"))
-    open_ = unsettled(bucket, "open-last")
-    some = open_.select(F.col("rep").alias("_v")).distinct()
-    signed = sets.join(some, sets["doc_id"] == some["_v"], "left_semi").select("doc_id", "shingles").mapInArrow(signature_batches, "v bigint, sig array<bigint>")
-    signed = scratch.save(signed, "signed").select("v", *[F.col("sig")[i].alias(f"s{i}") for i in range(SIGNED * BITS // 64)])
-    more = filled.select(F.col("doc_id").alias("_v"), "bands")
-    known = open_.join(more, open_["rep"] == more["_v"]).drop("_v").dropDuplicates(["band", "rep"]).join(signed, F.col("rep") == F.col("v")).drop("v")
-    known = scratch.save(known, "known")
-    x, y = known.filter("root <> top").alias("x"), known.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in known.columns if c[0] == "s"), F.lit(0))
-    near_enough = (apart <= most_bits(percent)) & F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")
-    first_shared = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
-    differ = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.top")) | (F.col("x.rep") < F.col("y.rep")))
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & differ & near_enough & first_shared).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
-    edges = edges.union(confirmed(across, "across"))
+    left = unsettled(bucket, "band", "open-last").select(F.col("rep").alias("_v"), "root").distinct()
+    sets = texts.join(left, F.col("doc_id") == F.col("_v")).select("doc_id", "root", "text").mapInArrow(set_batches(words_in, seed), "doc bigint, root bigint, shingles array<bigint>")
+    sets = scratch.save(sets.withColumn("r", F.monotonically_increasing_id()), "sets")  # r tells rows of one id apart
+    rows = scratch.save(sets.select("r", F.explode("shingles").alias("token")), "tokens")
+    counts = scratch.save(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("df", F.col("n")), "token-counts")
+    shared = join_groups(rows, counts, ["token"]).groupBy("r").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
+    sized = sets.select("r", F.col("doc").alias("a"), "root", F.size("shingles").cast("bigint").alias("na")).join(shared, "r")
+    alone = F.col("na") - F.size("common")  # shingles of no other document come first of all
+    prefix = F.expr(f"na - (na * {percent} + 99) div 100 + 1") - alone
+    listed = sized.filter(prefix > 0).select("a", "root", "na", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), prefix.cast("int"))).alias("at", "c"))
+    listed = unsettled(listed.select("a", "root", "na", (F.col("alone") + F.col("at")).alias("at"), F.col("c.token").alias("token")), "token", "prefixes")
+    x = listed.filter("root <> top").select("token", "a", F.col("root").alias("ra"), "na", F.col("at").alias("ia"))
+    y = listed.select("token", F.col("a").alias("b"), F.col("root").alias("rb"), F.col("na").alias("nb"), F.col("at").alias("ib"), F.col("root").eqNullSafe(F.col("top")).alias("in_top"))
+    met = x.join(y, "token").filter("ra <> rb and (in_top or a < b)").filter(alike)
+    # no more shingles can be shared than those met, and those after the last of them on either side
+    bound = F.expr("c + least(na - ia, nb - ib) - 1")
+    met = met.groupBy("a", "b", "ra", "rb", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib")).filter(bound * (100 + percent) >= F.expr(f"{percent} * (na + nb)"))
+    edges = edges.union(confirmed(met, "across"))
     whole = components(scratch, edges.toDF("a", "b"), "last")
     least = base.select("doc_id", "n_shingles").join(whole, base["doc_id"] == whole["v"], "left")
     component = F.coalesce("root", "doc_id")
