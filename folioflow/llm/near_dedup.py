@@ -7,7 +7,7 @@ every shingle into bin b, so each bin fills whatever the set's size. Equal coord
 occur with a probability of the sets' Jaccard similarity, and concentrate as independent ones do.
 
 Documents with equal sets are one vertex. Vertices that share a band of coordinates are candidates,
-confirmed on their texts' own words. In each of ROUNDS rounds, every band bucket that still holds more
+confirmed on their texts' own words. In at most ROUNDS rounds, every band bucket that still holds more
 than one component picks a leader out of its largest one, anew each round, and holds the members of the
 others against it: a round makes no more pairs than buckets have members, and its links join most of a
 group. What is still in a bucket of several components is then joined exactly: with shingles ordered from
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import Scratch, fresh_seed, join_groups, mix, span_hashes, text_or_empty, text_slices, word_hashes
 
 BANDS, MISS, ROUNDS = 36, 1e-6, 3
+#: Rounds end after one that links fewer than one in SCARCE members: the exact join does the rest.
+SCARCE = 20
 #: Pairs of one leader that a task holds against its text.
 PAIRS_IN_TASK = 5000
 
@@ -224,11 +226,14 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words_in: int = 5, percent: in
         rest = open_.filter("root <> top").select("band", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("root").alias("ra"), F.col("top").alias("rb"))
         found = confirmed(rest.join(leader, "band").filter(alike), f"round-{k}")
         bucket = open_.drop("top")
-        if found.isEmpty():
+        links = found.count()
+        if not links:
             break
         edges = edges.union(found)
         joined = components(scratch, found.toDF("a", "b"), f"joined-{k}").select("v", F.col("root").alias("to"))
         bucket = bucket.join(joined, bucket["root"] == joined["v"], "left").select("rep", "n_shingles", "band", F.coalesce("to", "root").alias("root"))
+        if links * SCARCE < rest.count():
+            break
     left = unsettled(bucket, "band", "open-last").select(F.col("rep").alias("_v"), "root").distinct()
     sets = texts.join(left, F.col("doc_id") == F.col("_v")).select("doc_id", "root", "text").mapInArrow(set_batches(words_in, seed), "doc bigint, root bigint, shingles array<bigint>")
     sets = scratch.save(sets.withColumn("r", F.monotonically_increasing_id()), "sets")  # r tells rows of one id apart

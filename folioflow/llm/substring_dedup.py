@@ -13,8 +13,12 @@ equal anchors, so:
 1. names of anchors are counted over the corpus; a window may repeat only if its anchor's name does;
 2. long segments, cut where a symbol's hash says so, are compared: inside a segment that stands
    earlier too, every window repeats;
-3. the other windows with a shared anchor are compared by a 96-bit hash of their words, and each
-   that isn't the first of its kind marks its words.
+3. the other windows with a shared anchor are compared, and each that isn't the first of its kind
+   marks its words.
+
+Words, windows and segments are told apart by polynomials over a prime field of 2**61 at points that
+the driver draws for the run: no text can be written to collide, and 93 bits (windows) or 122
+(segments) leave no chance worth the name that two different ones ever do.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Scratch, mix, span_hashes, text_or_empty, text_slices, word_hashes
+from folioflow.llm.common import Scratch, fresh_seed, join_groups, mix, span_hashes, text_or_empty, text_slices, word_hashes
 
 PAIR_ROUNDS = 3
 #: A segment ends at one in so many symbols of the highest level.
@@ -98,7 +102,7 @@ def least_in_ranges(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nd
     return out
 
 
-def anchored_windows(words: np.ndarray, first: np.ndarray, window: int):
+def anchored_windows(words: np.ndarray, first: np.ndarray, window: int, seed: int = 0):
     """For each window its start, its anchor's key and the anchor itself; and the top level."""
     n_words = np.diff(first)
     doc = np.repeat(np.arange(len(n_words)), n_words)
@@ -122,17 +126,17 @@ def anchored_windows(words: np.ndarray, first: np.ndarray, window: int):
         at = least_in_ranges(mix(s.name, 31), lo, hi)
         some = np.unique(at)
         context = np.zeros(len(s.name), np.uint64)
-        context[some] = mix(span_hashes(words, s.left[some], s.right[some]) ^ s.name[some], 50 + depth)
+        context[some] = mix(span_hashes(words, s.left[some], s.right[some], seed) ^ s.name[some], 50 + depth)
         key[todo] = context[at]
         anchor[todo] = (depth << 40) + at
         open_[todo] = False
     rest = np.flatnonzero(open_)
-    key[rest] = mix(span_hashes(words, starts[rest], starts[rest] + window), 49)
+    key[rest] = mix(span_hashes(words, starts[rest], starts[rest] + window, seed), 49)
     return starts, key, anchor, doc, all_[-1] if all_ else None
 
 
 def segments(words: np.ndarray, top: Symbols, window: int):
-    """Start, end and hash of the segments of at least a window's length; they overlap by a window less a word."""
+    """Start, end and document of the segments of at least a window's length; they overlap by a window less a word."""
     cut = (mix(top.name, 33) % np.uint64(SEGMENT)) == 0
     edge = np.ones(len(top.name), bool)
     edge[1:] = cut[1:] | (top.doc[1:] != top.doc[:-1])
@@ -146,7 +150,7 @@ def segments(words: np.ndarray, top: Symbols, window: int):
     end = np.minimum(end + window - 1, doc_end[top.doc[at]])
     long = end - start >= window
     start, end, doc = start[long], end[long], top.doc[at][long]
-    return start, end, doc, mix(span_hashes(words, start, end), 71)
+    return start, end, doc
 
 
 def lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
@@ -154,31 +158,34 @@ def lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
-SCANNED = "doc_id bigint, th bigint, n_words bigint, sha string, keys array<bigint>, seg_hash array<bigint>, seg_start array<bigint>"
+SCANNED = "doc_id bigint, th bigint, n_words bigint, sha string, keys array<bigint>, seg_hash array<bigint>, seg_other array<bigint>, seg_start array<bigint>"
 
 
-def scan_batches(window: int):
+def scan_batches(window: int, seed: int):
     """mapInArrow over (doc_id, th, text): words, their digest, anchor keys and segments."""
 
     def run(batches):
         for batch in batches:
             for row, off, data in text_slices(batch.column(2)):
                 n, raw = len(off) - 1, data.tobytes()
-                words, first = word_hashes(data, off)
+                words, first = word_hashes(data, off, seed=seed)
                 sha = [hashlib.sha256(b" ".join(raw[off[i] : off[i + 1]].split())).hexdigest() for i in range(n)]
-                starts, key, anchor, doc, top = anchored_windows(words, first, window)
+                starts, key, anchor, doc, top = anchored_windows(words, first, window, seed)
                 # all windows with one anchor count once: they stand in a row
                 owner = doc[starts]
                 new = np.ones(len(key), bool)
                 new[1:] = anchor[1:] != anchor[:-1]
                 keys = lists(key[new].view(np.int64), owner[new], n)
                 if top is not None and len(top.name):
-                    s, _, d, h = segments(words, top, window)
+                    s, e, d = segments(words, top, window)
+                    other, _ = word_hashes(data, off, seed=seed + 1)
+                    h = [lists(span_hashes(w, s, e, k).view(np.int64), d, n) for w, k in ((words, seed), (other, seed + 1))]
                 else:
-                    s, d, h = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+                    s = d = np.zeros(0, np.int64)
+                    h = [lists(s, d, n)] * 2
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.diff(first), pa.int64()), pa.array(sha), keys, lists(h.view(np.int64), d, n), lists(s - first[d], d, n)],
-                    names=["doc_id", "th", "n_words", "sha", "keys", "seg_hash", "seg_start"],
+                    [batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.diff(first), pa.int64()), pa.array(sha), keys, *h, lists(s - first[d], d, n)],
+                    names=["doc_id", "th", "n_words", "sha", "keys", "seg_hash", "seg_other", "seg_start"],
                 )
 
     return run
@@ -187,7 +194,7 @@ def scan_batches(window: int):
 WINDOWS = "doc_id bigint, th bigint, covered array<bigint>, h1 array<bigint>, h2 array<int>, pos array<int>"
 
 
-def window_batches(window: int):
+def window_batches(window: int, seed: int):
     """mapInArrow over (doc_id, th, text, keys, segs): windows with a shared anchor outside the known segments.
 
     covered holds the starts of windows inside segments that stand earlier too.
@@ -198,14 +205,14 @@ def window_batches(window: int):
             keys_of, segs_of = batch.column(3), batch.column(4)
             for row, off, data in text_slices(batch.column(2)):
                 n = len(off) - 1
-                words, first = word_hashes(data, off)
-                other, _ = word_hashes(data, off, which=1)
-                starts, key, _, doc, top = anchored_windows(words, first, window)
+                words, first = word_hashes(data, off, seed=seed)
+                other, _ = word_hashes(data, off, seed=seed + 1)
+                starts, key, _, doc, top = anchored_windows(words, first, window, seed)
                 owner = doc[starts]
                 key = key.view(np.int64)
                 known = np.zeros(len(words) + 1, np.int64)
                 if top is not None and len(top.name):
-                    s, e, d, _ = segments(words, top, window)
+                    s, e, d = segments(words, top, window)
                     mine = segs_of.slice(row, n)
                     wanted = np.asarray(mine.flatten()) + np.repeat(first[:-1], np.diff(np.asarray(mine.offsets)))
                     dup = np.isin(s, wanted)
@@ -218,8 +225,8 @@ def window_batches(window: int):
                 fold = lambda k, o: mix(k.view(np.uint64) + o.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 3)
                 shared = np.isin(fold(key, owner), fold(pairs[0], pairs[1])) & ~inside
                 p = starts[shared]
-                h1 = span_hashes(words, p, p + window).view(np.int64)
-                h2 = span_hashes(other, p, p + window, 1).view(np.int64).astype(np.int32)  # 96 bits in all
+                h1 = span_hashes(words, p, p + window, seed).view(np.int64)
+                h2 = span_hashes(other, p, p + window, seed + 1).view(np.int64).astype(np.int32)  # 93 bits in all
                 c = starts[inside]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, n), batch.column(1).slice(row, n), lists(c - first[owner[inside]], owner[inside], n), lists(h1, owner[shared], n), lists(h2, owner[shared], n), lists((p - first[owner[shared]]).astype(np.int32), owner[shared], n)],
@@ -267,24 +274,27 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 20, id_col:
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST)).alias("doc_id"), text_or_empty(text_col).alias("text"))
     source = source.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    scanned = scratch.save(source.mapInArrow(scan_batches(window), SCANNED), "scanned")
+    seed = 2 * fresh_seed()
+    scanned = scratch.save(source.mapInArrow(scan_batches(window, seed), SCANNED), "scanned")
     base = scratch.save(scanned.select("doc_id", "th", "n_words", "sha"), "base", keep=True)
     unique = scanned.agg((F.count(F.lit(1)) == F.count_distinct("doc_id")).alias("u")).first()["u"]
     row = ["doc_id"] if unique else ["doc_id", "th"]  # repeated ids: tell rows apart by their text
     anchors = scanned.select(*row, F.explode("keys").alias("key"))
-    shared = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    mine = scratch.save(anchors.join(shared, "key").groupBy(*row).agg(F.collect_set("key").alias("keys")), "shared")  # within one document
-    seg = scanned.select(*row, F.explode(F.arrays_zip("seg_hash", "seg_start")).alias("s")).select(*row, F.col("s.seg_hash").alias("hash"), F.col("s.seg_start").alias("start"))
-    firsts = seg.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", F.col("f.doc_id").alias("fd"), F.col("f.start").alias("fs"))
-    again = seg.join(firsts, "hash").filter("doc_id <> fd or start <> fs").groupBy(*row).agg(F.collect_set("start").alias("segs"))
+    shared = scratch.save(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchor-counts")
+    mine = scratch.save(join_groups(anchors, shared, ["key"]).groupBy(*row).agg(F.collect_set("key").alias("keys")), "shared")  # within one document
+    seg = scanned.select(*row, F.explode(F.arrays_zip("seg_hash", "seg_other", "seg_start")).alias("s")).select(*row, F.col("s.seg_hash").alias("hash"), F.col("s.seg_other").alias("other"), F.col("s.seg_start").alias("start"))
+    firsts = seg.groupBy("hash", "other").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "other", F.col("f.doc_id").alias("fd"), F.col("f.start").alias("fs"), "n")
+    firsts = scratch.save(firsts, "first-segments")
+    again = join_groups(seg, firsts, ["hash", "other"]).filter("doc_id <> fd or start <> fs").groupBy(*row).agg(F.collect_set("start").alias("segs"))
     again = scratch.save(again, "segments")
     both = mine.join(again, row, "left").select(*row, "keys", F.coalesce("segs", F.array().cast("array<bigint>")).alias("segs"))
     near = scratch.save(source.join(both, row), "near")
     scratch.forget(scanned)
-    found = scratch.save(near.select("doc_id", "th", "text", "keys", "segs").mapInArrow(window_batches(window), WINDOWS), "windows")
+    found = scratch.save(near.select("doc_id", "th", "text", "keys", "segs").mapInArrow(window_batches(window, seed), WINDOWS), "windows")
     one = found.select(*row, F.explode(F.arrays_zip("h1", "h2", "pos")).alias("w")).select(*row, "w.h1", "w.h2", "w.pos")
-    first = one.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("f.doc_id").alias("fd"), F.col("f.pos").alias("fp"))
-    marks = one.join(first, ["h1", "h2"]).filter("doc_id <> fd or pos <> fp").groupBy(*row).agg(F.collect_set("pos").alias("marks"))
+    first = one.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("f.doc_id").alias("fd"), F.col("f.pos").alias("fp"), "n")
+    first = scratch.save(first, "first-windows")
+    marks = join_groups(one, first, ["h1", "h2"]).filter("doc_id <> fd or pos <> fp").groupBy(*row).agg(F.collect_set("pos").alias("marks"))
     marks = scratch.save(marks, "marks")
     covered = found.filter(F.size("covered") > 0).select(*row, "covered")
     starts = marks.join(covered, row, "full").select(*row, F.concat(F.coalesce("marks", F.array().cast("array<bigint>")), F.coalesce("covered", F.array().cast("array<bigint>"))).alias("starts"))

@@ -324,6 +324,27 @@ def test_repeats_edge_cases(spark, odd, empty):
         assert remove_repeats(empty, Scratch(spark, "v"))[0].collect() == []
 
 
+def thue_morse(a, b, n=1024):
+    """A word of a and b and its complement: equal under any polynomial modulo 2**64 with an odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_texts_made_to_collide_are_told_apart(spark):
+    x, y = thue_morse("a", "b")
+    rest = " ".join(f"w{i}" for i in range(30))
+    lines = [" ".join([*[f"k{i}" for i in range(10)], w, *[f"m{i}" for i in range(9)]]) for w in (x, y)]
+    runs = [" ".join(w) for w in thue_morse("p", "q", 200)]
+    rows = list(enumerate([*lines, *(f"{x} {x}{y} {x}", f"{y} {y}{x} {y}"), *runs, rest]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    with Scratch(spark, "t") as scratch:
+        got = rows_of(remove_repeats(docs, scratch)[0], "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert got == sorted(brute.without_repeats(rows), key=repr) and got[1][2] == 0
+    with Scratch(spark, "u") as scratch:
+        got = rows_of(near_dedup(docs, scratch, 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+        assert got == sorted(brute.near(rows, 3, 85), key=repr) and got[3][2] == 3
+
+
 # 7 fingerprints
 
 
@@ -473,6 +494,22 @@ def test_near_dedup_of_a_group_of_variants(spark):
         assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(rows, 3, 85), key=repr)
 
 
+def test_near_dedup_of_templates_that_are_not_alike(spark):
+    """Documents that share bands but aren't as similar as asked, among a few that are."""
+    rng = random.Random(3)
+    form, rows = [f"f{i}" for i in range(100)], []
+    for i in range(120):
+        words = list(form)
+        for k in range(4, 100, 9):
+            words[k] = f"x{rng.randrange(6)}"
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((500 + i, " ".join([*words, "more"])))
+    with Scratch(spark, "t") as scratch:
+        got = near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), scratch, 3, 85)
+        assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(rows, 3, 85), key=repr)
+
+
 def test_near_dedup_edge_cases(spark, odd, empty):
     with Scratch(spark, "t") as scratch:
         got = near_dedup(odd, scratch).collect()
