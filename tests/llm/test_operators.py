@@ -466,6 +466,17 @@ def test_exact_dedup_splits_buckets(spark):
     assert rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute.exact([(r[0], r[1]) for r in rows]), key=repr)
 
 
+def test_exact_dedup_of_texts_with_one_key(spark, monkeypatch):
+    """Keys of few values: long chains, buckets that split down to single keys, hot groups."""
+    rows = [(i, f"t{i % 40}" if i % 3 else "hot") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    full = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.shiftleft(F.pmod(F.length(*c), F.lit(3)).cast("bigint"), 61) if len(c) == 1 else full(*c))
+    got = exact_dedup(docs, capacity=1)
+    assert rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute.exact(rows), key=repr)
+    assert got.agg(F.max("chain")).first()[0] > 10
+
+
 def test_exact_dedup_edge_cases(spark, odd, empty):
     got = {r["doc_id"]: r for r in exact_dedup(odd).collect()}
     assert got[1]["keep_id"] == 2 and not got[1]["kept"] and got[2]["kept"] and got[10]["group_size"] == 2 and got[None]["kept"]
