@@ -97,6 +97,17 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows:
     return joined.select(*df.columns, (F.col("_first") + F.col("_r") - 1).cast("bigint").alias(out))
 
 
+def placed_in_order(values: DataFrame, by: str, scratch: Scratch, out: str) -> DataFrame:
+    """values with each row's place, from 0, in the order of `by`: sorted by ranges, no task holds them all."""
+    held = scratch.save(values.repartitionByRange(by).sortWithinPartitions(by).withColumn("_i", F.monotonically_increasing_id()), f"by-{by}")
+    part = F.shiftright("_i", 33)
+    counts = held.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    first = counts.select(F.col("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    there = F.col("_first") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.withColumn("_p", part).join(first, "_p").withColumn(out, there).drop("_p", "_i", "_first")
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
     """rows joined with groups, which has one row for each of the keys' values and counts its rows in n.
 
