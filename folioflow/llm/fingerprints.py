@@ -29,6 +29,8 @@ from folioflow.llm.common import buckets_for, mix, text_or_empty, text_slices, w
 SAMPLES = 96
 #: Terms are cut into as many parts of 16 bits.
 PARTS = 4
+#: Ranges of ids, and so tasks, at most: 800 KB of cuts.
+MOST_RANGES = 100_000
 
 
 def tables(samples: int) -> list[np.ndarray]:
@@ -159,8 +161,9 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, id_col: str =
     first and stays null. A null text is empty; a text without words has the fingerprint of zeros.
     An empty table gives none. Other columns are left out.
 
-    Ids are dealt into ranges of about rows_in_bucket rows; each range's first document is sent to
-    the range before it as well, so a text is shuffled once and no task orders the whole table.
+    Ids are dealt into ranges of about rows_in_bucket rows (MOST_RANGES at most: the driver holds two
+    numbers for each), a range to a task; each range's first document is sent to the range before it as
+    well, so a text is shuffled once and no task orders the whole table.
     """
     spark = docs.sparkSession
     lowest = -(2**63)
@@ -168,10 +171,10 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, id_col: str =
     n = ids.count()
     if not n:
         return spark.createDataFrame([], OUT)
-    p = buckets_for(n, rows_in_bucket)
+    p = min(MOST_RANGES, buckets_for(n, rows_in_bucket))
     cuts = []
     if p > 1:
-        cuts = ids.select(F.percentile_approx("i", [k / p for k in range(1, p)], max(10_000, 20 * p))).first()[0]
+        cuts = ids.select(F.percentile_approx("i", [k / p for k in range(1, p)], max(10_000, 5 * p))).first()[0]
     cuts = np.unique(np.array(cuts, np.int64))
 
     @F.pandas_udf(T.IntegerType())
@@ -195,7 +198,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, id_col: str =
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(lowest)).alias("_id"), text_or_empty(text_col).alias("_text"))
     rows = rows.select("_id", "_text", F.posexplode(targets("_id")).alias("_halo", "_bucket"))
-    rows = rows.repartition(p, "_bucket").sortWithinPartitions("_bucket", "_halo", "_id", F.xxhash64("_text"))
+    rows = rows.repartitionById(p, "_bucket").sortWithinPartitions("_bucket", "_halo", "_id", F.xxhash64("_text"))
     out = rows.select("_bucket", "_halo", "_id", "_text").mapInArrow(compare_neighbours(samples), OUT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
 
