@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import Scratch, numbered
 
+#: The driver plans so many slots at most, and a plan is broadcast up to so many numbers.
+MOST_SLOTS, MOST_SENT = 1 << 20, 1 << 23
+
 
 def parts(weights: dict[str, float]) -> dict[str, int]:
     """The least whole numbers in the very ratio of the weights (as decimals); their sum is the period.
@@ -83,13 +86,13 @@ def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
     return plan
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, rows_in_block: int = 64, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, rows_in_block: int | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """docs with source_key, block, slot, position and target_weight: the order of the mix.
 
     weights gives target weights by source; sources without one take part with the least weight given.
     Without weights a source's is its number of rows to the power of temperature. Within a source,
-    rows come in the order of their columns' hash; a block is rows_in_block of them, its last
-    may be shorter. position is slot * rows_in_block plus the place in the block: gaps occur after
+    rows come in the order of their columns' hash; a block is rows_in_block of them (without that
+    number 64, or the MOST_SLOTS-th part of all where that is more), its last may be shorter. position is slot * rows_in_block plus the place in the block: gaps occur after
     short blocks only. A null source is the source "" (an empty name likewise); null ids and repeated
     rows are placed like others; an empty table gives none. Clashing columns are replaced.
     """
@@ -102,6 +105,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         if not rows:
             return keyed.select(*own, "source_key", *[F.lit(None).cast("bigint").alias(c) for c in added[1:4]], F.lit(None).cast("double").alias("target_weight"))
         target = {s: float(weights.get(s, min(weights.values()))) for s in rows} if weights else {s: n**temperature for s, n in rows.items()}
+        rows_in_block = rows_in_block or max(64, math.ceil(sum(rows.values()) / MOST_SLOTS))
         blocks = {s: math.ceil(n / rows_in_block) for s, n in rows.items()}
         table, total = [], sum(target.values())
         for p in phases(blocks, target):
@@ -111,8 +115,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         plan = spark.createDataFrame(table, "_s string, _from bigint, _to bigint, _slot bigint, _period bigint, _at array<int>, _w double")
         ranked = numbered(keyed, ["source_key"], own, "_rank", sum(rows.values()))
         ranked = ranked.withColumn("block", F.expr(f"_rank div {rows_in_block}"))
-        # a row for each source and phase, with a number for each of its blocks at most: 4 bytes for rows_in_block documents
-        put = ranked.join(F.broadcast(plan), (F.col("source_key") == F.col("_s")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to")))
+        # a row for each source and phase, with a number for each of its blocks at most
+        small = sum(8 + len(r[5]) for r in table) <= MOST_SENT
+        put = ranked.join(F.broadcast(plan) if small else plan, (F.col("source_key") == F.col("_s")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to")))
         turn = "(block - _from)"
         slot = F.expr(f"_slot + {turn} div size(_at) * _period + element_at(_at, cast({turn} % size(_at) as int) + 1)")
         placed = put.withColumn("slot", slot).withColumn("position", F.col("slot") * rows_in_block + F.col("_rank") % rows_in_block)
