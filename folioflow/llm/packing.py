@@ -15,10 +15,10 @@ from __future__ import annotations
 import base64
 import itertools
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +33,8 @@ CUT = re.compile(r"(?= [!-~À-߿])")
 ODD = re.compile(r" (?![!-~À-߿])")
 #: Words whose ids a worker keeps (about 60 MB).
 WORDS_KEPT = 250_000
+#: Rows of counts (24 bytes each) that are broadcast at most.
+MOST_SENT = 2_000_000
 
 
 class WordTokenizer:
@@ -102,18 +104,18 @@ def tokenizer(ranks_path: str, pattern: str) -> WordTokenizer:
     return cache[key]
 
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, part string, rank bigint"
+PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, part bigint, rank bigint"
 
 
 def pieces_of(ranks_path: str, pattern: str, capacity: int, rows_at_once: int = 400):
     """A mapInArrow function over (doc_id, text): the pieces of each document.
 
-    `part` names this task's attempt and `rank` numbers its remainders of each length from 0; both
-    become facts when the pieces are written.
+    `part` is this task's number and `rank` numbers its remainders of each length from 0: the same
+    files in the same splits give the same places.
     """
 
     def run(batches):
-        bpe, part = tokenizer(ranks_path, pattern), uuid.uuid4().hex
+        bpe, part = tokenizer(ranks_path, pattern), TaskContext.get().partitionId()
         used = np.zeros(capacity + 1, np.int64)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
@@ -129,7 +131,7 @@ def pieces_of(ranks_path: str, pattern: str, capacity: int, rows_at_once: int =
                         out.append((doc, start, size, ids, n, part, used[size].item()))
                         used[size] += 1
                 cols = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "part", "rank"])
 
     return run
@@ -211,7 +213,9 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, i
         fill_of = lambda seq: filled[int(np.searchsorted(ends, seq, "right"))]
         rows = [(a, b, c, d, e, f, fill_of(d)) for a, b, c, d, e, f, _ in rows]
         table = spark.createDataFrame(rows, "_l bigint, _from bigint, _to bigint, _seq bigint, _each bigint, _off bigint, _fill bigint")
-        ranked = short.join(counts.select(F.col("part").alias("_p"), F.col("length").alias("_pl"), "ahead"), (F.col("part") == F.col("_p")) & (F.col("length") == F.col("_pl")))
+        # rows by task and length: broadcast within a checked size, else joined by a shuffle
+        how = "broadcast" if counts.count() <= MOST_SENT else "shuffle_hash"
+        ranked = short.join(counts.hint(how).select(F.col("part").alias("_p"), F.col("length").alias("_pl"), "ahead"), (F.col("part") == F.col("_p")) & (F.col("length") == F.col("_pl")))
         ranked = ranked.withColumn("_rank", F.col("ahead") + F.col("rank"))
         # fewer than 2 * capacity patterns of at most 45 lengths (1 + 2 + ... + 45 > 1024): a bounded table
         put = ranked.join(F.broadcast(table), (F.col("length") == F.col("_l")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))

@@ -23,7 +23,7 @@ STATS = (
     "symbols", "exclaims", "beyond_ascii", "distinct_words", "distinct_pairs", "top_word", "symbol_words", "upper_words", "long_words", "stop_words_end",
 )
 FEATURES, BINS = 256, 2000
-#: At most about so many labelled rows are fitted, chosen by their id's hash.
+#: At most about so many labelled rows teach, chosen by their id's hash.
 MOST_LABELLED = 200_000
 
 
@@ -145,18 +145,16 @@ def isotonic(count: np.ndarray, hits: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(spark: SparkSession, labelled: DataFrame, ridge: float = 1e-4, most: int = MOST_LABELLED) -> Model:
+def fit(spark: SparkSession, labelled: DataFrame, ridge: float = 1e-4) -> Model:
     """Fit on rows (key, stats, y): one in four, by the key's hash, calibrates; the rest are fitted.
 
-    Of more than `most` rows, those whose hash is lowest are taken, about `most`. Without labelled
-    rows every score is 0.5.
+    Without labelled rows every score is 0.5.
     """
     n = labelled.count()
     if not n:
         return Model(np.zeros(len(STATS)), np.ones(len(STATS)))
-    draw = F.pmod(F.xxhash64(F.col("key"), F.lit("draw")), F.lit(1_000_000))
     part = F.pmod(F.xxhash64(F.col("key"), F.lit("part")), F.lit(4))
-    used = labelled.filter(draw < int(1_000_000 * min(1.0, most / n)) + 1).withColumn("part", part)
+    used = labelled.withColumn("part", part)
     moments = used.select([F.avg(F.col("stats")[i]).alias(f"m{i}") for i in range(len(STATS))] + [F.stddev_pop(F.col("stats")[i]).alias(f"s{i}") for i in range(len(STATS))]).first()
     model = Model(np.array(moments[: len(STATS)], float), np.array(moments[len(STATS) :], float))
     fitted = used.filter("part != 0") if n >= 40 else used
@@ -182,12 +180,6 @@ def fit(spark: SparkSession, labelled: DataFrame, ridge: float = 1e-4, most: int
     return model
 
 
-def scores(model: Model, batches):
-    """mapInArrow over (row number, stats)."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(model.score(stats_matrix(batch.column(1))), 0, 1))], names=["doc_id", "score"])
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that never teach: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(True))
@@ -200,18 +192,21 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: fl
     counts, rounded; null labels and null ids teach nothing. A null text is empty, an empty text has a
     score like any other. Repeated rows get a row each; an empty table gives none.
     """
-    model, stats = learn(docs, labels, scratch, id_col, text_col)
-    scored = stats.mapInArrow(partial(scores, model), "doc_id bigint, score double")
+    model = learn(docs, labels, scratch, id_col, text_col)
+    scored = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), score_of(model, text_or_empty(text_col)).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model learned from docs' labelled rows, and the written statistics of all of docs."""
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    stats = scratch.save(source.mapInArrow(stats_of, "doc_id bigint, stats array<double>"), "stats", keep=True)
-    marks = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg(F.round(F.avg("quality")).cast("int").alias("y"))
-    labelled = stats.join(marks, stats["doc_id"] == marks["_id"]).select(F.col("doc_id").alias("key"), "stats", "y")
-    return fit(docs.sparkSession, scratch.save(labelled, "labelled")), stats
+def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> Model:
+    """The model learned from docs' labelled rows: about `most` of them, those whose id's hash is lowest."""
+    known = F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
+    marks = scratch.save(labels.filter(known).groupBy(F.col("doc_id").cast("bigint").alias("key")).agg(F.round(F.avg("quality")).cast("int").alias("y")), "marks")
+    draw = F.pmod(F.xxhash64(F.col("key"), F.lit("draw")), F.lit(1_000_000))
+    used = marks.filter(draw < int(1_000_000 * min(1.0, most / max(1, marks.count()))) + 1)
+    # about `most` rows of two numbers: a bounded table
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(used.select("key")), F.col("doc_id") == F.col("key"), "left_semi")
+    stats = rows.mapInArrow(stats_of, "doc_id bigint, stats array<double>").join(F.broadcast(used), F.col("doc_id") == F.col("key"))
+    return fit(docs.sparkSession, scratch.save(stats.select("key", "stats", "y"), "labelled"))
 
 
 def score_of(model: Model, text: Column) -> Column:

@@ -41,15 +41,17 @@ def decided(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """pages with payload, payload_digest, payload_bytes, record_type and refers_to.
 
     Of records with equal payloads of at least `least` bytes the one with the largest page_id is the
-    response; rows that repeat that page_id are responses too. A null html is an empty payload. Only a
-    row per payload that occurs again is joined, pre-aggregated before its shuffle.
+    response; rows that repeat that page_id are responses too. Payloads are equal if their length and
+    both digests, SHA-1 and SHA-256, are. A null html is an empty payload. Only a row per payload that
+    occurs again is joined, pre-aggregated before its shuffle.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
-    again = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
-    again = again.filter("n > 1").select(F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_b"), "top")
-    joined = rows.join(again, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b")), "left")
+    rows = rows.withColumn("sha256", F.sha2("payload", 256))
+    again = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes", "sha256").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
+    again = again.filter("n > 1").select(F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_b"), F.col("sha256").alias("_s"), "top")
+    joined = rows.join(again, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b")) & (F.col("sha256") == F.col("_s")), "left")
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return joined.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top")).alias("refers_to"))
 

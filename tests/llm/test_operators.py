@@ -57,9 +57,8 @@ def test_tokens_are_the_tokenizers_librarys(documents):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = [*documents.text, "", " ", "  a", "a  b \n c", "  x", "a　 b", "it's  we'll\t\tx ", "<|endoftext|> y", "\n  b c", "  b"]
-    ours = packing.WordTokenizer(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode(texts)
+    ours = packing.WordTokenizer(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode_added(texts)
     for text, ids, want in zip(texts, ours, t.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
 
@@ -569,8 +568,9 @@ def test_sequences_follow_the_mix_whatever_the_ids(spark, tmp_path):
 
     def first_stretches(df):
         """Of the sequences that hold the first 512 and 1024 documents: their texts by source."""
-        named = pipeline.in_file_order(df).withColumn("doc_id", F.col("n_chars"))
-        got = packing.pack_in_order(named, "_row", P.path("byte_bpe_50k.tiktoken"), P.PATTERN, rows_in_stretch=512).toPandas()
+        with Scratch(spark, "t") as scratch:
+            named = pipeline.in_file_order(df, scratch).select(F.col("doc.n_chars").alias("doc_id"), "doc.text", "row")
+            got = packing.pack_in_order(named, "row", P.path("byte_bpe_50k.tiktoken"), P.PATTERN, rows_in_stretch=512).toPandas()
         assert sorted(set(got.doc_id)) == list(range(5250)) and not got.duplicated(["doc_id", "start"]).any()
         check_places(got)
         order = got.groupby("doc_id").sequence_id.min().sort_values(kind="stable").index
@@ -585,3 +585,28 @@ def test_sequences_follow_the_mix_whatever_the_ids(spark, tmp_path):
     off = lambda had: max(abs(had[s] - w / sum(weight.values()) * sum(had.values())) for s, w in weight.items())
     assert max(map(off, first_stretches(after))) < 64
     assert max(map(off, first_stretches(docs))) > 200  # without the stage
+
+
+def test_pipeline_edge_cases(spark, odd, empty):
+    """Nulls, repeated rows, clashing columns and empty tables in every stage that keeps rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    clash = odd.withColumn("position", F.lit("p")).withColumn("row", F.lit("r")).withColumn("doc", F.lit("d")).withColumn("slot", F.lit("s"))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, clash, SF)
+        assert out.columns == clash.columns
+        got = out.collect()
+        assert all((r["position"], r["row"], r["doc"], r["slot"], r["kept"]) == ("p", "r", "d", "s", "clash") for r in got)
+        ids = sorted((r["doc_id"] for r in got), key=repr)
+        if name == "exact":
+            assert ids == sorted([2, 3, 5, 6, 7, 8, 9, 10, None], key=repr)
+        elif name == "near":
+            assert ids == sorted([1, 2, 3, 4, 6, 8, 9, 10, 10, None], key=repr)
+        elif name == "mixing":
+            assert len(ids) == clash.count()
+        assert stage(spark, empty, SF).collect() == []
+    assert pipeline.packed(spark, empty, SF).collect() == []
+
+
+def test_packing_is_the_same_twice(spark):
+    runs = [rows_of(packing.op1_packing(spark, SF), "doc_id", "start", "sequence_id", "offset") for _ in range(2)]
+    assert runs[0] == runs[1]
