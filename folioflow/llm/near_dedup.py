@@ -243,14 +243,18 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words_in: int = 5, percent: in
     sized = sets.select("r", F.col("doc").alias("a"), "root", F.size("shingles").cast("bigint").alias("na")).join(shared, "r")
     alone = F.col("na") - F.size("common")  # shingles of no other document come first of all
     prefix = F.expr(f"na - (na * {percent} + 99) div 100 + 1") - alone
-    listed = sized.filter(prefix > 0).select("a", "root", "na", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), prefix.cast("int"))).alias("at", "c"))
-    listed = unsettled(listed.select("a", "root", "na", (F.col("alone") + F.col("at")).alias("at"), F.col("c.token").alias("token")), "token", "prefixes")
-    x = listed.filter("root <> top").select("token", "a", F.col("root").alias("ra"), "na", F.col("at").alias("ia"))
-    y = listed.select("token", F.col("a").alias("b"), F.col("root").alias("rb"), F.col("na").alias("nb"), F.col("at").alias("ib"), F.col("root").eqNullSafe(F.col("top")).alias("in_top"))
-    met = x.join(y, "token").filter("ra <> rb and (in_top or a < b)").filter(alike)
-    # no more shingles can be shared than those met, and those after the last of them on either side
-    bound = F.expr("c + least(na - ia, nb - ib) - 1")
-    met = met.groupBy("a", "b", "ra", "rb", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib")).filter(bound * (100 + percent) >= F.expr(f"{percent} * (na + nb)"))
+    first = F.slice(F.col("common")["token"], F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))
+    listed = sized.filter(prefix > 0).select("a", "root", "na", alone.alias("alone"), first.alias("some"))
+    listed = unsettled(listed.select("*", F.explode("some").alias("token")), "token", "prefixes")
+    x = listed.filter("root <> top").select("token", "a", F.col("root").alias("ra"), "na", F.col("alone").alias("la"), F.col("some").alias("pa"))
+    y = listed.select("token", F.col("a").alias("b"), F.col("root").alias("rb"), F.col("na").alias("nb"), F.col("alone").alias("lb"), F.col("some").alias("pb"), (F.col("root") == F.col("top")).alias("in_top"))
+    # each pair at the first shingle that it shares; no more can be shared than those of both lists, and what follows the last of them on either side
+    both = "array_intersect(pa, pb)"
+    last = f"element_at({both}, -1)"
+    bound = f"size({both}) + least(na - la - array_position(pa, {last}), nb - lb - array_position(pb, {last}))"
+    enough = F.expr(f"{both}[0] = x.token AND ({bound}) * {100 + percent} >= {percent} * (na + nb)")
+    other = F.expr("ra <> rb AND (in_top OR a < b)")
+    met = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & other & alike & enough).select("a", "b", "ra", "rb")
     edges = edges.union(confirmed(met, "across"))
     whole = components(scratch, edges.toDF("a", "b"), "last")
     least = base.select("doc_id", "n_shingles").join(whole, base["doc_id"] == whole["v"], "left")
