@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +94,7 @@ def slug(c: Column, n: int = 80, default: str = "section") -> Column:
 
 
 def keywords(c: Column) -> Column:
+    """Words to count; the pattern is a fixed value."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z]{4,}|[一-鿿]{2,8}"), F.lit(0))
 
 
@@ -102,7 +106,7 @@ def text_quality(c: Column) -> Column:
 
 
 def encoding_issues(c: Column) -> Column:
-    """Names of the encoding checks that fail."""
+    """Names of the encoding checks that fail; patterns and shares are fixed values."""
     n = F.length(c)
     share = lambda p: F.regexp_count(c, F.lit(p)) / n
     checks = F.array(
@@ -114,6 +118,27 @@ def encoding_issues(c: Column) -> Column:
     return F.when(n > 0, F.array_compact(checks)).otherwise(F.array().cast("array<string>"))
 
 
+def first_object(c: Column) -> Column:
+    """The first JSON object in each text, as it stands there, however deep its braces are; null without one."""
+
+    @F.pandas_udf("string")
+    def objects(texts: pd.Series) -> pd.Series:
+        read = json.JSONDecoder()
+
+        def found(text):
+            at = text.find("{") if text else -1
+            while at >= 0:
+                try:
+                    return text[at : read.raw_decode(text, at)[1]]
+                except ValueError:
+                    at = text.find("{", at + 1)
+            return None
+
+        return texts.map(found)
+
+    return objects(c)
+
+
 def natural_key(c: Column) -> Column:
     """Sort key: numbers compare as numbers, and before text."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))

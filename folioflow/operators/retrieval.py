@@ -6,12 +6,17 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import extract as E
 from folioflow.functions import text as X
+from folioflow.functions.embedding import hash_vector
 from folioflow.operators.ordered import global_rank
 
+# The fusion constant and the weights of chunk types.
 RRF_K = 60
 TYPE_WEIGHT = {"knowledge": 1.0, "example": 1.0, "filler": 0.4}
 
@@ -99,3 +104,77 @@ def hybrid_search(rows: DataFrame, query: str, query_vector: list[float], k: int
     ranked = fused.join(rows.select("id", "document_id"), "id")
     ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rrf_score"), "id")))  # at most max(4k, 24) rows
     return rebalance(ranked, k, "document_id").select("id", "document_id", "rrf_score", "rank")
+
+
+# What a role, and a pair of question and answer, add to a row's score.
+ROLE_BONUS = {"answer": 0.18, "analysis": 0.14, "question": 0.08}
+PAIR_BONUS = 0.16
+
+
+def qa_focus(scored: DataFrame, k: int) -> DataFrame:
+    """Rows (conv_id, turn, id, question, qa_role, sparse_score) to the k best (conv_id, turn, qa_role, pair, score).
+
+    The max(3k, 18) best rows are candidates; a pair is a question of theirs with an answer or analysis.
+    """
+    best = scored.orderBy(F.desc("sparse_score"), "id").limit(max(3 * k, 18))
+    base = 1.0 / (RRF_K + F.row_number().over(Window.orderBy(F.desc("sparse_score"), "id")))  # at most max(3k, 18) rows
+    same = Window.partitionBy("conv_id", "question")
+    role = lambda *names: F.max(F.col("qa_role").isin(*names)).over(same)
+    rows = best.withColumn("base", base).withColumn("pair", role("question") & role("answer", "analysis"))
+    bonus = F.coalesce(F.create_map(*[F.lit(x) for pair in ROLE_BONUS.items() for x in pair])[F.col("qa_role")], F.lit(0.0))
+    score = F.col("base") + bonus + F.when(F.col("pair"), PAIR_BONUS).otherwise(0.0)
+    return rows.withColumn("score", score).orderBy(F.desc("score"), F.desc("base"), "id").limit(k).select("conv_id", "turn", "qa_role", "pair", F.round("score", 9).alias("score"))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, id_col: str, embedding: str, k: int, least: float, block: int = 256, chunk: int = 2048) -> DataFrame:
+    """(q, id, score): for each of a stated set of queries its k nearest other rows of at least `least`; ties by id.
+
+    Blocks of queries (some 100 KB each) meet chunks of rows (about 1 MB), and a product of matrices
+    passes on a chunk's k best for each query: no pair of single rows is made.
+    """
+
+    def grouped(df: DataFrame, each: int, ids: str, vectors: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(id_col), F.lit(-(-max(1, df.count()) // each)))
+        row = F.struct(F.col(id_col).cast("bigint").alias("i"), F.col(embedding).cast("array<double>").alias("v"))
+        held = df.filter(F.size(embedding) > 0).groupBy(part.alias("_p")).agg(F.collect_list(row).alias("r"))
+        return held.select(F.col("r")["i"].alias(ids), F.col("r")["v"].alias(vectors))
+
+    def unit(vectors) -> np.ndarray:
+        v = np.array(list(map(np.asarray, vectors)))
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+    def best(frames):
+        for frame in frames:
+            out = []
+            for qi, qv, ri, rv in zip(frame["qi"], frame["qv"], frame["ri"], frame["rv"], strict=True):
+                score = unit(qv) @ unit(rv).T
+                score[np.asarray(qi)[:, None] == np.asarray(ri)[None, :]] = -2
+                for i, q in enumerate(qi):
+                    out += [(q, ri[j], score[i, j]) for j in np.lexsort((ri, -score[i]))[:k] if score[i, j] >= least]
+            yield pd.DataFrame(out, columns=["q", id_col, "score"])
+
+    pairs = grouped(queries, block, "qi", "qv").crossJoin(grouped(rows, chunk, "ri", "rv"))
+    found = pairs.mapInPandas(best, f"q bigint, {id_col} bigint, score double")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), id_col)
+    return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
+
+
+def transfer(source: DataFrame, target: DataFrame, query: str, query_vector: list[float], k: int = 6, concepts: int = 5, each: int = 2, threshold: float = 0.6) -> DataFrame:
+    """(concept, relevance, id, score, suggested): what rows of target say on the concepts of source's best rows.
+
+    The k best rows of source give named terms; the `concepts` most relevant are searched for in target,
+    `each` rows apiece. A concept is suggested for transfer if its relevance reaches the threshold.
+    """
+    hits = hybrid_search(source, query, query_vector, k).select("id", "rank")
+    rows = dense_scores(source.join(hits, "id"), query_vector).withColumn("concept", F.explode(E.named_terms(F.col("content"))))
+    _, relevance = E.concept_relevance(F.col("content"), F.col("concept"), F.col("dense_score"))
+    named = rows.withColumn("relevance", relevance)
+    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("concept").orderBy("rank"))).filter("_n = 1")  # a concept counts where it is met first
+    top = first.orderBy(F.desc("relevance"), "rank", "concept").limit(concepts).select("concept", "relevance").collect()  # `concepts` rows
+    out = None
+    for c in top:
+        vector_of = hash_vector(c["concept"], len(query_vector))
+        found = hybrid_search(target, c["concept"], vector_of, each).select(F.lit(c["concept"]).alias("concept"), F.lit(c["relevance"]).alias("relevance"), "id", F.round("rrf_score", 9).alias("score"), F.lit(c["relevance"] >= threshold).alias("suggested"))
+        out = found if out is None else out.unionByName(found)
+    empty = source.sparkSession.createDataFrame([], "concept string, relevance double, id bigint, score double, suggested boolean")
+    return out if out is not None else empty

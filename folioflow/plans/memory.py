@@ -39,12 +39,11 @@ def mth5(t):
     return t.events.select("event_id", F.round(e, 6).alias("effective"), M.surprise(e).alias("level"), F.round(M.fuse_salience(F.lit(0.5), M.modifier(e)), 6).alias("fused"))
 
 
-@query("mth6_novelty", "SELECT vec_id, round(CASE WHEN m < 0.55 THEN least(1.0, (1 - m) * 1.3) ELSE 1 - m END, 6) AS novelty FROM (SELECT s.vec_id, max(list_cosine_similarity(CAST(s.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) AS m FROM embeddings s JOIN embeddings q ON q.vec_id IN (1, 2, 3) AND q.vec_id <> s.vec_id GROUP BY s.vec_id)")
+@query("mth6_novelty", "SELECT q AS vec_id, round(CASE WHEN m < 0.55 THEN least(1.0, (1 - m) * 1.3) ELSE 1 - m END, 6) AS novelty FROM (SELECT q.vec_id AS q, max(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[]))) AS m FROM embeddings q JOIN embeddings s ON q.vec_id <> s.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1)")
 def mth6(t):
-    """Novelty against a stated set of three stored vectors."""
-    qs = t.embeddings.filter("vec_id IN (1, 2, 3)").collect()
-    sims = [F.when(F.col("vec_id") != r["vec_id"], S.cosine(F.col("embedding"), S.vector(r["embedding"]))) for r in qs]
-    return t.embeddings.select("vec_id", F.round(M.novelty(F.greatest(*sims)), 6).alias("novelty"))
+    """Novelty of each vector whose id 20 divides against all others."""
+    top = S.nearest(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", 1, -1.0)
+    return top.select(F.col("q").alias("vec_id"), F.round(M.novelty(F.col("score")), 6).alias("novelty"))
 
 
 @query("srt8_replay", "SELECT * FROM (SELECT * FROM (SELECT 'attention' AS source, user_id AS id, 0.5 * count(*) AS priority FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 6) UNION ALL SELECT * FROM (SELECT 'fragment', o_custkey, 0.3 * (count(*) + 1) FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 4) UNION ALL SELECT * FROM (SELECT 'vector', doc_id, 0.2 * n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 4)) ORDER BY priority DESC, source, id LIMIT 12")

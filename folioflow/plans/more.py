@@ -44,9 +44,16 @@ def ups2(t):
     return R.last_write(t.conversations.select("conv_id", "role", "turn"), ["conv_id"], "turn", "role").select("conv_id", F.col("turn").alias("last"), "role")
 
 
-@query("ups3_report_cache", "SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS cache_key FROM documents GROUP BY source")
+@query("ups3_report_cache", """WITH d AS (SELECT source, doc_id // 1000 AS block, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2),
+n AS (SELECT source, sha256(string_agg(h, ',' ORDER BY block)) AS cache_key, 'new' AS report FROM d GROUP BY source)
+SELECT coalesce(n.source, o.source) AS source, coalesce(n.cache_key, o.cache_key) AS cache_key, coalesce(n.report, o.report) AS report FROM n FULL JOIN (SELECT 'src0' AS source, 'stale' AS cache_key, 'old' AS report UNION ALL SELECT 'gone', 'kept', 'old') o ON n.source = o.source""")
 def ups3(t):
-    return t.documents.groupBy("source").agg(F.sha2(R.keep_in_order(F.col("doc_id"), F.col("doc_id").cast("string"), ","), 256).alias("cache_key"))
+    """Reports kept under a digest of what they were made of: blocks of 1000 ids are digested, then the blocks' digests."""
+    block = F.expr("doc_id div 1000").alias("block")
+    blocks = t.documents.groupBy("source", block).agg(F.sha2(R.keep_in_order(F.col("doc_id"), F.col("doc_id").cast("string"), ","), 256).alias("h"))
+    new = blocks.groupBy("source").agg(F.sha2(R.keep_in_order(F.col("block"), F.col("h"), ","), 256).alias("cache_key")).withColumn("report", F.lit("new"))
+    held = t.spark.createDataFrame([("src0", "stale", "old"), ("gone", "kept", "old")], "source string, cache_key string, report string")
+    return R.upsert(held, new, ["source"])
 
 
 @query("ups12_tree_rows", "SELECT 'root' AS path, NULL AS parent, CAST(0 AS BIGINT) AS sort_order UNION ALL SELECT 'root/' || source, 'root', row_number() OVER (ORDER BY source) FROM (SELECT DISTINCT source FROM documents)")
@@ -73,27 +80,33 @@ def win14(t):
 
 @query("chk1_dispatch")
 def chk1(t):
-    """Markdown by headings, other texts by windows."""
-    marked = F.col("text").rlike(r"(?m)^#{1,6} ")
-    md = C.heading_sections(t.documents.filter(marked), "doc_id", "text").select("id", F.col("section").cast("int").alias("chunk"), "content")
-    return md.unionByName(C.chunks_of(t.documents.filter(~marked), "doc_id", "text", C.windows()).select("id", "chunk", "content"))
+    """A document's kind follows its number here, so that each of the four is used; every fifth has page marks."""
+    n = F.col("doc_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("exam", "technical", "project", "academic")]), (n % 4 + 1).cast("int"))
+    marked = F.when(n % 5 == 0, F.concat(F.lit("[[PAGE:1]]\n"), F.replace("text", F.lit("\n\n"), F.lit("\n[[PAGE:2]]\n")))).otherwise(F.col("text"))
+    return C.sections_of(t.documents.select("doc_id", marked.alias("text"), kind.alias("kind")), "doc_id", "text", C.dispatched(), "kind")
 
 
-@query("chk2_markdown", "SELECT doc_id AS id, len(regexp_extract_all('# ' || replace(text, chr(10) || chr(10), chr(10) || '# '), '(^|\\n)#{1,6} ')) AS sections FROM documents")
+def as_markdown(t):
+    return t.documents.select("doc_id", F.concat(F.lit("# "), F.replace("text", F.lit("\n\n"), F.lit("\n# "))).alias("text"))
+
+
+# Without a cut by size, a piece is a heading's: the oracle counts them, and how many characters they have.
+@query("chk2_markdown", "SELECT doc_id AS id, len(regexp_extract_all(chr(10) || t, '\\n#')) AS sections, length(t) AS characters FROM (SELECT doc_id, '# ' || replace(text, chr(10) || chr(10), chr(10) || '# ') AS t FROM documents)")
 def chk2(t):
-    d = t.documents.select("doc_id", F.concat(F.lit("# "), F.replace("text", F.lit("\n\n"), F.lit("\n# "))).alias("text"))
-    return C.heading_sections(d, "doc_id", "text").groupBy("id").agg(F.count(F.lit(1)).alias("sections"))
+    out = C.sections_of(as_markdown(t), "doc_id", "text", C.markdown(10**9))
+    return out.groupBy("id").agg(F.count(F.lit(1)).alias("sections"), (F.sum(F.length("content")) + F.count(F.lit(1)) - 1).alias("characters"))
 
 
-@query("chk6_merge_small")
-def chk6(t):
-    """Short neighbours merge up to 1.2 times the target size."""
-    return C.chunks_of(t.documents, "doc_id", "text", C.recursive(int(480 * 1.2), 0))
+@query("chk2_markdown_cut")
+def chk2_cut(t):
+    return C.sections_of(as_markdown(t), "doc_id", "text", C.markdown())
 
 
-@query("js2_first_object", "SELECT event_id, regexp_extract('Answer: ' || props || ' end', '\\{[^{}]*\\}', 0) AS object FROM events")
-def js2(t):
-    return t.events.select("event_id", F.regexp_extract(F.concat(F.lit("Answer: "), "props", F.lit(" end")), r"\{[^{}]*\}", 0).alias("object"))
+@query("chk6_merge_small")
+def chk6(t):
+    """Sections by concept; long ones in windows, short neighbours merged up to 1.2 times the target size."""
+    return C.chunks_of(t.documents, "doc_id", "text", C.by_concept())
 
 
 @query("js5_nested_tree", "SELECT lang, string_agg(source || '(' || n || ')', ',' ORDER BY source) AS children FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY lang")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from folioflow.functions import text as X
 from folioflow.operators import chunking as C
 from folioflow.operators import ordered as O
 from folioflow.operators import rows as R
@@ -45,21 +46,17 @@ def chk4t(t):
     return C.page_groups(pages(t), toc)
 
 
-@query("chk5_sections", "SELECT id, section, count(*) AS lines FROM (SELECT id, n, CAST(sum(CASE WHEN length(line) < 30 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)) GROUP BY 1, 2")
-def chk5(t):
-    s = C.heading_sections(t.documents, "doc_id", "text", F.length("line") < 30)
-    return s.select("id", "section", F.size(F.split("content", "\n")).cast("bigint").alias("lines"))
-
-
 @query("chk9_rows", "SELECT id, CAST(i AS INTEGER) AS chunk, sha256('text|' || i || '|' || c) AS hash FROM (SELECT doc_id AS id, i, substr(text, i * 480 + 1, 480) AS c FROM (SELECT *, unnest(range(0, (length(text) - 1) // 480 + 1)) AS i FROM documents))")
 def chk9(t):
     c = C.fixed_stride(t.documents, "doc_id", "text", 480, 480)
     return c.select("id", "chunk", F.sha2(F.concat_ws("|", F.lit("text"), F.col("chunk").cast("string"), "content"), 256).alias("hash"))
 
 
-@query("q9_summary", "SELECT source, count(*) AS docs, string_agg(substr(text, 1, 60), chr(10) ORDER BY doc_id) AS overview FROM documents GROUP BY source")
+@query("q9_summary", r"SELECT source, doc_id, CASE WHEN length(c) > 240 THEN substr(c, 1, 239) || '…' ELSE c END AS excerpt, length(c) AS characters FROM (SELECT source, doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS c FROM documents)")
 def q9(t):
-    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), R.keep_in_order(F.col("doc_id"), F.substring("text", 1, 60), "\n").alias("overview"))
+    """A source's overview as rows in the order of ids: a clean excerpt of each text, and the text's length."""
+    clean = X.strip_all(F.regexp_replace("text", r"\s+", " "))
+    return t.documents.select("source", "doc_id", X.snippet(F.col("text"), 240).alias("excerpt"), F.length(clean).cast("bigint").alias("characters"))
 
 
 @query("q10_chapters", f"SELECT id, chapter, min(page) AS first, max(page) AS last, count(*) AS n FROM (SELECT id, page, CASE WHEN page >= 5 THEN 'body' ELSE 'front' END AS chapter FROM {PAGES}) GROUP BY 1, 2")

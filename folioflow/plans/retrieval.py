@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from folioflow.functions import text as X
 from folioflow.operators import retrieval as S
 from folioflow.operators import rows as R
 from folioflow.plans.registry import Tables, query
@@ -93,11 +94,28 @@ def q1(t):
     return S.hybrid_search(corpus(t), QUERY, query_vector(t)).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
-@query("q2_qa_focus", "SELECT conv_id, turn, round(1.0 / (60 + turn) + CASE WHEN role = 'assistant' THEN 0.18 ELSE 0.08 END + CASE WHEN n >= 2 THEN 0.16 ELSE 0 END, 9) AS score FROM (SELECT *, count(DISTINCT role) OVER (PARTITION BY conv_id) AS n FROM conversations) ORDER BY score DESC, conv_id, turn LIMIT 30")
+ROLE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{k}'" for k, words in X.QA_ROLES) + " ELSE CASE turn % 3 WHEN 0 THEN 'question' WHEN 1 THEN 'answer' ELSE 'other' END END"
+FOCUS = f"""WITH t AS (SELECT conv_id, turn, text, conv_id * 1000 + turn AS id, {ROLE} AS qa_role, turn // 3 AS question FROM conversations),
+k AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda x: length(x) > 1) AS w FROM t), n AS (SELECT count(*) AS n_rows, {{}} FROM k), s AS (SELECT k.*, {{}} AS score FROM k, n WHERE len(w) > 0),
+r AS (SELECT *, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS base FROM s), c AS (SELECT * FROM r ORDER BY base DESC, id LIMIT 30),
+g AS (SELECT *, bool_or(qa_role = 'question') OVER q AND bool_or(qa_role IN ('answer', 'analysis')) OVER q AS pair FROM c WINDOW q AS (PARTITION BY conv_id, question)),
+f AS (SELECT *, base + CASE qa_role WHEN 'answer' THEN 0.18 WHEN 'analysis' THEN 0.14 WHEN 'question' THEN 0.08 ELSE 0 END + CASE WHEN pair THEN 0.16 ELSE 0 END AS rank_score FROM g)
+SELECT conv_id, turn, qa_role, pair, round(rank_score, 9) AS score FROM f ORDER BY rank_score DESC, base DESC, id LIMIT 10"""
+FOCUS_WORDS = sorted(set(S.query_tokens("what is the answer of the question")))
+FOCUS_TIMES = {w: S.query_tokens("what is the answer of the question").count(w) for w in FOCUS_WORDS}
+FOCUS = FOCUS.format(
+    ", ".join(f"count(*) FILTER (len(w) > 0 AND list_contains(w, '{w}')) AS df_{w}" for w in FOCUS_WORDS),
+    " + ".join(f"len(list_filter(w, lambda x: x = '{w}')) / len(w) * (ln((n_rows + 1) / (df_{w} + 1)) + 1) * {FOCUS_TIMES[w]}" for w in FOCUS_WORDS),
+)
+
+
+@query("q2_qa_focus", FOCUS)
 def q2(t):
-    paired = t.conversations.groupBy("conv_id").agg((F.count_distinct("role") >= 2).alias("pair"))
-    score = 1.0 / (60 + F.col("turn")) + F.when(F.col("role") == "assistant", 0.18).otherwise(0.08) + F.when(F.col("pair"), 0.16).otherwise(0.0)
-    return t.conversations.join(paired, "conv_id").select("conv_id", "turn", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "conv_id", "turn").limit(30)
+    """Turns that match a question best, first those of a role, and those whose question and answer are both found."""
+    other = F.when(F.col("turn") % 3 == 0, "question").when(F.col("turn") % 3 == 1, "answer").otherwise("other")
+    named = X.first_class(F.lower("text"), X.QA_ROLES, "other")
+    rows = t.conversations.select("conv_id", "turn", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(named == "other", other).otherwise(named).alias("qa_role"), F.expr("turn div 3").alias("question"))
+    return S.qa_focus(S.sparse_scores(rows, "what is the answer of the question", "text"), 10)
 
 
 @query("q3_agent_context")
@@ -108,24 +126,22 @@ def q3(t):
     return hits.agg(R.keep_in_order(F.col("rank"), X.snippet(F.col("text"), 200), "\n").alias("context"))
 
 
-@query("q4_transfer", f"""SELECT a.label AS source_label, b.label AS target_label, round(avg(s), 6) AS mean_top3 FROM (SELECT x.label, x.q, y.vec_id, y.label AS l2, list_cosine_similarity(x.e, CAST(y.embedding AS DOUBLE[])) AS s,
- row_number() OVER (PARTITION BY x.q, y.label ORDER BY list_cosine_similarity(x.e, CAST(y.embedding AS DOUBLE[])) DESC, y.vec_id) AS n FROM (SELECT vec_id AS q, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 5) x, embeddings y) t JOIN (SELECT DISTINCT label FROM embeddings) a ON t.label = a.label JOIN (SELECT DISTINCT label FROM embeddings) b ON t.l2 = b.label WHERE n <= 3 GROUP BY 1, 2""")
+@query("q4_transfer")
 def q4(t):
-    """Mean of the best three scores from each of five stated vectors to each label."""
-    qs = t.embeddings.filter("vec_id < 5").collect()  # the five queries
-    each = F.explode(F.array(*[F.struct(F.lit(r["vec_id"]).alias("q"), F.lit(r["label"]).alias("source_label"), S.vector(r["embedding"]).alias("v")) for r in qs]))
-    s = t.embeddings.select("vec_id", "label", "embedding", each.alias("x")).select("vec_id", F.col("label").alias("target_label"), "x.q", "x.source_label", S.cosine(F.col("embedding"), F.col("x.v")).alias("s"))
-    top = R.first_per(s, ["q", "target_label"], [F.desc("s"), F.col("vec_id")], 3)
-    return top.groupBy("source_label", "target_label").agg(F.round(F.avg("s"), 6).alias("mean_top3"))
+    """From the best rows of one source, concepts; for each of the best five the two best rows of another source."""
+    c = corpus(t)
+    return S.transfer(c.filter("document_id = 'src0'"), c.filter("document_id = 'src1'"), QUERY, query_vector(t))
+
+
+PAIRS = "FROM embeddings q JOIN embeddings s ON s.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0"
+SIM = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[]))"
 
 
-@query("jn14_threshold_join", "SELECT q.vec_id AS q, s.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings s ON s.vec_id <> q.vec_id AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) >= 0.3 WHERE q.vec_id IN (1, 2, 3)")
+@query("jn14_threshold_join", f"SELECT q, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS q, s.vec_id, {SIM} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SIM} DESC, s.vec_id) AS n {PAIRS}) WHERE n <= 5 AND score >= 0.3")
 def jn14(t):
-    qs = t.embeddings.filter("vec_id IN (1, 2, 3)").collect()
-    each = F.explode(F.array(*[F.struct(F.lit(r["vec_id"]).alias("q"), S.vector(r["embedding"]).alias("v")) for r in qs]))
-    s = t.embeddings.select("vec_id", "embedding", each.alias("x")).filter("vec_id <> x.q")
-    score = S.cosine(F.col("embedding"), F.col("x.v"))
-    return s.filter(score >= 0.3).select("x.q", "vec_id", F.round(score, 6).alias("score"))
+    """Each vector whose id 20 divides against all: its five nearest of at least 0.3."""
+    found = S.nearest(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", 5, 0.3)
+    return found.select("q", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("q5_document_chunks", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 4")

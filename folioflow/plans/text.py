@@ -34,11 +34,6 @@ def str4(t):
     return t.documents.select("doc_id", X.snippet(F.col("text"), 160).alias("clip"))
 
 
-@query("str5_slug", "SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), ''), 'section') AS slug FROM documents")
-def str5(t):
-    return t.documents.select("doc_id", X.slug(F.substring("text", 1, 60), 40).alias("slug"))
-
-
 @query("str6_keywords", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}|[一-鿿]{2,8}')) AS word FROM documents) WHERE word NOT IN ('that', 'with', 'this', 'from') GROUP BY word ORDER BY n DESC, word LIMIT 50")
 def str6(t):
     words = t.documents.select(F.explode(X.keywords(F.col("text"))).alias("word")).filter(~F.col("word").isin("that", "with", "this", "from"))
@@ -51,16 +46,6 @@ def str7(t):
     return t.documents.select("doc_id", F.array_join(F.slice(lines, 1, 5), "\n").alias("points"))
 
 
-@query("str8_categories", "SELECT doc_id, array_to_string(regexp_extract_all(text, '(?:because|since|so that) ([a-z ]{4,40})', 1), '|') AS why FROM documents")
-def str8(t):
-    return t.documents.select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit("(?:because|since|so that) ([a-z ]{4,40})"), F.lit(1)), "|").alias("why"))
-
-
-@query("str9_relevance", "SELECT doc_id, least(1.0, 0.1 * len(regexp_extract_all(text, 'the')) + 0.5 * 0.5) AS relevance FROM documents")
-def str9(t):
-    return t.documents.select("doc_id", F.least(F.lit(1.0), 0.1 * F.regexp_count("text", F.lit("the")) + F.lit(0.25)).alias("relevance"))
-
-
 def sql_any(col, words):
     return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
 
@@ -86,51 +71,12 @@ def str11(t):
     return t.conversations.select("conv_id", "turn", X.first_class(F.lower("text"), X.QA_ROLES, "other").alias("qa_role"), qid.alias("question_id"))
 
 
-@query("str12_headings", r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) < 60 AND regexp_matches(x, '^([0-9]+(\.[0-9]+)*[ .]|[A-Z][A-Z ]+$|#)'))) AS BIGINT) AS headings FROM documents")
-def str12(t):
-    heads = F.filter(F.split("text", "\n"), lambda x: (F.length(x) < 60) & x.rlike(r"^([0-9]+(\.[0-9]+)*[ .]|[A-Z][A-Z ]+$|#)"))
-    return t.documents.select("doc_id", F.size(heads).cast("bigint").alias("headings"))
-
-
 @query("str13_chunk_class", """SELECT doc_id, CASE WHEN CAST(contains(h, 'copyright') AS INTEGER) + CAST(contains(h, 'all rights reserved') AS INTEGER) + CAST(contains(h, 'isbn') AS INTEGER) + CAST(contains(h, 'publisher') AS INTEGER) >= 2
  OR (length(s) < 60 AND NOT e) THEN 'filler' WHEN e THEN 'example' ELSE 'knowledge' END AS kind FROM (SELECT doc_id, substr(lower(text), 1, 200) AS h, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s, regexp_matches(text, '(?i)(^|[^a-z])(example|exercise|problem) *[0-9]*') AS e FROM documents)""")
 def str13(t):
     return t.documents.select("doc_id", X.chunk_class(F.col("text"), F.col("source")).alias("kind"))
 
 
-@query("str14_weighted_type", "SELECT doc_id, CASE WHEN a >= b AND a > 0 THEN 'the' WHEN b > 0 THEN 'de' ELSE 'none' END AS kind FROM (SELECT doc_id, 2 * len(regexp_extract_all(text, 'the')) AS a, 3 * len(regexp_extract_all(text, 'de ')) AS b FROM documents)")
-def str14(t):
-    a, b = 2 * F.regexp_count("text", F.lit("the")), 3 * F.regexp_count("text", F.lit("de "))
-    return t.documents.select("doc_id", F.when((a >= b) & (a > 0), "the").when(b > 0, "de").otherwise("none").alias("kind"))
-
-
-REFS = [("table", r"Table\s*([0-9]+\.[0-9]+|[0-9]+)"), ("section", r"Section\s*([0-9]+)"), ("mail", r"([a-z0-9.]+@[a-z0-9.]+)"), ("address", r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)")]
-REF_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS target_type, label FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}', 1)) AS label FROM documents)" for k, p in REFS)
-
-
-@query("str15_references", REF_SQL)
-def str15(t):
-    """References by pattern; a text that matches several gives a row for each."""
-
-
-    def labelled(kind, pattern):
-        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("target_type"), x.alias("label")))
-
-    found = F.flatten(F.array(*[labelled(k, p) for k, p in REFS]))
-    return t.documents.select("doc_id", F.explode(found).alias("r")).select("doc_id", "r.target_type", "r.label")
-
-
-@query("str16_terms", """SELECT term, count(*) AS n, count(DISTINCT page_id) AS docs FROM (SELECT page_id, unnest(regexp_extract_all(html, '"([^"]{2,30})"', 1)) AS term FROM pages) GROUP BY term""")
-def str16(t):
-    e = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('"([^"]{2,30})"'), F.lit(1))).alias("term"))
-    return e.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("docs"))
-
-
-@query("str17_concepts", "SELECT doc_id, unnest(regexp_extract_all(lower(text), '(?:such as|for example|is|are) ([a-z]{5,30})', 1)) AS concept FROM documents")
-def str17(t):
-    return t.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?:such as|for example|is|are) ([a-z]{5,30})"), F.lit(1))).alias("concept"))
-
-
 @query("str18_title", "SELECT doc_id, line FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN length(line) BETWEEN 8 AND 80 THEN 10 ELSE 0 END - i DESC, i) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))[1:20]) AS line, generate_subscripts(string_split(text, chr(10))[1:20], 1) - 1 AS i FROM documents)) WHERE n = 1")
 def str18(t):
     """The best of the first 20 lines: a fitting length counts 10, each line further down costs 1."""
@@ -139,11 +85,6 @@ def str18(t):
     return R.first_per(lines.withColumn("s", score), ["doc_id"], [F.desc("s"), F.col("i")]).select("doc_id", "line")
 
 
-@query("str20_first_words", "SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda x: x <> '')[1:30], ' ') AS head FROM documents")
-def str20(t):
-    return t.documents.select("doc_id", F.array_join(F.slice(F.filter(F.split("text", " "), lambda x: x != ""), 1, 30), " ").alias("head"))
-
-
 BEST = ", ".join(f"{sql_hits('x', w)} AS h{i}" for i, w in enumerate(X.DISCIPLINES.values()))
 PICK = " ".join(f"WHEN h{i} = greatest(h0, h1, h2, h3, h4) THEN '{n}'" for i, n in enumerate(X.DISCIPLINES))
 
@@ -153,12 +94,6 @@ def str21(t):
     return t.documents.select("doc_id", X.most_hits(F.lower(F.substring("text", 1, 2000)), X.DISCIPLINES, "general").alias("discipline"))
 
 
-@query("str22_form", r"SELECT page_id, CASE WHEN 3 * contains(html, '<table')::INT > 2 * contains(html, '<li')::INT THEN 'table' WHEN contains(html, '<li') THEN 'list' ELSE 'text' END AS form FROM pages")
-def str22(t):
-    a, b = 3 * F.contains("html", F.lit("<table")).cast("int"), 2 * F.contains("html", F.lit("<li")).cast("int")
-    return t.pages.select("page_id", F.when(a > b, "table").when(b > 0, "list").otherwise("text").alias("form"))
-
-
 @query("str23_quality", r"SELECT doc_id, round((len(regexp_extract_all(text, '[A-Za-z一-鿿]')) - len(regexp_extract_all(text, '[�?\x01-\x08\x0b\x0c\x0e-\x1f]'))) / length(text), 6) AS quality FROM documents")
 def str23(t):
     return t.documents.select("doc_id", F.round(X.text_quality(F.col("text")), 6).alias("quality"))
@@ -180,11 +115,6 @@ def str26(t):
     return t.documents.select("doc_id", F.coalesce(F.nullif(F.regexp_extract("text", r"^#+ *([^\n]+)", 1), F.lit("")), F.nullif(F.trim(F.split_part("text", F.lit("."), F.lit(1))), F.lit("")), "source").alias("heading"))
 
 
-@query("str28_section_header", "SELECT conv_id, turn, length(text) < 40 AND NOT contains(text, '?') AS is_header FROM conversations")
-def str28(t):
-    return t.conversations.select("conv_id", "turn", ((F.length("text") < 40) & ~F.contains("text", F.lit("?"))).alias("is_header"))
-
-
 @query("str29_doc_type", "SELECT page_id, CASE WHEN url LIKE '%.pdf' THEN 'pdf' WHEN contains(url, '?') THEN 'dynamic' ELSE 'html' END AS kind FROM pages")
 def str29(t):
     return t.pages.select("page_id", F.when(F.col("url").endswith(".pdf"), "pdf").when(F.contains("url", F.lit("?")), "dynamic").otherwise("html").alias("kind"))
@@ -220,9 +150,9 @@ def agg12(t):
     return t.documents.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-@query("agg13_term_frequency", f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS token FROM documents WHERE lang = 'es') GROUP BY 1, 2")
+@query("agg13_term_frequency", f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS token FROM documents) GROUP BY 1, 2")
 def agg13(t):
-    return t.documents.filter("lang = 'es'").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return t.documents.select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 @query("agg14_ranked_keywords", f"SELECT token, df FROM (SELECT token, count(*) AS df FROM (SELECT DISTINCT source, unnest({TOKENS}) AS token FROM documents) GROUP BY token) ORDER BY df DESC, token LIMIT 40")
@@ -231,11 +161,14 @@ def agg14(t):
     return pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "token").limit(40)
 
 
-@query("agg16_structure", "SELECT conv_id, count(*) AS leaves, max(turn) AS depth, mode(role ORDER BY role) AS top_role FROM conversations GROUP BY conv_id HAVING count(*) % 2 = 1")
+@query("agg16_structure", """SELECT p.conv_id, total, leaves, depth, types FROM (SELECT conv_id, count(*) AS total, count(*) FILTER (turn % 4 > 0) AS leaves, max(turn % 4 + 1) AS depth FROM conversations GROUP BY 1) p
+ JOIN (SELECT conv_id, string_agg(role, ' / ' ORDER BY n DESC, role) AS types FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, role) AS r FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY 1, 2)) WHERE r <= 3 GROUP BY 1) q ON p.conv_id = q.conv_id""")
 def agg16(t):
-    roles = t.conversations.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("d"))
-    out = roles.groupBy("conv_id").agg(F.sum("n").alias("leaves"), F.max("d").alias("depth"), F.min_by("role", F.struct(-F.col("n"), F.col("role"))).alias("top_role"))
-    return out.filter("leaves % 2 = 1")
+    """Leaves, depth and the three commonest types of a tree; each fourth turn is a parent here, the next ones its levels."""
+    level = F.col("turn") % 4 + 1
+    roles = t.conversations.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"), F.count_if(level > 1).alias("l"), F.max(level).alias("d"))
+    top = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "role"))), 1, 3), lambda x: x["role"])
+    return roles.groupBy("conv_id").agg(F.sum("n").alias("total"), F.sum("l").alias("leaves"), F.max("d").alias("depth"), F.array_join(top, " / ").alias("types"))
 
 
 @query("agg27_type_histogram", f"SELECT kind, count(*) AS n FROM (SELECT {CONTENT} AS kind FROM documents) GROUP BY kind")

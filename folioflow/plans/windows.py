@@ -150,11 +150,6 @@ def jn8(t):
     return m.groupBy("p_partkey").agg(F.min("k").alias("first_match"))
 
 
-@query("jn12_longest_match", f"SELECT p.p_partkey, max(length(label)) AS longest FROM part p JOIN {LABELS} l ON contains(p.p_name, l.label) GROUP BY p.p_partkey")
-def jn12(t):
-    return t.part.join(labels(t), F.contains("p_name", "label")).groupBy("p_partkey").agg(F.max(F.length("label")).cast("bigint").alias("longest"))
-
-
 NEAR = """WITH e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)
 SELECT id, other, greatest(0.0, 1 - delta / 3600.0) AS weight FROM (SELECT a.event_id AS id, b.event_id AS other, abs(a.s - b.s) AS delta,
  row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.s - b.s), b.event_id) AS n FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs(a.s - b.s) <= 3600) WHERE n <= 4"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -91,16 +92,26 @@ def cooldown(events: DataFrame, seconds: float = 300.0) -> DataFrame:
 
 
 def cooldown_batch(events: DataFrame, seconds: float = 300.0) -> DataFrame:
-    """The batch twin, one ordered pass per key as an aggregate: no Python."""
-    rows = F.array_sort(F.collect_list(F.struct("ts", "id")))
-    start = F.expr("named_struct('last', double('-infinity'), 'out', cast(array() as array<struct<id:bigint,accepted:boolean>>))")
+    """The batch twin: one pass over each key's rows in order, with the last accepted time as all its state.
 
-    def step(s, r):
-        now = F.unix_micros(r["ts"].cast("timestamp")) / 1e6
-        ok = now - s["last"] >= seconds
-        return F.struct(F.when(ok, now).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(F.struct(r["id"].alias("id"), ok.alias("accepted")))).alias("out"))
+    A key's rows stand in one partition, sorted, and pass through as batches: none is gathered whole.
+    """
 
-    return events.groupBy("key").agg(F.aggregate(rows, start, step)["out"].alias("o")).select("key", F.explode("o").alias("x")).select("key", "x.id", "x.accepted")
+    def run(batches):
+        key = last = None
+        for batch in batches:
+            ok = []
+            for k, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != key or last is None:
+                    key, last, accepted = k, at, True
+                else:
+                    accepted = at - last >= seconds * 1e6
+                    last = at if accepted else last
+                ok.append(accepted)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ok, pa.bool_())], names=["key", "id", "accepted"])
+
+    rows = events.select(F.col("key").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("id").cast("bigint").alias("id"))
+    return rows.repartition("key").sortWithinPartitions("key", "at", "id").mapInArrow(run, "key string, id bigint, accepted boolean")
 
 
 def upsert_batches(path: str, keys: list[str]):

@@ -46,6 +46,12 @@ def test_cooldown_equals_its_batch_twin(spark, events):
     got = sorted(map(tuple, spark.table("cooled").collect()))
     twin = sorted(map(tuple, S.cooldown_batch(keyed(batch), 86400.0).collect()))
     assert len(got) == len(twin) and {x[:2] for x in got} == {x[:2] for x in twin}
+    last, want = {}, set()
+    for key, at, i in sorted((str(r["user_id"]), r["ts"], r["event_id"]) for r in batch.collect()):
+        ok = key not in last or (at - last[key]).total_seconds() >= 86400.0
+        last[key] = at if ok else last[key]
+        want.add((key, i, ok))
+    assert set(twin) == want
 
 
 def test_cooldown_counts_from_the_last_accepted(spark):
