@@ -43,14 +43,15 @@ def agg7(t):
     return t.events.groupBy("user_id").agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("balance"))
 
 
-REFUND = """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'open' WHEN c_acctbal < o_totalprice / 100 THEN 'refund_pending_settlement' ELSE 'refunded' END AS state
-FROM orders JOIN customer ON o_custkey = c_custkey"""
-
-
-@query("agg8_refund_states", f"SELECT state, count(*) AS n FROM ({REFUND}) GROUP BY state")
+@query("agg8_refund_states", """SELECT c_custkey, credited, reverted, round(credited - reverted, 2) AS net, CASE WHEN reverted = 0 THEN 'active' WHEN c_acctbal < reverted / 100 THEN 'refund_pending_settlement' WHEN reverted >= credited THEN 'refunded' ELSE 'partly_refunded' END AS status
+FROM (SELECT o_custkey, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus <> 'O'), 0), 2) AS credited, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 0), 2) AS reverted FROM orders GROUP BY 1) JOIN customer ON o_custkey = c_custkey""")
 def agg8(t):
-    state = F.when(F.col("o_orderstatus") != "F", "open").when(F.col("c_acctbal") < F.col("o_totalprice") / 100, "refund_pending_settlement").otherwise("refunded")
-    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    """Per tenant what was credited and what was taken back, and where that leaves it; a balance too low leaves a refund pending."""
+    total = lambda cond: F.round(F.coalesce(F.sum(F.when(cond, F.col("o_totalprice"))), F.lit(0)), 2)
+    sums = t.orders.groupBy("o_custkey").agg(total(F.col("o_orderstatus") != "O").alias("credited"), total(F.col("o_orderstatus") == "P").alias("reverted"))
+    status = F.when(F.col("reverted") == 0, "active").when(F.col("c_acctbal") < F.col("reverted") / 100, "refund_pending_settlement").when(F.col("reverted") >= F.col("credited"), "refunded").otherwise("partly_refunded")
+    both = sums.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return both.select("c_custkey", "credited", "reverted", F.round(F.col("credited") - F.col("reverted"), 2).alias("net"), status.alias("status"))
 
 
 @query("agg9_daily_usage", "SELECT strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -102,10 +102,12 @@ def mth10(t):
     return t.conversations.select("conv_id", "turn", F.when(F.col("role") == "assistant", 0.18).when(F.col("role") == "system", 0.14).otherwise(0.08).alias("bonus"))
 
 
-@query("mth11_eta", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') * 30 AS eta, round(count(*) FILTER (o_orderstatus = 'O') / 300.0, 6) AS utilisation FROM orders GROUP BY 1")
+@query("mth11_eta", "SELECT o_custkey, queued, CASE WHEN queued > 0 AND average > 0 THEN round(queued * average, 1) END AS eta, round(queued / 300.0, 6) AS utilisation FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS queued, avg(o_orderkey % 60 + 1) FILTER (o_orderstatus = 'F') AS average FROM orders GROUP BY 1)")
 def mth11(t):
-    q = F.count_if(F.col("o_orderstatus") == "O")
-    return t.orders.groupBy("o_custkey").agg((q * 30).alias("eta"), F.round(q / 300.0, 6).alias("utilisation"))
+    """Per tenant the tasks in the queue, the wait at the mean of its finished ones, and the share of its limit in use."""
+    open_, done = F.col("o_orderstatus") == "O", F.col("o_orderstatus") == "F"
+    q = t.orders.groupBy("o_custkey").agg(F.count_if(open_).alias("queued"), F.avg(F.when(done, F.col("o_orderkey") % 60 + 1)).alias("average"))
+    return q.select("o_custkey", "queued", F.when((F.col("queued") > 0) & (F.col("average") > 0), F.round(F.col("queued") * F.col("average"), 1)).alias("eta"), F.round(F.col("queued") / 300.0, 6).alias("utilisation"))
 
 
 @query("mth3_rrf", "SELECT doc_id, round(CASE WHEN source = 'src0' THEN 0.4 ELSE 1.0 END / (60 + row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)), 9) AS score FROM documents")

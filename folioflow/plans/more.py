@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import text as X
 from folioflow.operators import chunking as C
 from folioflow.operators import graph as G
 from folioflow.operators import rows as R
@@ -188,9 +189,10 @@ def udf2(t):
     return a.groupBy("conv_id").agg(R.keep_in_order(F.col("turn"), F.split_part("text", F.lit("."), F.lit(1)), ". ").alias("answer"))
 
 
-@query("udf4_transform_chain", "SELECT doc_id, lower(trim(substr(text, 1, 50))) AS head FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 20")
+@query("udf4_transform_chain", r"SELECT doc_id, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS clean, length(text) AS characters FROM documents WHERE length(text) > 20")
 def udf4(t):
-    steps = [lambda d: d.filter("lang = 'de'"), lambda d: d.select("doc_id", F.substring("text", 1, 50).alias("head")), lambda d: d.withColumn("head", F.lower(F.trim("head"))), lambda d: d.orderBy("doc_id").limit(20)]
+    """Steps of DataFrame to DataFrame, named by whoever plugs them in."""
+    steps = [lambda d: d.filter("length(text) > 20"), lambda d: d.select("doc_id", X.strip_all(F.col("text")).alias("clean"), F.length("text").cast("bigint").alias("characters")), lambda d: d.withColumn("clean", F.lower("clean"))]
     out = t.documents
     for step in steps:
         out = out.transform(step)

@@ -230,9 +230,9 @@ def set2(t):
     return R.first_per(t.documents.withColumn("p", F.substring("text", 1, 80)), ["p"], [F.col("doc_id")]).select("doc_id")
 
 
-@query("set3_intersection", "SELECT doc_id, len(list_intersect(list_distinct(string_split(substr(text, 1, 400), ' ')), ['the', 'of', 'and', 'de', 'que'])) AS shared FROM documents")
+@query("set3_intersection", "SELECT doc_id, len(list_intersect(list_distinct(string_split(text, ' ')), ['the', 'of', 'and', 'de', 'que'])) AS shared FROM documents")
 def set3(t):
-    words = F.array_distinct(F.split(F.substring("text", 1, 400), " "))
+    words = F.array_distinct(F.split("text", " "))
     return t.documents.select("doc_id", F.size(F.array_intersect(words, F.array(*map(F.lit, ["the", "of", "and", "de", "que"])))).cast("bigint").alias("shared"))
 
 

@@ -79,10 +79,14 @@ def q12(t):
     return a.unionByName(t.documents.select(F.concat_ws("/", root, "source").alias("id"), root.alias("parent"), F.lit(1).alias("depth")).distinct())
 
 
-@query("q13_map_reduce", f"SELECT id, string_agg(part, ' / ' ORDER BY batch) AS report FROM (SELECT id, (page - 1) // 3 AS batch, string_agg(substr(text, 1, 30), ' ' ORDER BY page) AS part FROM {PAGES} GROUP BY 1, 2) GROUP BY id")
+@query("q13_map_reduce", rf"SELECT id, string_agg(part, ' / ' ORDER BY batch) AS report FROM (SELECT id, (page - 1) // 3 AS batch, string_agg(CASE WHEN length(c) > 120 THEN substr(c, 1, 119) || '…' ELSE c END, ' ' ORDER BY page) AS part FROM (SELECT id, page, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS c FROM {PAGES}) GROUP BY 1, 2) GROUP BY id")
 def q13(t):
-    """Map: the head of each page; reduce by batches of three; reduce to one report a document."""
-    b = pages(t).groupBy("id", F.expr("(page - 1) div 3").alias("batch")).agg(R.keep_in_order(F.col("page"), F.substring("text", 1, 30), " ").alias("part"))
+    return map_reduce(pages(t), lambda text: X.snippet(text, 120))
+
+
+def map_reduce(rows, each, batch: int = 3):
+    """Map every page (id, page, text) by `each`, a function of Column, where a model's call would plug in; reduce by batches, then to one report a document."""
+    b = rows.groupBy("id", F.expr(f"(page - 1) div {batch}").alias("batch")).agg(R.keep_in_order(F.col("page"), each(F.col("text")), " ").alias("part"))
     return b.groupBy("id").agg(R.keep_in_order(F.col("batch"), F.col("part"), " / ").alias("report"))
 
 
@@ -103,7 +107,8 @@ def str27(t):
     return t.documents.select("doc_id", F.regexp_count("text", F.lit(r"(?:^|\n)[0-9]+[.)]")).cast("bigint").alias("questions"), F.regexp_count("text", F.lit("[ABCD][.)] ")).cast("bigint").alias("options"))
 
 
-@query("str19_heading_list", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x = upper(x) AND length(x) BETWEEN 3 AND 60)[1:10], '|') AS heads FROM documents WHERE lang = 'en'")
+@query("str19_heading_list", r"SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) BETWEEN 3 AND 60 AND NOT regexp_matches(x, '\p{Ll}')), '|') AS heads FROM documents")
 def str19(t):
-    heads = F.filter(F.split("text", "\n"), lambda x: (x == F.upper(x)) & F.length(x).between(3, 60))
-    return t.documents.filter("lang = 'en'").select("doc_id", F.array_join(F.slice(heads, 1, 10), "|").alias("heads"))
+    """Lines of 3 to 60 characters without a lower-case letter."""
+    heads = F.filter(F.split("text", "\n"), lambda x: F.length(x).between(3, 60) & ~x.rlike(r"\p{Ll}"))
+    return t.documents.select("doc_id", F.array_join(heads, "|").alias("heads"))

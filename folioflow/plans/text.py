@@ -182,9 +182,9 @@ def srt3(t):
     return keyed
 
 
-@query("arr1_arrays", "SELECT doc_id, array_to_string(list_sort(list_distinct(string_split(substr(text, 1, 80), ' ')))[1:4], '|') AS words FROM documents WHERE lang = 'en'")
+@query("arr1_arrays", "SELECT doc_id, array_to_string(list_sort(list_distinct(string_split(text, ' ')))[1:4], '|') AS words FROM documents")
 def arr1(t):
-    return t.documents.filter("lang = 'en'").select("doc_id", F.array_join(F.slice(F.array_sort(F.array_distinct(F.split(F.substring("text", 1, 80), " "))), 1, 4), "|").alias("words"))
+    return t.documents.select("doc_id", F.array_join(F.slice(F.array_sort(F.array_distinct(F.split("text", " "))), 1, 4), "|").alias("words"))
 
 
 @query("hsh1_digests", "SELECT doc_id, sha256(text) AS sha, substr(md5(text), 1, 8) AS short, substr(sha256(text), 1, 16) AS content_hash FROM documents")
