@@ -113,8 +113,16 @@ def group_of(pattern: str) -> int:
     return min(1, re.compile(pattern).groups)
 
 
+def is_chinese(pattern: str) -> bool:
+    """Whether a pattern's words are all Chinese: it can't match a text without such characters."""
+    bare = re.sub(r"\(\?[a-z]+\)|\\.", "", pattern)
+    return bool(re.search("[一-鿿]", bare)) and not re.search("[A-Za-z]", bare)
+
+
 def all_of(c: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group_of(pattern)))
+    """All matches; texts without a Chinese character are spared the patterns that need one."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(group_of(pattern)))
+    return F.when(c.rlike("[一-鿿]"), found).otherwise(F.array().cast("array<string>")) if is_chinese(pattern) else found
 
 
 def labelled(c: Column, patterns, flags: str = "") -> Column:
