@@ -21,6 +21,10 @@ from folioflow.llm.packing import digest, pack_in_order
 from folioflow.llm.quality import learn, score_of
 
 
+#: A row for each file (about 150 bytes) is broadcast up to so many files.
+MOST_FILES = 500_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     """Rows whose text scores at least the threshold; a null text is scored as an empty one. Rows and columns are as they were."""
     with Scratch(spark, "pipeline-quality") as scratch:
@@ -41,7 +45,8 @@ def in_file_order(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = rows.groupBy("file").agg((F.max("at") + 1).alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     first = sizes.select(F.col("file").alias("f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return rows.join(first, F.col("file") == F.col("f")).select("doc", (F.col("first") + F.col("at")).alias("row"))
+    few = len(docs.inputFiles()) <= MOST_FILES
+    return rows.join(F.broadcast(first) if few else first, F.col("file") == F.col("f")).select("doc", (F.col("first") + F.col("at")).alias("row"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
