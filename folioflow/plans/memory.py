@@ -79,13 +79,6 @@ def mth7(t):
     return t.conversations.select("conv_id", "turn", s.alias("score"), level(s).alias("level"))
 
 
-@query("q15_exam_stats", f"SELECT conv_id, round(avg(s), 6) AS mean, count(*) FILTER (s < 0.45) AS easy, count(*) FILTER (s >= 0.45 AND s < 0.72) AS medium, count(*) FILTER (s >= 0.72) AS hard FROM (SELECT conv_id, CAST({DIFFICULTY} AS DECIMAL(9,3)) AS s FROM conversations) GROUP BY conv_id")
-def q15(t):
-    d = t.conversations.select("conv_id", difficulty(F.col("text")).cast("decimal(9,3)").alias("s"))
-    s = F.col("s")
-    return d.groupBy("conv_id").agg(F.round(F.avg(s.cast("double")), 6).alias("mean"), F.count_if(s < 0.45).alias("easy"), F.count_if((s >= 0.45) & (s < 0.72)).alias("medium"), F.count_if(s >= 0.72).alias("hard"))
-
-
 @query("mth8_step_targets", "SELECT doc_id, CASE WHEN n_chars < 2000 THEN 3 WHEN n_chars < 6000 THEN 6 WHEN n_chars < 20000 THEN 10 ELSE 14 END AS target FROM documents")
 def mth8(t):
     n = F.col("n_chars")

@@ -102,11 +102,6 @@ def q22(t):
     return pages(t).filter("page % 2 = 1").select("id", "page", F.lead("page").over(Window.partitionBy("id").orderBy("page")).alias("until"))
 
 
-@query("str27_question_blocks", r"SELECT doc_id, len(regexp_extract_all(text, '(?:^|\n)[0-9]+[.)]')) AS questions, len(regexp_extract_all(text, '[ABCD][.)] ')) AS options FROM documents")
-def str27(t):
-    return t.documents.select("doc_id", F.regexp_count("text", F.lit(r"(?:^|\n)[0-9]+[.)]")).cast("bigint").alias("questions"), F.regexp_count("text", F.lit("[ABCD][.)] ")).cast("bigint").alias("options"))
-
-
 @query("str19_heading_list", r"SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) BETWEEN 3 AND 60 AND NOT regexp_matches(x, '\p{Ll}')), '|') AS heads FROM documents")
 def str19(t):
     """Lines of 3 to 60 characters without a lower-case letter."""
