@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.operators import chapters as H
 from folioflow.operators import chunking as C
-from folioflow.operators import ordered as O
 from folioflow.operators import rows as R
 from folioflow.plans.registry import Tables, query
 
@@ -59,17 +59,39 @@ def q9(t):
     return t.documents.select("source", "doc_id", X.snippet(F.col("text"), 240).alias("excerpt"), F.length(clean).cast("bigint").alias("characters"))
 
 
-@query("q10_chapters", f"SELECT id, chapter, min(page) AS first, max(page) AS last, count(*) AS n FROM (SELECT id, page, CASE WHEN page >= 5 THEN 'body' ELSE 'front' END AS chapter FROM {PAGES}) GROUP BY 1, 2")
+# Pages of even documents have a table of contents; those of others are titled by their number: a chapter of its
+# own, a generic title, none, an appendix. The oracle states each page's chapter outright.
+CHAPTERED = f"""(SELECT id, page, CASE WHEN id % 2 = 0 AND page >= 5 THEN 'toc:5:body' WHEN id % 2 = 0 THEN 'toc:1:front' WHEN page % 4 = 3 THEN 'pages:' || ((page - 1) // 12 * 12 + 1) || '-' || ((page - 1) // 12 * 12 + 12)
+ ELSE 'section:chapter-' || (page - CASE page % 4 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 3 END) END AS chapter_key, CASE WHEN id % 2 = 0 AND page >= 5 THEN 'Body' WHEN id % 2 = 0 THEN 'Front'
+ WHEN page % 4 = 3 THEN '页 ' || ((page - 1) // 12 * 12 + 1) || '-' || ((page - 1) // 12 * 12 + 12) ELSE 'chapter ' || (page - CASE page % 4 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 3 END) END AS chapter_title FROM {PAGES})"""
+SEGMENTED = f"""(SELECT id, chapter_key, chapter_title, CAST((r - 1) // each + 1 AS INTEGER) AS segment, chapter_title || CASE WHEN n > each THEN ' 第' || CAST((r - 1) // each + 1 AS INTEGER) || '/' || CAST((n + each - 1) // each AS INTEGER) || '段' ELSE '' END AS label, min(page) AS "first", max(page) AS "last", count(*) AS "rows"
+ FROM (SELECT *, CASE WHEN n <= 2 OR (span <= 24 AND n <= 4) THEN n WHEN span <= 48 THEN greatest(2, (n + 1) // 2) WHEN span <= 90 THEN greatest(2, (n + 2) // 3) ELSE greatest(2, (n + 3) // 4) END AS each FROM (SELECT *, count(*) OVER w AS n, max(page) OVER w - min(page) OVER w + 1 AS span,
+ row_number() OVER (PARTITION BY id, chapter_key ORDER BY page) AS r FROM {CHAPTERED} WINDOW w AS (PARTITION BY id, chapter_key))) GROUP BY ALL)"""
+
+
+def chaptered(t):
+    n = F.col("page") % 4
+    path = F.when(F.col("id") % 2 == 1, F.when(n == 1, F.concat(F.lit("/page1/academic/chapter-"), F.col("page").cast("string"))).when(n == 2, "答案").when(n == 0, "附录_一"))
+    none = F.lit(None).cast("string")
+    rows = pages(t).select("id", F.lit(0).alias("seq"), F.col("page").cast("int").alias("page"), path.alias("section_path"), none.alias("content"), none.alias("title"))
+    items = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(title).alias("title")) for at, title in ((1, "Front"), (5, "Body"))])
+    contents = t.documents.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.explode(items).alias("x")).select("id", "x.*")
+    return H.chapters(rows, contents)
+
+
+@query("q10_chapters", f"SELECT * FROM {SEGMENTED}")
 def q10(t):
-    toc = t.documents.select(F.col("doc_id").alias("id"), F.explode(F.array(F.struct(F.lit(1).alias("at"), F.lit("front").alias("chapter")), F.struct(F.lit(5).alias("at"), F.lit("body").alias("chapter")))).alias("x")).select("id", "x.*")
-    placed = O.as_of(pages(t), toc, "id", "page", "at", ["chapter"])
-    return placed.groupBy("id", "chapter").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.count(F.lit(1)).alias("n"))
+    return H.segments(chaptered(t), 2)
 
 
-@query("q11_regroup", f"SELECT coalesce(nullif(key, ''), 'other') AS key, count(*) AS n FROM (SELECT lower(regexp_extract(text, '^[A-Za-z]+', 0)) AS key FROM {PAGES}) GROUP BY 1")
+@query("q11_regroup", f"""SELECT id, key, arg_min(title, ROW("first", title)) AS title, min("first") AS "first", max("last") AS "last", count(*) AS parts FROM (SELECT id, CASE segment % 3 WHEN 0 THEN 'pages:' || "first" || '-' || "last" WHEN 1 THEN chapter_key ELSE label END AS key,
+ CASE segment % 3 WHEN 0 THEN '章节' WHEN 1 THEN chapter_title ELSE label END AS title, "first", "last" FROM {SEGMENTED}) GROUP BY 1, 2""")
 def q11(t):
-    key = F.coalesce(F.nullif(F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)), F.lit("")), F.lit("other"))
-    return pages(t).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    """Every third part lost its chapter, every third its label too."""
+    s = H.segments(chaptered(t), 2)
+    n = F.col("segment") % 3
+    parts = s.select("id", F.when(n == 1, F.col("chapter_key")).alias("chapter_key"), F.when(n == 1, F.col("chapter_title")).alias("chapter_title"), F.when(n != 0, F.col("label")).alias("label"), "first", "last", F.lit("").alias("content"))
+    return H.regroup(parts, "content")
 
 
 @query("q12_tree", "SELECT 'lang:' || lang AS id, NULL AS parent, 0 AS depth FROM documents GROUP BY lang UNION ALL SELECT 'lang:' || lang || '/' || source, 'lang:' || lang, 1 FROM documents GROUP BY lang, source")
