@@ -32,17 +32,27 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: s
     return both.withColumn("_found", found).filter("_side = 1").select(*left.columns, *[F.col("_found")[v].alias(v) for v in values])
 
 
-def near_in_time(df: DataFrame, key: str, at: str, id_col: str, seconds: int, most: int) -> DataFrame:
-    """Pairs (id, other, delta) of one key within `seconds`, the `most` nearest of each id.
+def near_in_time(df: DataFrame, key: str, at: str, id_col: str, seconds: int, most: int, left: DataFrame | None = None) -> DataFrame:
+    """Pairs (id, other, delta) of one key within `seconds`, the `most` nearest of each id (of `left`, if given).
 
-    Rows meet by time buckets of that width, so the join stays an equi-join.
+    Ties go by other; ids are unique, and rows without a key or a time are near nothing. A row stands in its
+    stretch of `seconds` and beside it in both neighbours. There the nearest are among the `most` rows
+    before and after it and the first ones of its very time, so no pairs are made to choose from, and a
+    hot key's stretches are dealt to several tasks.
     """
-    a = df.select(key, F.col(id_col).alias("id"), F.col(at).alias("t")).withColumn("bucket", F.floor(F.col("t") / seconds))
-    b = df.select(key, F.col(id_col).alias("other"), F.col(at).alias("u")).withColumn("bucket", F.explode(F.array(*[F.floor(F.col("u") / seconds) + d for d in (-1, 0, 1)])))
-    pairs = a.join(b, [key, "bucket"]).filter((F.col("id") != F.col("other")) & (F.abs(F.col("t") - F.col("u")) <= seconds))
-    pairs = pairs.select(key, "id", "other", F.abs(F.col("t") - F.col("u")).alias("delta"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("delta", "other"))
-    return pairs.withColumn("n", rank).filter(F.col("n") <= most).drop("n")
+    rows = df.select(key, F.col(id_col).alias("id"), F.col(at).alias("t")).dropna().withColumn("own", F.floor(F.col("t") / seconds))
+    held = rows.withColumn("bucket", F.explode(F.array(*[F.col("own") + d for d in (-1, 0, 1)])))
+    if left is not None:
+        held = held.join(left.select(key, F.floor(F.col(at) / seconds).alias("bucket")).distinct(), [key, "bucket"], "left_semi")
+    me, w = F.struct("t", "id"), Window.partitionBy(key, "bucket")
+    back, ahead = w.orderBy("t", F.desc("id")), w.orderBy("t", "id")  # of one time the lesser id is the nearer, either way
+    same = Window.partitionBy(key, "bucket", "t").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    around = [F.lag(me, i).over(back) for i in range(1, most + 1)] + [F.lead(me, i).over(ahead) for i in range(1, most + 1)] + [F.nth_value(me, i).over(same) for i in range(1, most + 2)]
+    d = held.withColumn("around", F.array(*around)).filter("own = bucket")
+    near = F.filter("around", lambda x: x.isNotNull() & (x["id"] != F.col("id")) & (F.abs(x["t"] - F.col("t")) <= seconds))
+    pairs = F.array_sort(F.array_distinct(F.transform(near, lambda x: F.struct(F.abs(x["t"] - F.col("t")).alias("delta"), x["id"].alias("other")))))
+    out = d.select(key, "id", F.explode(F.slice(pairs, 1, most)).alias("p")).select(key, "id", "p.other", "p.delta")
+    return out if left is None else out.join(left.select(F.col(id_col).alias("id")), "id", "left_semi").select(key, "id", "other", "delta")
 
 
 def coverage_indices(n: Column, limit: int) -> Column:

@@ -7,8 +7,10 @@ from folioflow.functions import text as X
 from folioflow.operators import chunking as C
 from folioflow.operators import graph as G
 from folioflow.operators import rows as R
+from folioflow.operators import spreading as P
 from folioflow.plans.graph import EDGES, NODES, edges, nodes
 from folioflow.plans.registry import Tables, query
+from folioflow.sources import tables as T
 
 
 @query("snk1_document_ids", "SELECT doc_id, substr(sha256(source || '|' || doc_id), 1, 16) AS id FROM documents")
@@ -17,9 +19,13 @@ def snk1(t: Tables):
     return t.documents.select("doc_id", F.substring(F.sha2(F.concat_ws("|", "source", F.col("doc_id").cast("string")), 256), 1, 16).alias("id"))
 
 
-@query("snk3_bulk_rows", "SELECT vec_id, len(embedding) AS dim FROM embeddings")
+@query("snk3_bulk_rows", "SELECT vec_id, label, len(embedding) AS dim, round(embedding[1], 6) AS first FROM embeddings")
 def snk3(t):
-    return t.embeddings.select("vec_id", F.size("embedding").cast("bigint").alias("dim"))
+    """Vectors written in two lots to one table, and read back."""
+    path = T.table_path(t.spark, "vectors")
+    T.refresh(t.embeddings.filter("vec_id % 2 = 0"), path)
+    stored = T.append_rows(t.embeddings.filter("vec_id % 2 <> 0"), path)
+    return stored.select("vec_id", "label", F.size("embedding").cast("bigint").alias("dim"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
 
 
 @query("snk4_staging_upsert", "SELECT doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -28,9 +34,13 @@ def snk4(t):
     return R.upsert(stored, t.labels.select("doc_id", "quality"), ["doc_id"])
 
 
-@query("snk8_full_refresh", "SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2")
+@query("snk8_full_refresh", "SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")
 def snk8(t):
-    return t.documents.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    """The index is built anew over what was there: rows first, then the summary from the rows stored."""
+    path = T.table_path(t.spark, "index")
+    T.refresh(t.documents.select("doc_id", F.lit("old").alias("source"), "lang", "n_chars"), path)
+    stored = T.refresh(t.documents.select("doc_id", "source", "lang", "n_chars"), path)
+    return stored.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("srt2_physical_order", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 3 = 0, l_partkey % 3, l_suppkey, l_linenumber, l_partkey) AS n FROM lineitem")
@@ -40,9 +50,13 @@ def srt2(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(page == 0, page, "l_suppkey", "l_linenumber", "l_partkey")).alias("n"))
 
 
-@query("ups2_replace_staged", "SELECT conv_id, max(turn) AS last, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
+@query("ups2_replace_staged", "WITH staged AS (SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations WHERE conv_id % 3 > 0 GROUP BY conv_id) SELECT coalesce(s.conv_id, o.conv_id) AS conv_id, coalesce(s.turn, o.turn) AS turn, coalesce(s.role, o.role) AS role FROM (SELECT DISTINCT conv_id, -1 AS turn, 'old' AS role FROM conversations WHERE conv_id % 2 = 0) o FULL JOIN staged s ON s.conv_id = o.conv_id")
 def ups2(t):
-    return R.last_write(t.conversations.select("conv_id", "role", "turn"), ["conv_id"], "turn", "role").select("conv_id", F.col("turn").alias("last"), "role")
+    """Conversations staged in a table of their own, then merged into the stored ones: the last turn of each wins."""
+    stored, staging, merged = (T.table_path(t.spark, f"conversations-{x}") for x in ("stored", "staging", "merged"))
+    c = t.conversations.select("conv_id", "turn", "role")
+    T.refresh(c.filter("conv_id % 2 = 0").select("conv_id", F.lit(-1).alias("turn"), F.lit("old").alias("role")).distinct(), stored)
+    return T.merge_staged(c.filter("conv_id % 3 > 0"), ["conv_id"], "turn", "role", stored, staging, merged)
 
 
 @query("ups3_report_cache", """WITH d AS (SELECT source, doc_id // 1000 AS block, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2),
@@ -131,17 +145,27 @@ def q8(t):
     return G.completeness(n.join(ends, "id", "left"), F.count_if(F.col("linked").isNull()).alias("isolated"), F.lit(e.count()).alias("edges"))
 
 
-HOPS = "(SELECT l_orderkey AS a, l_partkey AS b FROM lineitem)"
+ASSOCIATED = """WITH seeds AS (SELECT vec_id AS s FROM embeddings WHERE vec_id % 20 = 0), i AS (SELECT event_id AS id, user_id AS u, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+e AS (SELECT l_orderkey AS a, l_partkey AS b, max(l_discount) AS w FROM lineitem WHERE l_orderkey <> l_partkey GROUP BY 1, 2),
+near AS (SELECT * FROM (SELECT x.id AS src, CAST(y.id AS VARCHAR) AS dst, 1 - abs(x.t - y.t) / 43200.0 AS w, row_number() OVER (PARTITION BY x.id ORDER BY abs(x.t - y.t), y.id) AS n FROM i x JOIN i y ON x.u = y.u AND x.id <> y.id AND abs(x.t - y.t) <= 43200) WHERE n <= 4),
+graph AS (SELECT * FROM (SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS n FROM (SELECT a AS src, CAST(b AS VARCHAR) AS dst, w FROM e UNION ALL SELECT b, CAST(a AS VARCHAR), w FROM e)) WHERE n <= 4),
+alike AS (SELECT * FROM (SELECT q.vec_id AS src, 'fragment:' || r.vec_id AS dst, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS w, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) DESC, r.vec_id) AS n FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0) WHERE n <= 4 AND w >= 0.3),
+legs AS (SELECT src, dst, w, n, 0 AS leg, 'temporal' AS kind FROM near UNION ALL SELECT src, dst, w, n, 2, 'graph' FROM graph),
+one AS (SELECT s, 1 AS hop, 0 AS place, leg, n, CAST(s AS VARCHAR) AS source, dst AS target, kind, w FROM seeds JOIN (FROM legs UNION ALL SELECT src, dst, w, n, 1, 'semantic' FROM alike) ON s = src),
+front AS (SELECT * FROM (SELECT s, target, row_number() OVER (PARTITION BY s ORDER BY min(leg * 10 + n), target) AS place FROM one WHERE target <> CAST(s AS VARCHAR) GROUP BY s, target) WHERE place <= 4),
+two AS (SELECT s, 2, place, leg, n, target, dst, kind, w FROM front JOIN legs ON target = CAST(src AS VARCHAR)),
+once AS (SELECT *, row_number() OVER (PARTITION BY s, source, target, kind ORDER BY hop, place, leg, n) AS first FROM (FROM one UNION ALL FROM two))
+SELECT * FROM (SELECT s AS seed, row_number() OVER (PARTITION BY s ORDER BY hop, place, leg, n, target) AS rank, hop, source, target, kind, round(w, 6) AS weight FROM once WHERE first = 1) WHERE rank <= 8"""
 
 
-@query("q17_pattern_completion", f"WITH h AS {HOPS}, one AS (SELECT DISTINCT y.a FROM h x JOIN h y ON x.b = y.b WHERE x.a = 1 AND y.a <> 1), two AS (SELECT DISTINCT y.a FROM h x JOIN h y ON x.b = y.b WHERE x.a IN (SELECT a FROM one)) SELECT a, CASE WHEN a IN (SELECT a FROM one) THEN 1 ELSE 2 END AS hop FROM (SELECT a FROM one UNION SELECT a FROM two) WHERE a <> 1")
+@query("q17_pattern_completion", ASSOCIATED)
 def q17(t):
-    """What two hops over shared parts reach from order 1."""
-    h = t.lineitem.select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    step = lambda seeds: h.join(seeds, "a", "left_semi").select("b").distinct().join(h, "b").select("a").distinct()
-    one = step(t.orders.filter("o_orderkey = 1").select(F.col("o_orderkey").alias("a"))).filter("a <> 1")
-    both = one.select("a", F.lit(1).alias("hop")).unionByName(step(one).select("a", F.lit(2).alias("hop")))
-    return both.filter("a <> 1").groupBy("a").agg(F.min("hop").alias("hop"))
+    """What the vectors whose id 20 divides bring along: events of their number, similar vectors, parts of orders."""
+    items = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    edges = t.lineitem.groupBy(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.max("l_discount").alias("weight"))
+    found = P.complete(vectors.filter("id % 20 = 0"), items, vectors, edges, least=0.3, seconds=43200)
+    return found.withColumn("weight", F.round("weight", 6))
 
 
 @query("stm4_working_memory", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, max(ts) OVER (PARTITION BY user_id) AS last FROM events) WHERE n <= 20 AND ts >= last - INTERVAL 10 DAY")
