@@ -147,3 +147,40 @@ def regroup(parts: DataFrame, content: str) -> DataFrame:
     own = F.when(~given("chapter_key").rlike("^pages?:"), given("chapter_key"))
     d = parts.select("id", F.coalesce(given("chapter_key"), given("label"), pages, digest).alias("key"), F.coalesce(given("chapter_title"), given("label"), own, F.lit("章节")).alias("title"), "first", "last")
     return d.groupBy("id", "key").agg(F.min_by("title", F.struct(F.col("first").isNull(), "first", "title")).alias("title"), F.min(F.when(first > 0, first)).alias("first"), F.max(F.when(last > 0, last)).alias("last"), F.count(F.lit(1)).alias("parts"))
+
+
+# What titles are compared without, and the number that opens one.
+UNCOMPARED, NUMBER = r"[\s\-_.:/()\[\]【】（）·*★]+", r"^(\d+(?:\.\d+)*)"
+
+
+def navigation(tree: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Nodes (id, node, title, page_start, page_end, matched, score): each with its best summary.
+
+    tree: (id, node, title, page_start, page_end), nodes in order; summaries: (id, seq, title, page_start,
+    page_end). A node's pages reach to the next known start. A summary scores by an equal title, an equal
+    number before it, pages that overlap and an equal start; of equals the first wins, none without a
+    score. A document without a tree has its summaries as nodes. A document's summaries are a bounded list.
+    """
+    following = Window.partitionBy("id").orderBy("node").rowsBetween(1, Window.unboundedFollowing)
+    upto = F.first("page_start", ignorenulls=True).over(following) - 1
+    start, end = F.col("page_start"), F.col("page_end")
+    longer = (upto >= start) & (end.isNull() | (end < upto))
+    d = tree.withColumn("page_end", F.coalesce(F.when(longer, upto).otherwise(end), start))
+    held = summaries.groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("seq", "title", "page_start", "page_end"))).alias("s"))
+    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), UNCOMPARED, "")
+    number = lambda c: F.regexp_extract(X.strip_all(F.coalesce(c, F.lit(""))), NUMBER, 1)
+    usable = lambda a, b: (a > 0) & (b >= a)
+
+    def score(x: Column) -> Column:
+        same = F.when(plain(F.col("title")) == plain(x["title"]), 1000).otherwise(0)
+        own = number(F.col("title"))
+        numbered = F.when((own != "") & (own == number(x["title"])), 900 + F.least(F.length(own), F.lit(20))).otherwise(0)
+        meet = usable(start, end) & usable(x["page_start"], x["page_end"]) & (start <= x["page_end"]) & (x["page_start"] <= end)
+        return same + numbered + F.when(meet, 100 + F.when(start == x["page_start"], 20).otherwise(0)).otherwise(0)
+
+    d = d.join(held, d["id"] == held["_id"], "left")
+    scored = F.transform("s", lambda x: F.struct(score(x).alias("score"), (-x["seq"]).alias("first"), x["title"].alias("title")))
+    best = F.array_max(F.filter(scored, lambda x: x["score"] > 0))
+    nodes = d.withColumn("b", best).select("id", "node", "title", "page_start", "page_end", F.col("b")["title"].alias("matched"), F.coalesce(F.col("b")["score"], F.lit(0)).alias("score"))
+    bare = summaries.distinct().join(tree.select(F.col("id")).distinct(), "id", "left_anti")
+    return nodes.unionByName(bare.select("id", F.col("seq").alias("node"), "title", "page_start", "page_end", F.col("title").alias("matched"), F.lit(0).alias("score")))

@@ -191,3 +191,21 @@ def exam_statistics(q: DataFrame) -> DataFrame:
         F.sum("n").alias("questions"), F.max("depth").alias("depth"), F.round(F.sum("score").cast("double") / F.sum("n"), 6).alias("mean"),
         *[F.sum(k).alias(k) for k in ("easy", "medium", "hard")], F.min_by("type", F.struct(-F.col("n"), "type")).alias("main_type"),
     )
+
+
+def roll_up(q: DataFrame) -> DataFrame:
+    """Adds children, child_pass_rate and whether a question passes to (id, path, parent_path, passed).
+
+    Bottom up, a level at a time: a question passes if its own checks do and at least half of the questions
+    right below it pass; one without any has a rate of 1. Paths are numbers joined by dots, of at most as many
+    levels as there are marks; rows that repeat a path each count, and each get the sums of what is below.
+    """
+    d = q.select("id", "path", "parent_path", F.coalesce("passed", F.lit(False)).alias("own"), F.size(F.split("path", r"\.")).alias("depth"))
+    d = d.withColumn("children", F.lit(0).cast("bigint")).withColumn("good", F.lit(0).cast("bigint"))
+    rate = F.when(F.col("children") > 0, F.round(F.col("good") / F.col("children"), 3)).otherwise(1.0)
+    passes = F.col("own") & (rate >= 0.5)
+    for depth in range(LEVELS, 1, -1):
+        below = d.filter((F.col("depth") == depth) & F.col("parent_path").isNotNull())
+        below = below.groupBy("id", F.col("parent_path").alias("path")).agg(F.count(F.lit(1)).alias("more"), F.count_if(passes).alias("passing"))
+        d = d.join(below, ["id", "path"], "left").withColumn("children", F.col("children") + F.coalesce("more", F.lit(0))).withColumn("good", F.col("good") + F.coalesce("passing", F.lit(0))).drop("more", "passing")
+    return d.select("id", "path", "parent_path", "children", rate.alias("child_pass_rate"), passes.alias("passed"))

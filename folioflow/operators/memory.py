@@ -62,3 +62,29 @@ def replay_candidates(attention: DataFrame, fragments: DataFrame, vectors: DataF
         parts.append(df.orderBy(F.desc("strength"), "id").limit(k).select(F.lit(name).alias("source"), "id", (F.lit(weight) * F.col("strength")).alias("priority")))
     all_ = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return all_.orderBy(F.desc("priority"), "source", "id").limit(most)
+
+
+# A replay's boost and its cap; what the others lose, down to a floor; seconds that attention and activity last.
+BOOST, MOST_BOOST, LOSS, FLOOR, ATTENTION, IDLE = 0.15, 2.5, 0.02, 0.5, 3600, 1800
+
+
+def replay_cycle(vectors: DataFrame, attention: DataFrame, fragments: DataFrame, now: int) -> DataFrame:
+    """The vectors after one cycle of replay.
+
+    vectors: (id, content_hash, decay_factor, activation_count, salience, decay_class, at); attention: (id,
+    content_hash, activation_count, at) of which the last hour counts; fragments: (id, strength). The best
+    candidates are boosted: vectors themselves, attention by the least vector of its content, which is
+    activated too; fragments have no vector. Idle active vectors that are neither lasting nor replayed lose a little.
+    """
+    recent = attention.filter(F.col("at") >= now - ATTENTION)
+    active = vectors.filter("activation_count > 0 AND (decay_class IS NULL OR decay_class <> 'permanent')")
+    chosen = replay_candidates(recent.select("id", F.col("activation_count").alias("strength")), fragments, active.select("id", F.coalesce(F.nullif("salience", F.lit(0.0)), F.lit(0.3)).alias("strength")))
+    own = chosen.filter("source = 'vector'").select("id", F.lit(0).alias("activated"))
+    hashes = chosen.filter("source = 'attention'").join(recent.select("id", "content_hash"), "id").select("content_hash", F.col("id").alias("_a"))
+    led = vectors.join(hashes, "content_hash").groupBy("_a").agg(F.min("id").alias("id")).select("id", F.lit(1).alias("activated"))
+    hits = own.unionByName(led).groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.sum("activated").alias("activated"))
+    factor, times = F.coalesce("decay_factor", F.lit(1.0)), F.coalesce("times", F.lit(0))
+    idle = (F.col("activation_count") > 0) & ~F.coalesce(F.col("decay_class").isin("permanent", "slow"), F.lit(False)) & (F.col("at").isNull() | (F.col("at") < now - IDLE))
+    after = F.when(times > 0, F.least(F.lit(MOST_BOOST), factor + BOOST * times)).when(idle, F.greatest(F.lit(FLOOR), factor - LOSS)).otherwise(F.col("decay_factor"))
+    d = vectors.join(hits, "id", "left")
+    return d.select("id", "content_hash", after.alias("decay_factor"), (F.col("activation_count") + F.coalesce("activated", F.lit(0))).alias("activation_count"), "salience", "decay_class", F.when(times > 0, F.lit(now)).otherwise(F.col("at")).alias("at"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.operators import exam
 from folioflow.operators import memory as M
 from folioflow.operators import retrieval as S
 from folioflow.operators import rows as R
@@ -53,11 +54,27 @@ def srt8(t):
     return M.replay_candidates(a, f, t.documents.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("strength")))
 
 
-@query("q18_replay_cycle", "WITH top AS (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 6) SELECT user_id, count(*) + CASE WHEN user_id IN (SELECT user_id FROM top) THEN 1 ELSE 0 END AS activation FROM events GROUP BY user_id")
+NOW = 1_000_000
+
+
+@query("q18_replay_cycle", f"""WITH v AS (SELECT vec_id AS id, 'h' || vec_id // 2 AS content_hash, 1 + label / 10.0 AS decay_factor, vec_id % 4 AS activation_count, (vec_id * 37 % 997) / 997.0 AS salience, CASE vec_id % 5 WHEN 0 THEN 'permanent' WHEN 1 THEN 'slow' WHEN 2 THEN NULL ELSE 'fast' END AS decay_class, {NOW} - vec_id * 10 AS "at" FROM embeddings),
+a AS (SELECT event_id AS id, 'h' || event_id AS content_hash, event_id * 7 % 11 AS strength FROM events WHERE event_id * 30 <= 3600),
+c AS (SELECT * FROM (SELECT 'attention' AS source, id, 0.5 * strength AS p FROM a ORDER BY strength DESC, id LIMIT 6) UNION ALL SELECT * FROM (SELECT 'fragment', conv_id, 0.3 * count(*) FROM conversations GROUP BY conv_id ORDER BY count(*) DESC, conv_id LIMIT 4) UNION ALL SELECT * FROM (SELECT 'vector', id, 0.2 * coalesce(nullif(salience, 0), 0.3) FROM v WHERE activation_count > 0 AND decay_class IS DISTINCT FROM 'permanent' ORDER BY coalesce(nullif(salience, 0), 0.3) DESC, id LIMIT 4)),
+best AS (SELECT * FROM c ORDER BY p DESC, source, id LIMIT 12),
+hit AS (SELECT id, 0 AS act FROM best WHERE source = 'vector' UNION ALL SELECT min(v.id), 1 FROM best JOIN a ON a.id = best.id JOIN v ON v.content_hash = a.content_hash WHERE source = 'attention' GROUP BY best.id),
+h AS (SELECT id, count(*) AS times, sum(act) AS act FROM hit GROUP BY id)
+SELECT v.id, round(CASE WHEN times > 0 THEN least(2.5, decay_factor + 0.15 * times) WHEN activation_count > 0 AND coalesce(decay_class, '') NOT IN ('permanent', 'slow') AND "at" < {NOW} - 1800 THEN greatest(0.5, decay_factor - 0.02) ELSE decay_factor END, 6) AS decay_factor,
+ CAST(activation_count + coalesce(act, 0) AS BIGINT) AS activation_count, CASE WHEN times > 0 THEN {NOW} ELSE "at" END AS "at" FROM v LEFT JOIN h ON h.id = v.id""")
 def q18(t):
-    counts = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("activation"))
-    chosen = R.top_k(counts, "activation", "user_id", 6).select("user_id", F.lit(1).alias("d"))
-    return counts.join(chosen, "user_id", "left").select("user_id", (F.col("activation") + F.coalesce("d", F.lit(0))).alias("activation"))
+    """One cycle over the vectors; what is not stored (salience, times) follows their numbers here."""
+    n = F.col("vec_id")
+    kind = F.when(n % 5 == 0, "permanent").when(n % 5 == 1, "slow").when(n % 5 > 2, "fast")
+    hashed = lambda c: F.concat(F.lit("h"), c.cast("string"))
+    vectors = t.embeddings.select(n.alias("id"), hashed(F.expr("vec_id div 2")).alias("content_hash"), (1 + F.col("label") / 10.0).alias("decay_factor"), (n % 4).alias("activation_count"), (n * 37 % 997 / 997.0).alias("salience"), kind.alias("decay_class"), (NOW - n * 10).alias("at"))
+    e = F.col("event_id")
+    attention = t.events.select(e.alias("id"), hashed(e).alias("content_hash"), (e * 7 % 11).alias("activation_count"), (NOW - e * 30).alias("at"))
+    fragments = t.conversations.groupBy(F.col("conv_id").alias("id")).agg(F.count(F.lit(1)).alias("strength"))
+    return M.replay_cycle(vectors, attention, fragments, NOW).select("id", F.round("decay_factor", 6).alias("decay_factor"), "activation_count", "at")
 
 
 DIFFICULTY = "round(greatest(0.0, least(1.0, 0.35 + 0.5 * least(length(text) / 220.0, 1.0) + 0.13 * (CAST(contains(lower(text), 'optimize') AS INTEGER) + CAST(contains(lower(text), 'derive') AS INTEGER)) - CASE WHEN regexp_matches(text, '\\b[ABCD][.)]') THEN 0.15 ELSE 0 END)), 3)"
@@ -131,6 +148,13 @@ def dt4(t):
     return t.events.select("event_id", F.floor(age() / 86400).alias("days"))
 
 
-@query("q16_rollup", "SELECT p_partkey // 10 AS parent, count(*) AS children, round(avg(p_retailprice), 4) AS mean, bool_and(p_size > 5) AS all_pass FROM part GROUP BY 1")
+@query("q16_rollup", """WITH k AS (SELECT p_partkey // 100 AS a, p_partkey // 10 % 10 AS b, p_partkey % 10 AS c, p_size > 20 AS ok FROM part), m AS (SELECT a, b, count(*) AS n, round(count(*) FILTER (ok) / count(*), 3) AS r, b % 4 > 0 AND round(count(*) FILTER (ok) / count(*), 3) >= 0.5 AS ok FROM k GROUP BY 1, 2)
+SELECT a AS id, '1' AS path, count(*) AS children, round(count(*) FILTER (ok) / count(*), 3) AS child_pass_rate, round(count(*) FILTER (ok) / count(*), 3) >= 0.5 AS passed FROM m GROUP BY a
+UNION ALL SELECT a, '1.' || b, n, r, ok FROM m UNION ALL SELECT a, '1.' || b || '.' || c, 0, 1.0, ok FROM k""")
 def q16(t):
-    return t.part.groupBy(F.expr("p_partkey div 10").alias("parent")).agg(F.count(F.lit(1)).alias("children"), F.round(F.avg("p_retailprice"), 4).alias("mean"), F.every(F.col("p_size") > 5).alias("all_pass"))
+    """Each hundred of parts is an exam: a question of ten groups of ten; large parts pass, every fourth group fails."""
+    k = t.part.select(F.expr("p_partkey div 100").alias("id"), F.expr("'1.' || (p_partkey div 10 % 10)").alias("up"), F.expr("p_partkey % 10").cast("string").alias("c"), (F.col("p_size") > 20).alias("ok"))
+    leaf = k.select("id", F.concat_ws(".", "up", "c").alias("path"), F.col("up").alias("parent_path"), F.col("ok").alias("passed"))
+    group = k.select("id", F.col("up").alias("path"), F.lit("1").alias("parent_path"), (F.split_part("up", F.lit("."), F.lit(2)).cast("int") % 4 > 0).alias("passed")).distinct()
+    root = k.select("id", F.lit("1").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lit(True).alias("passed")).distinct()
+    return exam.roll_up(leaf.unionByName(group).unionByName(root)).drop("parent_path")

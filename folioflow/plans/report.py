@@ -117,11 +117,24 @@ def q14(t):
     return pages(t).filter("page <= 120").groupBy("id", (F.col("page") % 4).alias("section")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
 
 
-@query("q22_navigation", f"SELECT id, page, lead(page) OVER (PARTITION BY id ORDER BY page) AS until FROM {PAGES} WHERE page % 2 = 1")
+# Trees of documents that 3 divides: a front matter, a node of unknown page, a chapter; the others have none.
+TREES = "(SELECT doc_id AS id, unnest([1, 2, 3]) AS node, unnest(['FRONT', 'x', 'chapter 5']) AS title, unnest([1, NULL, 5]) AS page_start, unnest([4, NULL, 5]) AS page_end FROM documents WHERE doc_id % 3 = 0)"
+SUMMARIES = f"""(SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY "first", chapter_key, segment) AS INTEGER) AS seq, label AS title, "first" AS page_start, "last" AS page_end FROM {SEGMENTED})"""
+
+
+@query("q22_navigation", f"""WITH s AS (SELECT * FROM {SUMMARIES}), x AS (SELECT t.*, s.seq, s.title AS matched, CASE WHEN replace(lower(t.title), ' ', '') = replace(lower(s.title), ' ', '') THEN 1000 ELSE 0 END + CASE WHEN t.page_start <= s.page_end AND s.page_start <= t.page_end THEN 100 + CASE WHEN t.page_start = s.page_start THEN 20 ELSE 0 END ELSE 0 END AS score FROM {TREES} t LEFT JOIN s ON s.id = t.id)
+SELECT id, node, title, page_start, page_end, CASE WHEN score > 0 THEN matched END AS matched, score FROM (SELECT *, row_number() OVER (PARTITION BY id, node ORDER BY score DESC, seq) AS n FROM x) WHERE n = 1 UNION ALL SELECT id, seq, title, page_start, page_end, title, 0 FROM s WHERE id % 3 > 0""")
 def q22(t):
     from pyspark.sql import Window
 
-    return pages(t).filter("page % 2 = 1").select("id", "page", F.lead("page").over(Window.partitionBy("id").orderBy("page")).alias("until"))
+    s = H.segments(chaptered(t), 2)
+    order = F.row_number().over(Window.partitionBy("id").orderBy("first", "chapter_key", "segment"))
+    summaries = s.select("id", order.alias("seq"), F.col("label").alias("title"), F.col("first").alias("page_start"), F.col("last").alias("page_end"))
+    none = F.lit(None).cast("int")
+    given = ((1, "FRONT", F.lit(1), none), (2, "x", none, none), (3, "chapter 5", F.lit(5), none))
+    nodes = F.array(*[F.struct(F.lit(n).alias("node"), F.lit(title).alias("title"), a.alias("page_start"), b.alias("page_end")) for n, title, a, b in given])
+    tree = t.documents.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.explode(nodes).alias("x")).select("id", "x.*")
+    return H.navigation(tree, summaries)
 
 
 @query("str19_heading_list", r"SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) BETWEEN 3 AND 60 AND NOT regexp_matches(x, '\p{Ll}')), '|') AS heads FROM documents")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.operators import rows as R
+from folioflow.operators.chapters import heading
 from folioflow.plans.registry import Tables, query
 
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -110,9 +111,14 @@ def str25(t):
     return t.documents.select("doc_id", F.col("text").rlike("[一-鿿]").alias("has_cjk"), (F.regexp_count("text", F.lit("[A-Za-z]")) > 0.6 * F.length("text")).alias("mostly_latin"))
 
 
-@query("str26_heading", "SELECT doc_id, coalesce(nullif(regexp_extract(text, '^#+ *([^\\n]+)', 1), ''), nullif(trim(split_part(text, '.', 1)), ''), source) AS heading FROM documents")
+@query("str26_heading", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || ' ' || source WHEN 1 THEN doc_id || ' ' || lang ELSE 'Own ' || source END AS heading FROM documents")
 def str26(t):
-    return t.documents.select("doc_id", F.coalesce(F.nullif(F.regexp_extract("text", r"^#+ *([^\n]+)", 1), F.lit("")), F.nullif(F.trim(F.split_part("text", F.lit("."), F.lit(1))), F.lit("")), "source").alias("heading"))
+    """From a path, from a heading between the paragraphs of a text, from the row's title: a third each."""
+    n = F.col("doc_id") % 3
+    path = F.when(n == 0, F.concat(F.lit("/page7/academic/3/"), "lang", F.lit("-_"), "source", F.lit("/more"))).otherwise("page7/section")
+    content = F.when(n == 1, F.concat(F.lit("? ## "), F.col("doc_id").cast("string"), F.lit("  "), "lang", F.lit(" ..... 9\n"), "text")).otherwise("?\n" + "w" * 120)
+    title = F.concat(F.lit("# <b>Own</b>  "), "source", F.lit("....12"))
+    return t.documents.select("doc_id", heading(path, content, title).alias("heading"))
 
 
 @query("str29_doc_type", "SELECT page_id, CASE WHEN url LIKE '%.pdf' THEN 'pdf' WHEN contains(url, '?') THEN 'dynamic' ELSE 'html' END AS kind FROM pages")
