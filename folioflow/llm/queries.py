@@ -1,7 +1,10 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
+from folioflow.llm.alignment import op12_alignment
+from folioflow.llm.conversations import OP13_SQL, op13_conversations
 from folioflow.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from folioflow.llm.fingerprints import op7_fingerprints
+from folioflow.llm.language import op11_language
 from folioflow.llm.mixing import op8_mixing
 from folioflow.llm.near_dedup import op10_near_dedup
 from folioflow.llm.packing import op1_packing
@@ -22,5 +25,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_language": op11_language,
+    "op12_alignment": op12_alignment,
+    "op13_conversations": op13_conversations,
 }
-SQL = {"op2_warc": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+SQL = {"op2_warc": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op13_conversations": OP13_SQL}
