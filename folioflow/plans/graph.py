@@ -88,13 +88,6 @@ def agg22(t):
     return G.relation_strength(pair(1), shared).withColumn("strength", F.round("strength", 6))
 
 
-@query("q6_build_graph", "SELECT 'doc:' || doc_id AS source, 'src:' || source AS target, 'belongs_to' AS kind FROM documents UNION SELECT 'src:' || source, 'lang:' || lang, 'written_in' FROM documents")
-def q6(t):
-    link = lambda a, b, k: F.struct(a.alias("source"), b.alias("target"), F.lit(k).alias("kind"))
-    doc, src, lang = F.concat(F.lit("doc:"), "doc_id"), F.concat(F.lit("src:"), "source"), F.concat(F.lit("lang:"), "lang")
-    return t.documents.select(F.explode(F.array(link(doc, src, "belongs_to"), link(src, lang, "written_in"))).alias("l")).select("l.*").distinct()
-
-
 @query("q7_insights", "SELECT source, doc_id, CASE WHEN length(text) > 160 THEN substr(text, 1, 159) || '…' ELSE text END AS clip FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents) WHERE n = 1 ORDER BY doc_id LIMIT 40")
 def q7(t):
     from folioflow.operators import rows as R

@@ -1,6 +1,6 @@
 """Imports every module of queries; QUERIES and SQL then hold them all."""
 
-from folioflow.plans import aggregates, exams, extracts, graph, memory, more, relational, report, retrieval, streams, text, windows  # noqa: F401
+from folioflow.plans import aggregates, deep, exams, extracts, graph, knowledge, memory, more, relational, report, retrieval, streams, text, windows  # noqa: F401
 from folioflow.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

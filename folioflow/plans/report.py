@@ -112,11 +112,6 @@ def map_reduce(rows, each, batch: int = 3):
     return b.groupBy("id").agg(R.keep_in_order(F.col("batch"), F.col("part"), " / ").alias("report"))
 
 
-@query("q14_deep_pipeline", f"SELECT id, section, n FROM (SELECT id, page % 4 AS section, count(*) AS n FROM {PAGES} WHERE page <= 120 GROUP BY 1, 2) WHERE n >= 3")
-def q14(t):
-    return pages(t).filter("page <= 120").groupBy("id", (F.col("page") % 4).alias("section")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
-
-
 # Trees of documents that 3 divides: a front matter, a node of unknown page, a chapter; the others have none.
 TREES = "(SELECT doc_id AS id, unnest([1, 2, 3]) AS node, unnest(['FRONT', 'x', 'chapter 5']) AS title, unnest([1, NULL, 5]) AS page_start, unnest([4, NULL, 5]) AS page_end FROM documents WHERE doc_id % 3 = 0)"
 SUMMARIES = f"""(SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY "first", chapter_key, segment) AS INTEGER) AS seq, label AS title, "first" AS page_start, "last" AS page_end FROM {SEGMENTED})"""

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioflow.operators import knowledge as K
 from folioflow.operators import ordered as O
 from folioflow.operators import rows as R
 from folioflow.plans.registry import Tables, query
@@ -146,8 +147,10 @@ def labels(t):
 
 @query("jn8_containment", f"SELECT p.p_partkey, min(k) AS first_match FROM part p JOIN {LABELS} l ON contains(p.p_name, l.label) AND k <> p.p_partkey GROUP BY p.p_partkey")
 def jn8(t):
-    m = t.part.join(labels(t), F.contains("p_name", "label") & (F.col("k") != F.col("p_partkey")))
-    return m.groupBy("p_partkey").agg(F.min("k").alias("first_match"))
+    """Labels are looked up by their rarest n-gram among the names."""
+    found = K.containing(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), labels(t))
+    held = found.join(labels(t), "label").filter("k <> id")
+    return held.groupBy(F.col("id").alias("p_partkey")).agg(F.min("k").alias("first_match"))
 
 
 NEAR = """WITH e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)
