@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from folioflow.functions import extract as E
 from folioflow.functions import text as X
 from folioflow.functions.embedding import hash_vector
-from folioflow.operators.ordered import global_rank
 
 # The fusion constant and the weights of chunk types.
 RRF_K = 60
@@ -68,17 +67,52 @@ def sparse_scores(rows: DataFrame, query: str, content: str = "content") -> Data
     return tokens.filter("_n > 0").withColumn("sparse_score", score).drop("_t", "_n")
 
 
-def fuse(dense: DataFrame, sparse: DataFrame, k: int, id_col: str = "id", weights: DataFrame | None = None) -> DataFrame:
-    """Sum of 1 / (60 + rank) over both rankings, times the row's weight if given; the k best.
+def best_first(score: str, id_col: str) -> Column:
+    """A key that sorts rows by score, the highest first, then id."""
+    return F.struct((-F.col(score)).alias("s"), F.col(id_col).alias("id"))
 
-    dense has (id, dense_score), sparse (id, sparse_score), weights (id, weight); the first two may lack an id.
+
+def ranked_top(rows: DataFrame, score: str, id_col: str, n: int, out: str = "rank") -> DataFrame:
+    """The n best rows by score, ties by id, with their rank from 1."""
+    return rows.orderBy(F.desc(score), id_col).limit(n).withColumn(out, F.row_number().over(Window.orderBy(F.desc(score), id_col)))  # n rows
+
+
+def ranks_of(rows: DataFrame, score: str, ids: DataFrame, id_col: str, most: int, out: str) -> DataFrame:
+    """(id, rank) among all rows of those of `ids`, of which there are `most` at most; ids that rows lack are left out.
+
+    No row but theirs is ranked: every row finds by binary search before which of their sorted keys it stands, and the rows
+    counted up to a key are its rank. Ids are unique, so a key's own row is the last of them.
+    """
+    asked = rows.join(F.broadcast(ids), id_col, "left_semi").select(best_first(score, id_col).alias("k"))
+    sorted_keys = asked.agg(F.array_sort(F.collect_list("k")).alias("keys"))  # one row
+    bits = [1 << b for b in reversed(range(most.bit_length()))]
+    held = rows.select(best_first(score, id_col).alias("k"), sorted_keys.scalar().alias("keys"))
+    step = lambda at, bit: F.when((at + bit <= F.size("keys")) & (F.get("keys", at + bit - 1) < F.col("k")), at + bit).otherwise(at)
+    counts = held.select(F.aggregate(F.array(*map(F.lit, bits)), F.lit(0), step).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    so_far = counts.select("place", F.sum("n").over(Window.orderBy("place")).alias(out))  # a row for each key, and one more
+    placed = sorted_keys.select(F.posexplode("keys").alias("place", "k"))
+    return placed.join(so_far, "place").select(F.col("k.id").alias(id_col), out)
+
+
+def fuse(dense: DataFrame, sparse: DataFrame, k: int, id_col: str = "id", weights: DataFrame | None = None, least: float = min(TYPE_WEIGHT.values()), most: float = max(TYPE_WEIGHT.values())) -> DataFrame:
+    """Sum of 1 / (60 + rank) over both rankings, times the row's weight if given; the k best, ties by id.
+
+    dense has (id, dense_score), sparse (id, sparse_score), weights (id, weight from `least` to `most`, else 1); ids are unique
+    and the first two may lack some. A threshold algorithm: a row beyond the first n of both lists has at most most * 2 / (60 + n + 1),
+    the k best of one list have at least least / (60 + k) each. With n so large that the first is less than the second only
+    the first n of either list are candidates, and only candidates are ranked.
     """
-    d = global_rank(dense.select(id_col, "dense_score"), "dense_score", id_col, "dense_rank")
-    s = global_rank(sparse.select(id_col, "sparse_score"), "sparse_score", id_col, "sparse_rank")
+    if weights is None:
+        least = most = 1.0
+    n = math.ceil(2 * most / least * (RRF_K + k)) - RRF_K
+    lists = [(dense.select(id_col, "dense_score"), "dense_score"), (sparse.select(id_col, "sparse_score"), "sparse_score")]
+    tops = [rows.orderBy(F.desc(score), id_col).limit(n).select(id_col) for rows, score in lists]
+    ids = tops[0].unionByName(tops[1]).distinct()  # 2 n at most
+    d, s = (ranks_of(rows, score, ids, id_col, 2 * n, score.replace("score", "rank")) for rows, score in lists)
     part = lambda c: F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0))
     both = d.join(s, id_col, "full").withColumn("rrf_score", part("dense_rank") + part("sparse_rank"))
     if weights is not None:
-        both = both.join(weights, id_col, "left").withColumn("rrf_score", F.col("rrf_score") * F.coalesce("weight", F.lit(1.0)))
+        both = weights.join(F.broadcast(both), id_col, "right").withColumn("rrf_score", F.col("rrf_score") * F.coalesce("weight", F.lit(1.0)))
     return both.orderBy(F.desc("rrf_score"), id_col).limit(k).select(id_col, "rrf_score")
 
 

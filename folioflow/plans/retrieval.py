@@ -33,10 +33,8 @@ def vec2(t):
 
 @query("q1a_dense_rank", f"SELECT id, row_number() OVER (ORDER BY round(list_cosine_similarity(e, {Q}), 9) DESC, id) AS rank FROM {ROWS} ORDER BY rank LIMIT 25")
 def q1a(t):
-    from folioflow.operators.ordered import global_rank
-
     d = S.dense_scores(corpus(t), query_vector(t)).withColumn("dense_score", F.round("dense_score", 9))
-    return global_rank(d.select("id", "dense_score"), "dense_score", "id").orderBy("rank").limit(25).select("id", "rank")
+    return S.ranked_top(d.select("id", "dense_score"), "dense_score", "id", 25).select("id", "rank")
 
 
 TFIDF = r"""WITH tok AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: length(x) > 1) AS k FROM ROWS),

@@ -34,3 +34,23 @@ def test_question_focus_rewards_pairs(spark):
     df = spark.createDataFrame(rows, "conv_id bigint, turn int, id bigint, question int, qa_role string, sparse_score double")
     got = [(r["conv_id"], r["turn"], r["pair"], r["score"]) for r in S.qa_focus(df, 2).collect()]
     assert got == [(1, 1, True, round(1 / 63 + 0.18 + 0.16, 9)), (1, 0, True, round(1 / 62 + 0.08 + 0.16, 9))]
+
+
+def test_fusion_is_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    for size in (5, 400, 3000):
+        dense = {i: rng.randrange(size // 3 + 1) / 7 for i in range(size) if rng.random() < 0.9}
+        sparse = {i: rng.randrange(3) / 3 for i in range(size) if rng.random() < 0.8}
+        weights = {i: rng.choice([0.4, 1.0]) for i in range(size) if rng.random() < 0.9}
+        rank = lambda x: {i: n for n, (_, i) in enumerate(sorted((-v, i) for i, v in x.items()), 1)}
+        d, s = rank(dense), rank(sparse)
+        for w in (None, weights):
+            total = {i: (sum(1 / (60 + r[i]) for r in (d, s) if i in r)) * (w.get(i, 1.0) if w else 1.0) for i in {*d, *s}}
+            want = [(i, round(v, 12)) for i, v in sorted(total.items(), key=lambda x: (-round(x[1], 15), x[0]))[:7]]
+            frame = lambda x, c: spark.createDataFrame(list(x.items()), f"id long, {c} double")
+            got = S.fuse(frame(dense, "dense_score"), frame(sparse, "sparse_score"), 7, weights=frame(w, "weight") if w else None)
+            assert [(r["id"], round(r["rrf_score"], 12)) for r in got.collect()] == want
+    none = spark.createDataFrame([], "id long, sparse_score double")
+    assert S.fuse(frame(dense, "dense_score"), none, 3).count() == 3
