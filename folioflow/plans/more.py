@@ -168,19 +168,6 @@ def q17(t):
     return found.withColumn("weight", F.round("weight", 6))
 
 
-@query("stm4_working_memory", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, max(ts) OVER (PARTITION BY user_id) AS last FROM events) WHERE n <= 20 AND ts >= last - INTERVAL 10 DAY")
-def stm4(t):
-    w = Window.partitionBy("user_id")
-    kept = t.events.withColumn("last", F.max("ts").over(w)).filter(F.col("ts") >= F.col("last") - F.expr("INTERVAL 10 DAYS"))
-    return R.first_per(kept, ["user_id"], [F.desc("ts"), F.desc("event_id")], 20).select("user_id", "event_id")
-
-
-@query("stm5_fragment_buffer", "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 200 AND (ts >= TIMESTAMP '2024-01-10' OR event_type = 'purchase')")
-def stm5(t):
-    last = R.first_per(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")], 200)
-    return last.filter("ts >= TIMESTAMP_NTZ '2024-01-10' OR event_type = 'purchase'").select("event_id")
-
-
 @query("stm6_decay_pass", "SELECT event_id FROM events WHERE exp(-(epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 864000.0) >= 0.05")
 def stm6(t):
     from folioflow.plans.memory import age

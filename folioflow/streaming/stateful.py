@@ -71,12 +71,12 @@ def bounded_memory(events: DataFrame, most: int = 20, seconds: float = 3600.0) -
 
 
 def accepted_after(seconds: float):
-    """Cooldown: an attempt counts if the last accepted one is at least `seconds` back."""
+    """Cooldown: an attempt counts if the last accepted one is at least `seconds` back; one without a time never does."""
 
     def step(key, frames, state):
         last, out = (state.get[0] if state.exists else float("-inf")), []
-        for r in pd.concat(list(frames)).sort_values("ts").itertuples():
-            now = pd.Timestamp(r.ts).timestamp()
+        for r in pd.concat(list(frames)).sort_values(["ts", "id"]).itertuples():
+            now = float("nan") if pd.isna(r.ts) else pd.Timestamp(r.ts).timestamp()
             ok = now - last >= seconds
             last = now if ok else last
             out.append((key[0], r.id, ok))
@@ -94,19 +94,19 @@ def cooldown(events: DataFrame, seconds: float = 300.0) -> DataFrame:
 def cooldown_batch(events: DataFrame, seconds: float = 300.0) -> DataFrame:
     """The batch twin: one pass over each key's rows in order, with the last accepted time as all its state.
 
-    A key's rows stand in one partition, sorted, and pass through as batches: none is gathered whole.
+    A key's rows stand in one partition, sorted, and pass through as batches: none is gathered whole. Rows without a
+    time are not accepted and change nothing; rows without a key are one key's.
     """
 
     def run(batches):
-        key = last = None
+        key, last = object(), None
         for batch in batches:
             ok = []
             for k, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if k != key or last is None:
-                    key, last, accepted = k, at, True
-                else:
-                    accepted = at - last >= seconds * 1e6
-                    last = at if accepted else last
+                if k != key:
+                    key, last = k, None
+                accepted = at is not None and (last is None or at - last >= seconds * 1e6)
+                last = at if accepted else last
                 ok.append(accepted)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ok, pa.bool_())], names=["key", "id", "accepted"])
 

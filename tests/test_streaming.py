@@ -60,6 +60,9 @@ def test_cooldown_counts_from_the_last_accepted(spark):
     df = spark.createDataFrame(rows, "key string, id bigint, ts timestamp")
     got = {r["id"]: r["accepted"] for r in S.cooldown_batch(df).collect()}
     assert got == {0: True, 1: False, 2: True, 3: False, 4: True}
+    odd = spark.createDataFrame([("a", 9, None), (None, 10, None), (None, 11, at), (None, 12, at)], df.schema)
+    got = {r["id"]: r["accepted"] for r in S.cooldown_batch(df.union(odd)).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: True, 9: False, 10: False, 11: True, 12: False}
 
 
 def test_micro_batches_are_written_once(spark, events, tmp_path):
