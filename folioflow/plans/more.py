@@ -22,7 +22,7 @@ def snk1(t: Tables):
 @query("snk3_bulk_rows", "SELECT vec_id, label, len(embedding) AS dim, round(embedding[1], 6) AS first FROM embeddings")
 def snk3(t):
     """Vectors written in two lots to one table, and read back."""
-    path = T.table_path(t.spark, "vectors")
+    path = T.fresh_path(t.spark, "vectors")
     T.refresh(t.embeddings.filter("vec_id % 2 = 0"), path)
     stored = T.append_rows(t.embeddings.filter("vec_id % 2 <> 0"), path)
     return stored.select("vec_id", "label", F.size("embedding").cast("bigint").alias("dim"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
@@ -37,7 +37,7 @@ def snk4(t):
 @query("snk8_full_refresh", "SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")
 def snk8(t):
     """The index is built anew over what was there: rows first, then the summary from the rows stored."""
-    path = T.table_path(t.spark, "index")
+    path = T.fresh_path(t.spark, "index")
     T.refresh(t.documents.select("doc_id", F.lit("old").alias("source"), "lang", "n_chars"), path)
     stored = T.refresh(t.documents.select("doc_id", "source", "lang", "n_chars"), path)
     return stored.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
@@ -53,7 +53,7 @@ def srt2(t):
 @query("ups2_replace_staged", "WITH staged AS (SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations WHERE conv_id % 3 > 0 GROUP BY conv_id) SELECT coalesce(s.conv_id, o.conv_id) AS conv_id, coalesce(s.turn, o.turn) AS turn, coalesce(s.role, o.role) AS role FROM (SELECT DISTINCT conv_id, -1 AS turn, 'old' AS role FROM conversations WHERE conv_id % 2 = 0) o FULL JOIN staged s ON s.conv_id = o.conv_id")
 def ups2(t):
     """Conversations staged in a table of their own, then merged into the stored ones: the last turn of each wins."""
-    stored, staging, merged = (T.table_path(t.spark, f"conversations-{x}") for x in ("stored", "staging", "merged"))
+    stored, staging, merged = (T.fresh_path(t.spark, f"conversations-{x}") for x in ("stored", "staging", "merged"))
     c = t.conversations.select("conv_id", "turn", "role")
     T.refresh(c.filter("conv_id % 2 = 0").select("conv_id", F.lit(-1).alias("turn"), F.lit("old").alias("role")).distinct(), stored)
     return T.merge_staged(c.filter("conv_id % 3 > 0"), ["conv_id"], "turn", "role", stored, staging, merged)
@@ -175,17 +175,6 @@ def stm6(t):
     return t.events.filter(F.exp(-age() / 864000.0) >= 0.05).select("event_id")
 
 
-@query("stm8_resume", "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
-def stm8(t):
-    """What a resumed ingest still has to do: all but the rows marked done."""
-    return R.missing_from(t.documents, t.labels.filter("quality = 1"), ["doc_id"]).select("doc_id")
-
-
-@query("stm10_queue_depth", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'O') AS depth FROM orders GROUP BY 1")
-def stm10(t):
-    return t.orders.groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "O").alias("depth"))
-
-
 @query("udf1_embed")
 def udf1(t):
     from folioflow.functions.embedding import hash_embedding

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import rows as R
 from folioflow.plans.registry import Tables, query
+from folioflow.sources import tables as T
 
 # tasks: orders seen as ingestion tasks; ledger: events seen as account entries
 TASKS = """(SELECT o_orderkey AS task_id, o_custkey AS tenant, o_totalprice AS size, o_orderdate AS started,
@@ -310,10 +311,14 @@ def ups9(t):
     return R.without_keys(t.lineitem, gone, ["l_orderkey"]).select("l_orderkey", "l_linenumber")
 
 
-@query("ups10_rebuild", "SELECT c_custkey, 7 AS tenant FROM customer WHERE c_nationkey = 7 UNION ALL SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey <> 7")
+@query("ups10_rebuild", "SELECT c_custkey, c_nationkey AS tenant, CASE WHEN c_nationkey = 7 THEN 'new' ELSE 'old' END AS made FROM customer WHERE c_nationkey <> 7 OR c_acctbal > 0")
 def ups10(t):
-    fresh = t.customer.filter("c_nationkey = 7").select("c_custkey", F.lit(7).alias("tenant"))
-    return fresh.unionByName(t.customer.filter("c_nationkey <> 7").select("c_custkey", F.col("c_nationkey").alias("tenant")))
+    """A stored table by tenant, of which one tenant is rebuilt in place; the others' files stay as they are."""
+    path = T.fresh_path(t.spark, "relations")
+    rows = t.customer.select("c_custkey", F.lit("old").alias("made"), F.col("c_nationkey").alias("tenant"))
+    T.rebuild(rows, "tenant", path)
+    fresh = t.customer.filter("c_nationkey = 7 AND c_acctbal > 0").select("c_custkey", F.lit("new").alias("made"), F.col("c_nationkey").alias("tenant"))
+    return T.rebuild(fresh, "tenant", path).select("c_custkey", "tenant", "made")
 
 
 @query("ups11_retention", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")

@@ -20,7 +20,13 @@ def stm3(t):
     return t.events.groupBy(F.window("ts", "3 minutes", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-@query("stm7_cooldown")
+COOLDOWN = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT user_id, event_id, i, us AS last, true AS accepted FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN us - last >= 86400000000 THEN us ELSE last END, us - last >= 86400000000 FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, accepted FROM w"""
+
+
+@query("stm7_cooldown", COOLDOWN)
 def stm7(t):
     from folioflow.streaming.stateful import cooldown_batch
 

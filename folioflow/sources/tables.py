@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.operators import rows as R
 
 
-def table_path(spark: SparkSession, name: str) -> str:
-    """A folder below the session's warehouse, which driver and executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/folioflow/{name}"
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own for each call, below the session's warehouse, which driver and executors share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/folioflow/{name}-{uuid.uuid4().hex}"
 
 
 def append_rows(df: DataFrame, path: str) -> DataFrame:
@@ -33,3 +35,19 @@ def merge_staged(new: DataFrame, keys: list[str], at: str, tie: str, stored: str
     spark = new.sparkSession
     staged = refresh(new, staging)
     return refresh(R.upsert(spark.read.parquet(stored), R.last_write(staged, keys, at, tie), keys), merged)
+
+
+def rebuild(df: DataFrame, key: str, path: str) -> DataFrame:
+    """Replace the stored rows of the keys that df has, and no others', and read the table back.
+
+    The table is partitioned by key; Spark swaps only the partitions written. A key without new rows keeps its old ones: drop
+    its partition with `clear`.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def clear(spark: SparkSession, key: str, value: object, path: str) -> None:
+    """Delete the stored rows of one key."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={value}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
