@@ -25,7 +25,7 @@ def test_files_are_parsed_by_type(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: r for r in files.read_files(spark, str(tmp_path)).collect()}
     assert got["a.txt"]["text"] == "naïve" and got["b.md"]["text"] == "中文"
     assert got["c.docx"]["text"] == "Hello\na\tb"
-    assert got["d.pptx"]["text"] == "[[PAGE:1]]\nSlide 1\n[[PAGE:2]]\nSlide 2\n[[PAGE:3]]\nSlide 10"
+    assert got["d.pptx"]["text"] == "[幻灯片 1]\nSlide 1\n\n[幻灯片 2]\nSlide 2\n\n[幻灯片 3]\nSlide 10"
     assert got["e.docx"]["error"].startswith("BadZipFile") and got["f.xyz"]["error"] == "unsupported file type xyz"
     more = files.read_files(spark, str(tmp_path), {"xyz": lambda b: b.decode()}).filter("extension = 'xyz'").first()
     assert more["text"] == "?"
@@ -38,3 +38,25 @@ def test_append_missing_is_idempotent(spark, tmp_path):
     files.append_missing(spark.range(5, 15).selectExpr("id", "0L AS v"), f"{tmp_path}/t", ["id"])
     got = spark.read.parquet(f"{tmp_path}/t")
     assert got.count() == 15 and got.filter("id < 10").agg({"v": "sum"}).first()[0] == 9
+
+
+WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def test_docx_sections_inherit_headers():
+    p = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+    section = '<w:sectPr><w:headerReference w:type="{}" r:id="{}"/></w:sectPr>'
+    body = f"<w:document {WORD}><w:body>{p('one<w:tab/>')}<w:p><w:pPr>{section.format('default', 'h1')}</w:pPr></w:p>{p(' ')}<w:p><w:pPr>{section.format('first', 'h2')}</w:pPr></w:p>{p('two')}</w:body></w:document>".replace("<w:t>one<w:tab/></w:t>", "<w:t>one</w:t><w:tab/><w:t>1</w:t>")
+    links = '<R><Relationship Id="h1" Target="header1.xml"/><Relationship Id="h2" Target="header2.xml"/></R>'
+    parts = {"[Content_Types].xml": "<T/>", "word/_rels/document.xml.rels": links, "word/document.xml": body, "word/header1.xml": f"<w:hdr {WORD}>{p('top')}</w:hdr>", "word/header2.xml": f"<w:hdr {WORD}>{p('first page')}</w:hdr>"}
+    pack = lambda d: archive(**{k.replace("/", "__"): v for k, v in d.items()})
+    assert files.docx_text(pack(parts)) == "one\t1\ntwo\ntop\ntop"
+    without = {k: v for k, v in parts.items() if k != "word/header1.xml"}  # its link leads nowhere: read as it stands
+    assert files.docx_text(pack(without)) == "one\t1\ntwo\nfirst page"
+
+
+def test_blobs_without_content_or_type_are_errors(spark):
+    rows = [("a.txt", None), ("b", b"x"), (None, b"x"), ("c.TXT", b"up")]
+    got = {r["path"]: (r["text"], r["error"]) for r in files.parse(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got["a.txt"] == ("", None) and got["c.TXT"] == ("up", None) and got["b"][1].startswith("unsupported") and got[None][1].startswith("unsupported")
+    assert files.parse(spark.createDataFrame([], "path string, content binary")).collect() == []
