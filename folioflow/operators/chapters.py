@@ -115,8 +115,8 @@ def chapters(rows: DataFrame, contents: DataFrame) -> DataFrame:
     return d.select(*rows.columns, F.col("_chapter")["key"].alias("chapter_key"), F.col("_chapter")["title"].alias("chapter_title"))
 
 
-def segments(rows: DataFrame, size: int) -> DataFrame:
-    """Cuts chapters in segments, with a row (id, chapter_key, chapter_title, segment, label, first, last, rows) for each.
+def in_segments(rows: DataFrame, size: int) -> DataFrame:
+    """Rows with their chapter's segment and how many there are.
 
     Chapters of up to `size` rows, or twice that within 24 pages, stay whole; others go into 2 to 4 segments
     by their span of pages (48, 90), or by their rows (3 and 5 times `size`) where no page is known.
@@ -129,7 +129,13 @@ def segments(rows: DataFrame, size: int) -> DataFrame:
     each = F.expr(f"CASE WHEN {whole} THEN n ELSE greatest({size}, (n + ({wanted}) - 1) div ({wanted})) END")
     d = d.withColumn("each", each).withColumn("r", F.row_number().over(w.orderBy("page", "seq")) - 1)
     d = d.withColumn("segment", F.expr("CAST(r div each + 1 AS INT)")).withColumn("of", F.expr("CAST((n + each - 1) div each AS INT)"))
-    out = d.groupBy("id", "chapter_key", "segment", "of").agg(F.first("chapter_title").alias("chapter_title"), F.min(page).alias("first"), F.max(page).alias("last"), F.count(F.lit(1)).alias("rows"))
+    return d.drop("n", "span", "each", "r")
+
+
+def segments(rows: DataFrame, size: int) -> DataFrame:
+    """A row (id, chapter_key, chapter_title, segment, label, first, last, rows) for each segment of rows."""
+    page = F.when(F.col("page") > 0, F.col("page"))
+    out = in_segments(rows, size).groupBy("id", "chapter_key", "segment", "of").agg(F.first("chapter_title").alias("chapter_title"), F.min(page).alias("first"), F.max(page).alias("last"), F.count(F.lit(1)).alias("rows"))
     part = F.concat(F.lit(" 第"), F.col("segment").cast("string"), F.lit("/"), F.col("of").cast("string"), F.lit("段"))
     return out.select("id", "chapter_key", "chapter_title", "segment", F.concat("chapter_title", F.when(F.col("of") > 1, part).otherwise("")).alias("label"), "first", "last", "rows")
 

@@ -119,12 +119,6 @@ def agg29(t):
     return top.groupBy("l_suppkey").agg(F.round(F.avg("l_extendedprice"), 3).alias("mean"))
 
 
-@query("agg30_ordered_merge", "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) GROUP BY conv_id")
-def agg30(t):
-    firsts = t.conversations.groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
-    return firsts.groupBy("conv_id").agg(R.keep_in_order(F.col("first"), F.col("role"), ",").alias("roles"))
-
-
 @query("agg31_audit", "SELECT user_id, event_id FROM events WHERE user_id = 5 AND ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-02-01'")
 def agg31(t):
     return t.events.filter("user_id = 5 AND ts BETWEEN TIMESTAMP_NTZ '2024-01-01' AND TIMESTAMP_NTZ '2024-02-01'").select("user_id", "event_id")

@@ -124,14 +124,6 @@ def chk6(t):
     return C.chunks_of(t.documents, "doc_id", "text", C.by_concept())
 
 
-@query("js5_nested_tree", "SELECT lang, string_agg(source || '(' || n || ')', ',' ORDER BY source) AS children FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY lang")
-def js5(t):
-    """Bottom up, a level at a time."""
-    leaf = t.documents.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    tree = leaf.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("c"))
-    return tree.select("lang", F.array_join(F.transform("c", lambda x: F.concat(x["source"], F.lit("("), x["n"].cast("string"), F.lit(")"))), ",").alias("children"))
-
-
 @query("js6_metadata_merge", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"kind\":\"' || event_type || '\"}' AS meta FROM events")
 def js6(t):
     old = F.from_json("props", "k bigint")

@@ -94,13 +94,6 @@ def q11(t):
     return H.regroup(parts, "content")
 
 
-@query("q12_tree", "SELECT 'lang:' || lang AS id, NULL AS parent, 0 AS depth FROM documents GROUP BY lang UNION ALL SELECT 'lang:' || lang || '/' || source, 'lang:' || lang, 1 FROM documents GROUP BY lang, source")
-def q12(t):
-    root = F.concat(F.lit("lang:"), "lang")
-    a = t.documents.select(root.alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).distinct()
-    return a.unionByName(t.documents.select(F.concat_ws("/", root, "source").alias("id"), root.alias("parent"), F.lit(1).alias("depth")).distinct())
-
-
 @query("q13_map_reduce", rf"SELECT id, string_agg(part, ' / ' ORDER BY batch) AS report FROM (SELECT id, (page - 1) // 3 AS batch, string_agg(CASE WHEN length(c) > 120 THEN substr(c, 1, 119) || '…' ELSE c END, ' ' ORDER BY page) AS part FROM (SELECT id, page, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS c FROM {PAGES}) GROUP BY 1, 2) GROUP BY id")
 def q13(t):
     return map_reduce(pages(t), lambda text: X.snippet(text, 120))
