@@ -57,14 +57,15 @@ CONCEPTS = (
     ("problem", r"(?:问题|疑问|难点|挑战|Question|Problem|problem[s]?|question[s]?|issue[s]?)\s*[:：]\s*([^。；\n]{2,50})"),
     ("problem", r"(?:思考题|练习题|作业题|习题)\s*[\d\.]+\s*[:：]?\s*([^。；\n]{2,50})"),
 )
-# Marks of a concept in a line or chunk, in order of precedence; letters in either case.
+# Marks of a concept in a line or chunk, in order of precedence; letters in either case. An empty
+# alternative among those of examples, which would match everywhere, is left out.
 CONCEPT_MARKS = (
-    ("definition", r"定义为|是指|称为|叫做|即|指的是|定义作|definition|define[sd]?"),
-    ("example", r"例如|比如|举例|例\d+|例题|示例|examples?|such as|e\.g\."),
-    ("application", r"应用|运用|使用|可用于|适用于|apply|applications?|usage|use case"),
-    ("explanation", r"说明|解释|阐释|意思是|意味着|可以理解为|换言之|也就是说|explanation|explains?|meaning|in other words"),
-    ("summary", r"总结|结论|综上|总而言之|总之|summary|conclusion|to sum up"),
-    ("problem", r"问题|疑问|难点|挑战|questions?|problems?|issues?"),
+    ("definition", r"(?:定义为|是指|称为|叫做|即|指的是|定义为|定义作|定义为|Definition|Definition:|define[sd]?|defined as)"),
+    ("example", r"(?:例如|比如|举例|例\d+|例题|示例|例如|比如|Example|Example:|example[s]?|for example|such as|e\.g\.)"),
+    ("application", r"(?:应用|运用|使用|可用于|适用于|应用领域|应用场景|Application|Application:|apply|applications|usage|use case)"),
+    ("explanation", r"(?:说明|解释|阐释|意思是|意味着|可以理解为|换言之|也就是说|Explanation|Explanation:|explain[s]?|meaning|in other words)"),
+    ("summary", r"(?:总结|结论|综上|总而言之|总之|Summary|Summary:|conclusion|in conclusion|to sum up)"),
+    ("problem", r"(?:问题|疑问|难点|挑战|Question|Problem|problem[s]?|question[s]?|issue[s]?)"),
 )
 DEFINED = r"定义为|是指|称为|叫做|即|指的是"
 EXERCISE = r"(?i)(?:^|\n)\s*(?:例\s*\d|例题|习题|练习|思考题|作业|课后题|【例】|【题】|【练习】|【思考】|(?:第?\d+[\.、)\)]\s*题)|(?:Exercise|Example|Problem|Question)\s*\d)"
@@ -89,17 +90,17 @@ HEADINGS = {
 }
 HEADING_STARTS = ("第一", "第二", "第三", "核心", "关键", "结论", "建议")
 SENTENCE_ENDS = ("。", "？", "！", "：", "；", "...", "”", ")", "）")
-# Words that show a document's form, with their weight in twentieths of a point; order decides ties.
+# Words that show a document's form, with their weight in points; order decides ties.
 FORMS = (
-    ("paper", 30, ("abstract", "摘要", "keywords", "关键词", "doi:", "issn", "journal", "期刊", "vol.", "volume", "references", "参考文献", "bibliography")),
-    ("thesis", 40, ("学位论文", "毕业论文", "硕士论文", "博士论文", "dissertation", "master thesis", "phd thesis", "致谢", "acknowledgements")),
-    ("textbook", 30, ("习题", "练习题", "本章小结", "学习目标", "课后", "exercise")),
-    ("book", 24, ("isbn", "出版社", "版权所有", "publisher", "copyright", "前言", "preface", "目录", "contents")),
-    ("exam", 40, ("试卷", "考试", "满分", "答题", "考生", "exam paper", "time allowed", "total marks")),
-    ("report", 40, ("调研报告", "研究报告", "分析报告", "工作报告", "executive summary", "findings", "recommendations", "结论与建议")),
-    ("slides", 40, ()),
-    ("project", 40, ("需求文档", "设计文档", "需求分析", "架构设计", "里程碑", "甘特图", "user story", "sprint", "backlog")),
-    ("technical", 30, ("readme", "installation", "api reference", "endpoint", "configuration", "getting started", "安装", "配置说明")),
+    ("paper", 1.5, ("abstract", "摘要", "keywords", "关键词", "doi:", "issn", "journal", "期刊", "vol.", "volume", "references", "参考文献", "bibliography")),
+    ("thesis", 2, ("学位论文", "毕业论文", "硕士论文", "博士论文", "dissertation", "master thesis", "phd thesis", "致谢", "acknowledgements")),
+    ("textbook", 1.5, ("习题", "练习题", "本章小结", "学习目标", "课后", "exercise")),
+    ("book", 1.2, ("isbn", "出版社", "版权所有", "publisher", "copyright", "前言", "preface", "目录", "contents")),
+    ("exam", 2, ("试卷", "考试", "满分", "答题", "考生", "exam paper", "time allowed", "total marks")),
+    ("report", 2, ("调研报告", "研究报告", "分析报告", "工作报告", "executive summary", "findings", "recommendations", "结论与建议")),
+    ("slides", 2, ()),
+    ("project", 2, ("需求文档", "设计文档", "需求分析", "架构设计", "里程碑", "甘特图", "user story", "sprint", "backlog")),
+    ("technical", 1.5, ("readme", "installation", "api reference", "endpoint", "configuration", "getting started", "安装", "配置说明")),
 )
 # What tells a header of an exam's section from a question.
 OPTION_MARKS = ("?", "？", "A.", "B.", "C.", "D.", "A、", "B、", "C、", "D、")
@@ -170,7 +171,7 @@ def concept_relevance(c: Column, concept: Column, dense: Column) -> tuple[Column
 
 def concept_chunk(c: Column, traditional: Column) -> Column:
     """A chunk's concept by weighted marks (ties go to the first one); the traditional class if there are none, or for filler."""
-    n = {k: F.regexp_count(F.lower(c), F.lit(p)) for k, p in CONCEPT_MARKS}
+    n = {k: F.regexp_count(c, F.lit("(?i)" + p)) for k, p in CONCEPT_MARKS}
     score = {k: 10 * v + F.when(v > 1, 5).otherwise(0) for k, v in n.items()}
     score["definition"] = score["definition"] + 15 * F.regexp_count(c, F.lit(DEFINED))
     score["example"] = score["example"] + 12 * F.regexp_count(c, F.lit(EXERCISE))
@@ -185,7 +186,7 @@ def concept_line(line: Column) -> Column:
     """The concept that a line's marks show; general without any."""
     out = None
     for k, p in CONCEPT_MARKS:
-        found = F.lower(line).rlike(p)
+        found = line.rlike("(?i)" + p)
         out = F.when(found, k) if out is None else out.when(found, k)
     return out.when(line.rlike(EXERCISE), "example").otherwise("general")
 
@@ -225,11 +226,19 @@ def section_header(c: Column, marker: Column, level: Column) -> Column:
     return fits & short & ~X.has_any(s, OPTION_MARKS) & ~X.has_any(s, QUESTION_CUES) & named
 
 
+#: Scores are counted in twentieths of a point, so that sums of weights and half of them are whole numbers and ties are exact.
+TWENTIETHS = 20
+
+
+def twentieths(points: float) -> int:
+    return round(points * TWENTIETHS)
+
+
 def form_scores(c: Column, name: Column, pages: Column) -> dict[str, Column]:
     """Scores of a document's forms, in twentieths of a point."""
     head = F.lower(F.concat(name, F.lit(" "), F.substring(c, 1, 4000)))
     tail = F.when(F.length(c) > 2000, F.lower(F.substring(c, -2000, 2000))).otherwise(head)
-    score = {k: w * X.hits(head, words) for k, w, words in FORMS}
+    score = {k: twentieths(w) * X.hits(head, words) for k, w, words in FORMS}
     yes = lambda cond, n: F.when(cond, n).otherwise(0)
     score["paper"] = 30 * sum(((F.contains(head, F.lit(w)) | F.contains(tail, F.lit(w))).cast("int") for w in FORMS[0][2]), F.lit(0)) + yes(c.rlike(r"\[\d+\]|\([\p{L}\p{N}_]+,\s*\d{4}\)"), 40)
     score["paper"] = F.when(score["thesis"] > 0, (score["paper"] / 2).cast("int")).otherwise(score["paper"])

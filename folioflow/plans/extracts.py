@@ -104,7 +104,7 @@ def chk5(t):
 
 TRADITIONAL = """CASE WHEN CAST(contains(h, 'copyright') AS INTEGER) + CAST(contains(h, 'all rights reserved') AS INTEGER) + CAST(contains(h, 'isbn') AS INTEGER) + CAST(contains(h, 'publisher') AS INTEGER) >= 2
  OR (length(s) < 60 AND NOT e) THEN 'filler' WHEN e THEN 'example' ELSE 'knowledge' END"""
-COUNTED = {k: sql_count("lower(text)", p) for k, p in E.CONCEPT_MARKS}
+COUNTED = {k: sql_count("text", "(?i)" + p) for k, p in E.CONCEPT_MARKS}
 WEIGHED = {k: f"10 * {n} + CASE WHEN {n} > 1 THEN 5 ELSE 0 END" for k, n in COUNTED.items()}
 WEIGHED["definition"] += " + 15 * " + sql_count("text", E.DEFINED)
 WEIGHED["example"] += " + 12 * " + sql_count("text", E.EXERCISE)
@@ -165,7 +165,7 @@ def str20(t):
 
 def sql_forms():
     """Scores in twentieths of a point, over columns text, head, tail and lines."""
-    score = {k: f"{w} * {sql_hits('head', words)}" if words else "0" for k, w, words in E.FORMS}
+    score = {k: f"{E.twentieths(w)} * {sql_hits('head', words)}" if words else "0" for k, w, words in E.FORMS}
     either = " + ".join(f"CAST(contains(head, '{w}') OR contains(tail, '{w}') AS INTEGER)" for w in E.FORMS[0][2])
     cited = r"CASE WHEN regexp_matches(text, '\[\d+\]|\([\p{L}\p{N}_]+,\s*\d{4}\)') THEN 40 ELSE 0 END"
     score["paper"] = f"(30 * ({either}) + {cited}) // CASE WHEN {score['thesis']} > 0 THEN 2 ELSE 1 END"

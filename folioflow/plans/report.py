@@ -123,10 +123,3 @@ def q22(t):
     nodes = F.array(*[F.struct(F.lit(n).alias("node"), F.lit(title).alias("title"), a.alias("page_start"), b.alias("page_end")) for n, title, a, b in given])
     tree = t.documents.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.explode(nodes).alias("x")).select("id", "x.*")
     return H.navigation(tree, summaries)
-
-
-@query("str19_heading_list", r"SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) BETWEEN 3 AND 60 AND NOT regexp_matches(x, '\p{Ll}')), '|') AS heads FROM documents")
-def str19(t):
-    """Lines of 3 to 60 characters without a lower-case letter."""
-    heads = F.filter(F.split("text", "\n"), lambda x: F.length(x).between(3, 60) & ~x.rlike(r"\p{Ll}"))
-    return t.documents.select("doc_id", F.array_join(heads, "|").alias("heads"))

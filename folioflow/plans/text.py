@@ -41,12 +41,6 @@ def str6(t):
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
-@query("str7_key_points", r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ *•-]+', '')), lambda x: length(x) >= 20)[1:5], chr(10)) AS points FROM documents")
-def str7(t):
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^[ *•-]+", "")), lambda x: F.length(x) >= 20)
-    return t.documents.select("doc_id", F.array_join(F.slice(lines, 1, 5), "\n").alias("points"))
-
-
 def sql_any(col, words):
     return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
 
@@ -78,14 +72,6 @@ def str13(t):
     return t.documents.select("doc_id", X.chunk_class(F.col("text"), F.col("source")).alias("kind"))
 
 
-@query("str18_title", "SELECT doc_id, line FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN length(line) BETWEEN 8 AND 80 THEN 10 ELSE 0 END - i DESC, i) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))[1:20]) AS line, generate_subscripts(string_split(text, chr(10))[1:20], 1) - 1 AS i FROM documents)) WHERE n = 1")
-def str18(t):
-    """The best of the first 20 lines: a fitting length counts 10, each line further down costs 1."""
-    lines = t.documents.select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 20)).alias("i", "line"))
-    score = F.when(F.length("line").between(8, 80), 10).otherwise(0) - F.col("i")
-    return R.first_per(lines.withColumn("s", score), ["doc_id"], [F.desc("s"), F.col("i")]).select("doc_id", "line")
-
-
 BEST = ", ".join(f"{sql_hits('x', w)} AS h{i}" for i, w in enumerate(X.DISCIPLINES.values()))
 PICK = " ".join(f"WHEN h{i} = greatest(h0, h1, h2, h3, h4) THEN '{n}'" for i, n in enumerate(X.DISCIPLINES))
 
@@ -106,11 +92,6 @@ def str24(t):
     return t.documents.select("doc_id", F.array_join(X.encoding_issues(F.col("text")), ",").alias("issues"))
 
 
-@query("str25_language_probe", "SELECT doc_id, regexp_matches(text, '[一-鿿]') AS has_cjk, len(regexp_extract_all(text, '[A-Za-z]')) > 0.6 * length(text) AS mostly_latin FROM documents")
-def str25(t):
-    return t.documents.select("doc_id", F.col("text").rlike("[一-鿿]").alias("has_cjk"), (F.regexp_count("text", F.lit("[A-Za-z]")) > 0.6 * F.length("text")).alias("mostly_latin"))
-
-
 @query("str26_heading", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || ' ' || source WHEN 1 THEN doc_id || ' ' || lang ELSE 'Own ' || source END AS heading FROM documents")
 def str26(t):
     """From a path, from a heading between the paragraphs of a text, from the row's title: a third each."""
@@ -121,21 +102,11 @@ def str26(t):
     return t.documents.select("doc_id", heading(path, content, title).alias("heading"))
 
 
-@query("str29_doc_type", "SELECT page_id, CASE WHEN url LIKE '%.pdf' THEN 'pdf' WHEN contains(url, '?') THEN 'dynamic' ELSE 'html' END AS kind FROM pages")
-def str29(t):
-    return t.pages.select("page_id", F.when(F.col("url").endswith(".pdf"), "pdf").when(F.contains("url", F.lit("?")), "dynamic").otherwise("html").alias("kind"))
-
-
 @query("str30_safe_name", "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM pages")
 def str30(t):
     return t.pages.select("page_id", F.regexp_replace(F.regexp_replace(F.lower("url"), "[^a-z0-9._-]+", "_"), "^_+|_+$", "").alias("name"))
 
 
-@query("str31_report_valid", r"SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) >= 100 AND NOT regexp_matches(text, '(?i)lorem|todo|placeholder') AS valid FROM documents")
-def str31(t):
-    return t.documents.select("doc_id", ((F.length(F.regexp_replace("text", r"\s", "")) >= 100) & ~F.col("text").rlike("(?i)lorem|todo|placeholder")).alias("valid"))
-
-
 @query("str32_page_fallback", "SELECT page_id, coalesce(nullif(CAST(page_id % 3 AS INTEGER), 0), TRY_CAST(regexp_extract('page' || page_id, 'page([0-9]+)', 1) AS INTEGER)) AS page FROM pages")
 def str32(t):
     return t.pages.select("page_id", X.page_number((F.col("page_id") % 3).cast("int"), F.concat(F.lit("page"), "page_id")).alias("page"))

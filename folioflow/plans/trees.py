@@ -57,7 +57,7 @@ def js5(t):
     return T.nested(pages.unionByName(parts).unionByName(chapters).unionByName(documents), 4, ["title"])
 
 
-@query("agg30_ordered_merge", "SELECT l_suppkey, string_agg(k || '/' || l_returnflag, ',' ORDER BY o) AS kinds FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY o) AS n FROM (SELECT l_suppkey, l_partkey % 40 AS k, l_returnflag, min(l_orderkey * 100 + l_linenumber) AS o FROM lineitem GROUP BY 1, 2, 3)) WHERE n <= 4 GROUP BY 1")
+@query("agg30_ordered_merge", "SELECT l_suppkey, string_agg(k || '/' || l_returnflag, ',' ORDER BY o, k || '/' || l_returnflag) AS kinds FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY o, k, l_returnflag) AS n FROM (SELECT l_suppkey, l_partkey % 40 AS k, l_returnflag, min(l_orderkey * 100 + l_linenumber) AS o FROM lineitem GROUP BY 1, 2, 3)) WHERE n <= 4 GROUP BY 1")
 def agg30(t):
     """A supplier's first four distinct kinds of line, by where they are met first."""
     rows = t.lineitem.select("l_suppkey", (F.col("l_partkey") % 40).alias("k"), "l_returnflag", "l_orderkey", "l_linenumber")
