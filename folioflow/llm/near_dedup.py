@@ -12,8 +12,9 @@ than one component picks a leader out of its largest one, anew each round, and h
 others against it: a round makes no more pairs than buckets have members, and its links join most of a
 group. What is still in a bucket of several components is then joined exactly: with shingles ordered from
 the rarest of these documents to the most common one, two sets as similar as asked share one of their
-first n - ceil(n * similarity) + 1 shingles, and a bound from the places of the shared ones leaves few
-pairs of different components to confirm. Every pair of one bucket is thus confirmed, refuted or known to
+first n - ceil(n * similarity) + 1 shingles. How much of either set comes from there on bounds what the two can share,
+so a shingle's documents are joined by ranges of sizes in which that may be enough, and those of other sizes never
+meet; a bound from all shared places of the two then leaves few pairs of different components to confirm. Every pair of one bucket is thus confirmed, refuted or known to
 be connected: the rounds only save work, and nothing is cut off by a cap.
 
 Bands have as many coordinates as a chance of at most MISS allows that a pair at the threshold shares
@@ -176,6 +177,24 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         before = state
 
 
+def within_bounds(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of rows (token, r, root, n, rest, top) of different roots that meet at a token and may be alike, each once.
+
+    A pair shares at most the lesser rest of a token at which it meets first, so for the row x with that rest all y of a certain
+    range of sizes are in question: none where the rest is too small, which is known before anything is joined. Sizes are dealt to buckets that
+    grow by a twentieth, and a row meets only those of its range.
+    """
+    bucket = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05))).cast("int")
+    low, high = F.expr(f"(n * {percent} + 99) div 100"), F.expr(f"({100 + percent} * rest - {percent} * n) div {percent}")
+    asking = placed.withColumn("low", low).withColumn("high", high).filter("low <= high").withColumn("_b", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
+    xs = asking.select("token", "_b", F.col("r").alias("x"), F.col("root").alias("rx"), F.col("rest").alias("ex"), "low", "high", (F.col("root") == F.col("top")).alias("in_top"))
+    ys = placed.select("token", bucket(F.col("n")).alias("_b"), F.col("r").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("rest").alias("ey"), "top")
+    fits = F.expr("rx <> ry AND ex <= ey AND ny BETWEEN low AND high")
+    # members of the largest component meet only those of others
+    met = xs.filter("NOT in_top").join(ys, ["token", "_b"]).filter(fits).select("x", "y").unionByName(xs.filter("in_top").join(ys.filter("ry <> top"), ["token", "_b"]).filter(fits).select("x", "y"))
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def near_dedup(docs: DataFrame, scratch: Scratch, words_in: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, n_shingles, component_id, kept: a row per row of docs.
 
@@ -244,17 +263,18 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words_in: int = 5, percent: in
     alone = F.col("na") - F.size("common")  # shingles of no other document come first of all
     prefix = F.expr(f"na - (na * {percent} + 99) div 100 + 1") - alone
     first = F.slice(F.col("common")["token"], F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))
-    listed = sized.filter(prefix > 0).select("a", "root", "na", alone.alias("alone"), first.alias("some"))
-    listed = unsettled(listed.select("*", F.explode("some").alias("token")), "token", "prefixes")
-    x = listed.filter("root <> top").select("token", "a", F.col("root").alias("ra"), "na", F.col("alone").alias("la"), F.col("some").alias("pa"))
-    y = listed.select("token", F.col("a").alias("b"), F.col("root").alias("rb"), F.col("na").alias("nb"), F.col("alone").alias("lb"), F.col("some").alias("pb"), (F.col("root") == F.col("top")).alias("in_top"))
-    # each pair at the first shingle that it shares; no more can be shared than those of both lists, and what follows the last of them on either side
+    lists = scratch.save(sized.filter(prefix > 0).select("r", "a", "root", "na", alone.alias("alone"), first.alias("some")), "lists")
+    # a row for each shingle of the prefix: what of the set comes from there on bounds what a pair that meets there first can share
+    placed = lists.select("r", "root", F.col("na").alias("n"), "alone", F.posexplode("some").alias("place", "token"))
+    placed = unsettled(placed.select("token", "r", "root", "n", (F.col("n") - F.col("alone") - F.col("place")).alias("rest")), "token", "prefixes")
+    near = scratch.save(within_bounds(placed, percent), "met")
+    # lists are fetched for the pairs left; no more can be shared than those of both lists, and what follows the last of them on either side
+    x = near.join(lists.select(F.col("r").alias("x"), "a", F.col("root").alias("ra"), "na", F.col("alone").alias("la"), F.col("some").alias("pa")), "x")
+    y = lists.select(F.col("r").alias("y"), F.col("a").alias("b"), F.col("root").alias("rb"), F.col("na").alias("nb"), F.col("alone").alias("lb"), F.col("some").alias("pb"))
     both = "array_intersect(pa, pb)"
     last = f"element_at({both}, -1)"
     bound = f"size({both}) + least(na - la - array_position(pa, {last}), nb - lb - array_position(pb, {last}))"
-    enough = F.expr(f"{both}[0] = x.token AND ({bound}) * {100 + percent} >= {percent} * (na + nb)")
-    other = F.expr("ra <> rb AND (in_top OR a < b)")
-    met = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & other & alike & enough).select("a", "b", "ra", "rb")
+    met = x.join(y, "y").filter(F.expr(f"({bound}) * {100 + percent} >= {percent} * (na + nb)")).select("a", "b", "ra", "rb")
     edges = edges.union(confirmed(met, "across"))
     whole = components(scratch, edges.toDF("a", "b"), "last")
     least = base.select("doc_id", "n_shingles").join(whole, base["doc_id"] == whole["v"], "left")

@@ -19,6 +19,7 @@ P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
+from folioflow.llm import near_dedup as near_module  # noqa: E402
 from folioflow.llm import packing, quality, secrets, sharding, warc  # noqa: E402
 from folioflow.llm.common import Scratch  # noqa: E402
 from folioflow.llm.exact_dedup import OP9_SQL, exact_dedup, op9_exact_dedup  # noqa: E402
@@ -610,3 +611,39 @@ def test_pipeline_edge_cases(spark, odd, empty):
 def test_packing_is_the_same_twice(spark):
     runs = [rows_of(packing.op1_packing(spark, SF), "doc_id", "start", "sequence_id", "offset") for _ in range(2)]
     assert runs[0] == runs[1]
+
+
+def test_pairs_out_of_bounds_never_meet(spark, monkeypatch):
+    """1000 documents of one template with ends of their own: each set's rest is too small for any other, so no row of the join is made."""
+    made = []
+    plain = near_module.within_bounds
+    monkeypatch.setattr(near_module, "within_bounds", lambda *a: made.append(plain(*a)) or made[-1])
+    words = [f"w{i}" for i in range(160)]
+    rows = [(i, " ".join([*words, *(f"y{i}x{k}" for k in range(40))])) for i in range(1000)]
+    with Scratch(spark, "t") as scratch:
+        out = near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), scratch, 3, 85)
+        assert out.filter("kept").count() == 1000
+        assert made[0].count() == 0
+
+
+def test_a_very_long_text_among_others(spark):
+    rng = random.Random(8)
+    long = " ".join(f"b{rng.randrange(10**6)}" for _ in range(300_000))
+    rows = [(1, long), (2, long + " and more"), (3, long[: len(long) // 2]), (4, "a b c d")]
+    with Scratch(spark, "t") as scratch:
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), scratch, 3, 85).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_documents_close_to_the_threshold_are_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        own = list(words)
+        for k in rng.sample(range(200), rng.choice([2, 3, 4])):
+            own[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own)))
+    with Scratch(spark, "t") as scratch:
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), scratch, 3, 85).collect())
+    assert got == brute.near(rows, 3, 85)
