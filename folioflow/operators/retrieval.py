@@ -145,19 +145,41 @@ ROLE_BONUS = {"answer": 0.18, "analysis": 0.14, "question": 0.08}
 PAIR_BONUS = 0.16
 
 
-def qa_focus(scored: DataFrame, k: int) -> DataFrame:
-    """Rows (conv_id, turn, id, question, qa_role, sparse_score) to the k best (conv_id, turn, qa_role, pair, score).
+# Roles that make a pair, and the longest excerpt of a block.
+QA_SIDES = ("question", "answer", "analysis")
+BLOCK_EXCERPT = 240
 
-    The max(3k, 18) best rows are candidates; a pair is a question of theirs with an answer or analysis.
+
+def qa_focus(fused: DataFrame, k: int) -> DataFrame:
+    """Candidates (id, document_id, question_id, qa_role, rrf_score) with pair and score: the k best.
+
+    fused holds the max(3k, 18) best rows of the two rankings. A pair is a document's question with an answer or analysis among
+    them; rows of a pair, and rows of a role, gain by it. Ties go by rrf_score, then id.
     """
-    best = scored.orderBy(F.desc("sparse_score"), "id").limit(max(3 * k, 18))
-    base = 1.0 / (RRF_K + F.row_number().over(Window.orderBy(F.desc("sparse_score"), "id")))  # at most max(3k, 18) rows
-    same = Window.partitionBy("conv_id", "question")
-    role = lambda *names: F.max(F.col("qa_role").isin(*names)).over(same)
-    rows = best.withColumn("base", base).withColumn("pair", role("question") & role("answer", "analysis"))
+    numbered = F.nullif(F.coalesce(F.col("question_id").cast("string"), F.lit("")), F.lit(""))
+    same = Window.partitionBy("document_id", "question_id")
+    has = lambda *names: F.max(F.coalesce(F.col("qa_role").isin(*names), F.lit(False))).over(same)
+    rows = fused.withColumn("pair", numbered.isNotNull() & has("question") & has("answer", "analysis"))
     bonus = F.coalesce(F.create_map(*[F.lit(x) for pair in ROLE_BONUS.items() for x in pair])[F.col("qa_role")], F.lit(0.0))
-    score = F.col("base") + bonus + F.when(F.col("pair"), PAIR_BONUS).otherwise(0.0)
-    return rows.withColumn("score", score).orderBy(F.desc("score"), F.desc("base"), "id").limit(k).select("conv_id", "turn", "qa_role", "pair", F.round("score", 9).alias("score"))
+    score = F.col("rrf_score") + bonus + F.when(F.col("pair"), PAIR_BONUS).otherwise(0.0)
+    return rows.withColumn("score", score).orderBy(F.desc("score"), F.desc("rrf_score"), "id").limit(k)
+
+
+def qa_blocks(focused: DataFrame, most: int) -> DataFrame:
+    """(document_id, question_id, score, block) of the `most` best pairs among focused rows (content, title, section_path beside them).
+
+    A block has the first question's excerpt and the first answer's and analysis', in the order of scores.
+    """
+    place = F.struct((-F.col("score")).alias("s"), (-F.col("rrf_score")).alias("r"), F.col("id"))
+    excerpt = F.nullif(X.snippet(F.coalesce("content", F.lit("")), BLOCK_EXCERPT), F.lit(""))
+    rows = focused.filter(F.col("qa_role").isin(*QA_SIDES) & F.col("question_id").isNotNull()).withColumn("_at", place).withColumn("_x", excerpt).filter("_x IS NOT NULL")
+    first = lambda c, cond: F.min_by(c, F.when(cond, F.col("_at")))
+    sides = [first(F.when(F.col("qa_role") == r, F.col("_x")), F.col("qa_role") == r).alias(r) for r in QA_SIDES]
+    named = first(F.col("section_path"), F.coalesce(F.trim("section_path"), F.lit("")) != "").alias("path")
+    pairs = rows.groupBy("document_id", "question_id").agg(F.max("score").alias("score"), F.min_by("title", "_at").alias("title"), named, *sides)
+    pairs = pairs.filter("question IS NOT NULL AND (answer IS NOT NULL OR analysis IS NOT NULL)").orderBy(F.desc("score"), "document_id", "question_id").limit(most)
+    head = F.concat(F.lit("[QA_FOCUS::"), F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("未命名资料")), F.lit("::"), F.coalesce("path", F.lit("exam/question")), F.lit("]\n题干："))
+    return pairs.select("document_id", "question_id", "score", F.concat(head, "question", F.lit("\n答案与解析："), F.concat_ws(" ", "answer", "analysis")).alias("block"))
 
 
 def nearest(queries: DataFrame, rows: DataFrame, id_col: str, embedding: str, k: int, least: float, block: int = 256, chunk: int = 2048) -> DataFrame:

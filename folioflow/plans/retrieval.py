@@ -93,27 +93,46 @@ def q1(t):
 
 
 ROLE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{k}'" for k, words in X.QA_ROLES) + " ELSE CASE turn % 3 WHEN 0 THEN 'question' WHEN 1 THEN 'answer' ELSE 'other' END END"
-FOCUS = f"""WITH t AS (SELECT conv_id, turn, text, conv_id * 1000 + turn AS id, {ROLE} AS qa_role, turn // 3 AS question FROM conversations),
-k AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda x: length(x) > 1) AS w FROM t), n AS (SELECT count(*) AS n_rows, {{}} FROM k), s AS (SELECT k.*, {{}} AS score FROM k, n WHERE len(w) > 0),
-r AS (SELECT *, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS base FROM s), c AS (SELECT * FROM r ORDER BY base DESC, id LIMIT 30),
+FOCUS_QUERY = "what is the answer of the question"
+FOCUS_WORDS = sorted(set(S.query_tokens(FOCUS_QUERY)))
+DF = ", ".join(f"count(*) FILTER (len(w) > 0 AND list_contains(w, '{w}')) AS df_{w}" for w in FOCUS_WORDS)
+TF = " + ".join(f"len(list_filter(w, lambda x: x = '{w}')) / len(w) * (ln((n_rows + 1) / (df_{w} + 1)) + 1) * {S.query_tokens(FOCUS_QUERY).count(w)}" for w in FOCUS_WORDS)
+FOCUS = rf"""WITH t AS (SELECT conv_id, turn, text, conv_id * 1000 + turn AS id, {ROLE} AS qa_role, turn // 3 AS question, CAST(embedding AS DOUBLE[]) AS e FROM conversations JOIN embeddings ON vec_id = (conv_id * 8 + turn) % 400),
+k AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) > 1) AS w FROM t), n AS (SELECT count(*) AS n_rows, {DF} FROM k),
+s AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT id, {TF} AS score FROM k, n WHERE len(w) > 0)),
+d AS (SELECT id, row_number() OVER (ORDER BY round(list_cosine_similarity(e, {Q}), 9) DESC, id) AS r FROM t),
+c AS (SELECT t.*, 1.0 / (60 + d.r) + coalesce(1.0 / (60 + s.r), 0) AS base FROM t JOIN d ON d.id = t.id LEFT JOIN s ON s.id = t.id ORDER BY base DESC, t.id LIMIT 120),
 g AS (SELECT *, bool_or(qa_role = 'question') OVER q AND bool_or(qa_role IN ('answer', 'analysis')) OVER q AS pair FROM c WINDOW q AS (PARTITION BY conv_id, question)),
-f AS (SELECT *, base + CASE qa_role WHEN 'answer' THEN 0.18 WHEN 'analysis' THEN 0.14 WHEN 'question' THEN 0.08 ELSE 0 END + CASE WHEN pair THEN 0.16 ELSE 0 END AS rank_score FROM g)
-SELECT conv_id, turn, qa_role, pair, round(rank_score, 9) AS score FROM f ORDER BY rank_score DESC, base DESC, id LIMIT 10"""
-FOCUS_WORDS = sorted(set(S.query_tokens("what is the answer of the question")))
-FOCUS_TIMES = {w: S.query_tokens("what is the answer of the question").count(w) for w in FOCUS_WORDS}
-FOCUS = FOCUS.format(
-    ", ".join(f"count(*) FILTER (len(w) > 0 AND list_contains(w, '{w}')) AS df_{w}" for w in FOCUS_WORDS),
-    " + ".join(f"len(list_filter(w, lambda x: x = '{w}')) / len(w) * (ln((n_rows + 1) / (df_{w} + 1)) + 1) * {FOCUS_TIMES[w]}" for w in FOCUS_WORDS),
-)
+f AS (SELECT *, base + CASE qa_role WHEN 'answer' THEN 0.18 WHEN 'analysis' THEN 0.14 WHEN 'question' THEN 0.08 ELSE 0 END + CASE WHEN pair THEN 0.16 ELSE 0 END AS score FROM g),
+best AS (SELECT * FROM f ORDER BY score DESC, base DESC, id LIMIT 40)"""
 
 
-@query("q2_qa_focus", FOCUS)
-def q2(t):
-    """Turns that match a question best, first those of a role, and those whose question and answer are both found."""
+def focused(t):
+    """Turns that match a question best by both rankings; their vectors are those of their number, three turns make a question's group."""
     other = F.when(F.col("turn") % 3 == 0, "question").when(F.col("turn") % 3 == 1, "answer").otherwise("other")
     named = X.first_class(F.lower("text"), X.QA_ROLES, "other")
-    rows = t.conversations.select("conv_id", "turn", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(named == "other", other).otherwise(named).alias("qa_role"), F.expr("turn div 3").alias("question"))
-    return S.qa_focus(S.sparse_scores(rows, "what is the answer of the question", "text"), 10)
+    vectors = t.embeddings.select(F.col("vec_id").alias("_v"), "embedding")
+    rows = t.conversations.join(vectors, (F.col("conv_id") * 8 + F.col("turn")) % 400 == F.col("_v"))
+    rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("document_id"), "turn", F.col("text").alias("content"), F.when(named == "other", other).otherwise(named).alias("qa_role"), F.expr("turn div 3").alias("question_id"), "embedding")
+    dense = S.dense_scores(rows.select("id", "embedding"), query_vector(t)).withColumn("dense_score", F.round("dense_score", 9))
+    fused = S.fuse(dense, S.sparse_scores(rows.select("id", "content"), FOCUS_QUERY), 120)
+    return S.qa_focus(rows.drop("embedding").join(F.broadcast(fused), "id"), 40)  # 120 rows
+
+
+@query("q2_qa_focus", FOCUS + " SELECT conv_id, turn, qa_role, pair, round(score, 9) AS score FROM best")
+def q2(t):
+    return focused(t).select(F.col("document_id").alias("conv_id"), "turn", "qa_role", "pair", F.round("score", 9).alias("score"))
+
+
+CLIP = r"(CASE WHEN length(c) > 240 THEN substr(c, 1, 239) || '…' ELSE c END)"
+
+
+@query("q2_qa_blocks", FOCUS + rf""", x AS (SELECT *, {CLIP} AS clip FROM (SELECT *, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS c FROM best)),
+p AS (SELECT conv_id, question, max(score) AS score, list(clip ORDER BY score DESC, base DESC, id) FILTER (qa_role = 'question') AS q, list(clip ORDER BY score DESC, base DESC, id) FILTER (qa_role = 'answer') AS a, list(clip ORDER BY score DESC, base DESC, id) FILTER (qa_role = 'analysis') AS y FROM x GROUP BY 1, 2)
+SELECT conv_id, question, round(score, 9) AS score, '[QA_FOCUS::Conversation ' || conv_id || '::exam/question]' || chr(10) || '题干：' || q[1] || chr(10) || '答案与解析：' || concat_ws(' ', a[1], y[1]) AS block FROM p WHERE q IS NOT NULL AND (a IS NOT NULL OR y IS NOT NULL) ORDER BY score DESC, conv_id, question LIMIT 3""")
+def q2_blocks(t):
+    rows = focused(t).withColumn("title", F.concat(F.lit("Conversation "), F.col("document_id").cast("string"))).withColumn("section_path", F.lit(""))
+    return S.qa_blocks(rows, 3).select(F.col("document_id").alias("conv_id"), F.col("question_id").alias("question"), F.round("score", 9).alias("score"), "block")
 
 
 @query("q3_agent_context")

@@ -54,3 +54,25 @@ def test_fusion_is_brute_force(spark):
             assert [(r["id"], round(r["rrf_score"], 12)) for r in got.collect()] == want
     none = spark.createDataFrame([], "id long, sparse_score double")
     assert S.fuse(frame(dense, "dense_score"), none, 3).count() == 3
+
+
+def test_question_focus_and_blocks(spark):
+    rows = [
+        (1, 7, "1", "question", 0.010, "What  is it?"),
+        (2, 7, "1", "answer", 0.011, "This."),
+        (3, 7, "1", "analysis", 0.012, "Since that."),
+        (4, 7, "1", "answer", 0.020, "Better."),
+        (5, 7, "2", "question", 0.020, "Alone"),
+        (6, 8, None, "answer", 0.030, "No number"),
+        (7, 8, "3", "other", 0.030, "Other"),
+        (8, 9, "1", "question", 0.001, "Q9"),
+        (9, 9, "1", "analysis", 0.001, " "),
+    ]
+    df = spark.createDataFrame(rows, "id long, document_id long, question_id string, qa_role string, rrf_score double, content string")
+    got = S.qa_focus(df, 8)
+    assert [(r["id"], r["pair"], round(r["score"], 3)) for r in got.collect()] == [(4, True, 0.36), (2, True, 0.351), (3, True, 0.312), (9, True, 0.301), (1, True, 0.25), (8, True, 0.241), (6, False, 0.21), (5, False, 0.1)]
+    named = got.selectExpr("*", "'T' AS title", "CASE WHEN id = 3 THEN 'a/b' ELSE '' END AS section_path")
+    blocks = [tuple(r) for r in S.qa_blocks(named, 5).collect()]
+    assert [b[:2] for b in blocks] == [(7, "1")] and round(blocks[0][2], 3) == 0.36
+    assert blocks[0][3] == "[QA_FOCUS::T::a/b]\n题干：What is it?\n答案与解析：Better. Since that."
+    assert S.qa_blocks(named.limit(0), 5).collect() == []
