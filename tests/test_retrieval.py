@@ -31,8 +31,10 @@ def test_transfer_searches_the_best_concepts(spark):
 
 def test_question_focus_rewards_pairs(spark):
     rows = [(1, 0, 10, 0, "question", 0.5), (1, 1, 11, 0, "answer", 0.4), (2, 0, 20, 0, "other", 0.9)]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn int, id bigint, question int, qa_role string, sparse_score double")
-    got = [(r["conv_id"], r["turn"], r["pair"], r["score"]) for r in S.qa_focus(df, 2).collect()]
+    df = spark.createDataFrame(rows, "document_id bigint, turn int, id bigint, question_id int, qa_role string, sparse_score double")
+    none = spark.createDataFrame([], "id bigint, dense_score double")
+    fused = df.join(S.fuse(none, df.select("id", "sparse_score"), 18), "id")
+    got = [(r["document_id"], r["turn"], r["pair"], round(r["score"], 9)) for r in S.qa_focus(fused, 2).collect()]
     assert got == [(1, 1, True, round(1 / 63 + 0.18 + 0.16, 9)), (1, 0, True, round(1 / 62 + 0.08 + 0.16, 9))]
 
 
