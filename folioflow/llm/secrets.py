@@ -6,12 +6,15 @@ of common identifiers and code: words and names that fit the surroundings cost l
 material costs about its own entropy. Every candidate is measured, whatever its characters, with
 copies of it in the surroundings masked; where it stands partly in a pattern's span, the rest beside
 an assignment, or the whole run around other spans. Candidates whose cost per character reaches the threshold are
-reported as kind "novel", beside the patterns' spans.
+reported as kind "novel", beside the patterns' spans. Digits or letters of one case cannot cost so much;
+a run of these is reported if it costs most of its alphabet's entropy, and no less than the same characters shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 
 import pyarrow as pa
@@ -31,6 +34,8 @@ NAMED = re.compile(r"[dDtTnNyY][\"']?\x20*[:=]")
 SENSITIVE = re.compile(r"password|passwd|passphrase|pwd|secret|token|api|key|auth|bearer|credential|private|signature|cookie|session", re.IGNORECASE | re.ASCII)
 NAME = re.compile(r"[A-Za-z0-9_-]{0,15}=")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Runs of few kinds of characters, and how many there are of each kind.
+NARROW = [(re.compile("[0-9]+"), 10), (re.compile("[a-z]+"), 26), (re.compile("[A-Z]+"), 26), (re.compile("[a-z0-9]+"), 36), (re.compile("[A-Z0-9]+"), 36)]
 # Identifiers and code that primes the dictionary.
 IDENTIFIERS = """
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 access_token refresh_token client_id client_secret
@@ -64,6 +69,25 @@ def novelty(text: str, start: int, end: int, before: int = 512, after: int = 256
     return (whole - len(pack.compress(left + right))) / size
 
 
+def incompressible(text: str, start: int, end: int, threshold: float, share: float = 0.65, shuffles: int = 4) -> bool:
+    """Whether text[start:end] costs the threshold, or as much as random characters of its own narrow alphabet do.
+
+    The latter: at least `share` of the alphabet's entropy, and at least 0.97 of the mean cost of its
+    characters in another order, so that what words, dates or counting save tells.
+    """
+    cost = novelty(text, start, end)
+    if cost >= threshold:
+        return True
+    run = text[start:end]
+    kinds = next((n for kind, n in NARROW if kind.fullmatch(run)), 0)
+    if not kinds or cost < share * math.log2(kinds) / 8:
+        return False
+    rng, total = random.Random(run), 0.0
+    for _ in range(shuffles):
+        total += novelty(text[:start] + "".join(rng.sample(run, len(run))) + text[end:], start, end)
+    return cost >= 0.97 * total / shuffles
+
+
 def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The parts of start..end that no span (they are sorted) covers."""
     parts = []
@@ -94,7 +118,7 @@ def scan(text: str, threshold: float = 0.68, near: int = 48) -> list[tuple[int,
             # nothing but a short name before a reported value, or padding after it
             if all(NAME.fullmatch(text[x:y]) if x == a and y < b else not text[x:y].strip("=") for x, y in rest) and rest != [(a, b)]:
                 continue
-            if novelty(text, a, b) >= threshold:
+            if incompressible(text, a, b, threshold):
                 novel.append((a, b, "novel"))
     found += novel
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import itertools
 import random
+import string
 import tempfile
 import zlib
 from collections import Counter
@@ -255,6 +256,68 @@ def test_novel_secrets_of_any_letters_twice_and_around_spans():
     assert novel("the signature of 20240101 internationalization authentication") == []
 
 
+def test_novel_secrets_of_narrow_alphabets_among_prose():
+    rng = random.Random(5)
+    prose = "the quick brown fox jumps over the lazy dog and runs away from every hunter in the green forest near the old river " * 3
+    spans = lambda text: {(a, b) for a, b, _ in secrets.scan(text)}
+    for before, after in (("", ""), ("", " and some more plain words"), (prose, " " + prose)):
+        start = len(before) + len("auth header cookie session: ")
+        for letters in (string.digits, string.ascii_lowercase, string.ascii_uppercase, string.ascii_lowercase + string.digits):
+            for size in (16, 32, 64):
+                keys = ["".join(rng.choices(letters, k=size)) for _ in range(25)]
+                assert sum((start, start + size) in spans(f"{before}auth header cookie session: {key}{after}") for key in keys) >= 22
+        for plain in ("internationalization", "telecommunications", "1234567890123456", "2024010120240102", "0000000000000000", "configuration123456"):
+            assert spans(f"{before}auth header cookie session: {plain}{after}") == set()
+
+
+def test_base_secrets_match_an_independent_scanner(spark, documents):
+    """The base spans of every text, found by walking character by character instead of by the patterns."""
+    got = {r["doc_id"]: r for r in secrets.op4_secrets(spark, SF).collect()}
+    letters, digits = string.ascii_letters, string.digits
+
+    def run(text, i, allowed):
+        while i < len(text) and text[i] in allowed:
+            i += 1
+        return i
+
+    def assignment(text, i):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if all(c in letters + "_" for c in text[i : i + len(name)]) and text[i : i + len(name)].lower() == name:
+                j = i + len(name)
+                j += text[j : j + 1] in ("'", '"')
+                j = run(text, j, " ")
+                if text[j : j + 1] not in (":", "="):
+                    return 0, 0
+                j = run(text, j + 1, " ")
+                j += text[j : j + 1] in ("'", '"')
+                return j, run(text, j, letters + digits + "+/_.=-")
+        return 0, 0
+
+    for doc, text in documents[["doc_id", "text"]].itertuples(index=False):
+        text, found = text or "", []
+        i = 0
+        while i < len(text):
+            at, end = assignment(text, i) if text[i] in "pPsStTaA" else (0, 0)
+            if end > at:
+                found += [(i, 0, f"assign:{i}:{end}")] * (end - at >= 6)
+                i = end
+            else:
+                i += 1
+        for n, (kind, head, allowed, least) in enumerate((("access", "AKIA", string.ascii_uppercase + digits, 20), ("hex", "", digits + "abcdef", 24)), 1):
+            i = 0
+            while i < len(text):
+                end = run(text, i + len(head), allowed) if text.startswith(head, i) else i
+                if end > i + len(head):
+                    found += [(i, n, f"{kind}:{i}:{end}")] * (end - i >= least)
+                    i = end
+                else:
+                    i += 1
+        found.sort()
+        counts = Counter(n for _, n, _ in found)
+        want = (counts[0], counts[1], counts[2], hashlib.sha256(",".join(s for _, _, s in found).encode()).hexdigest())
+        assert (got[doc]["n_assign"], got[doc]["n_access"], got[doc]["n_hex"], got[doc]["base_sha256"]) == want
+
+
 def test_secrets_edge_cases(spark, odd, empty):
     got = secrets.scan_secrets(odd).collect()
     assert len(got) == odd.count()
