@@ -69,23 +69,23 @@ def novelty(text: str, start: int, end: int, before: int = 512, after: int = 256
     return (whole - len(pack.compress(left + right))) / size
 
 
-def incompressible(text: str, start: int, end: int, threshold: float, share: float = 0.65, shuffles: int = 4) -> bool:
-    """Whether text[start:end] costs the threshold, or as much as random characters of its own narrow alphabet do.
+def incompressible(text: str, start: int, end: int, threshold: float, share: float = 0.9, order: float = 0.9, shuffles: int = 4) -> bool:
+    """Whether text[start:end] costs the threshold; a run of a narrow alphabet, as much as random characters of it do.
 
-    The latter: at least `share` of the alphabet's entropy, and at least 0.97 of the mean cost of its
-    characters in another order, so that what words, dates or counting save tells.
+    The latter: at least `share` of the alphabet's entropy, and at least `order` of the mean cost of its
+    characters in another order, so that what words, dates or counting save tells. A rare long word, or a
+    date without other text around it, costs as much as random characters do, and is reported.
     """
-    cost = novelty(text, start, end)
-    if cost >= threshold:
-        return True
-    run = text[start:end]
+    cost, run = novelty(text, start, end), text[start:end]
     kinds = next((n for kind, n in NARROW if kind.fullmatch(run)), 0)
-    if not kinds or cost < share * math.log2(kinds) / 8:
+    if not kinds:
+        return cost >= threshold
+    if cost < share * math.log2(kinds) / 8:
         return False
     rng, total = random.Random(run), 0.0
     for _ in range(shuffles):
         total += novelty(text[:start] + "".join(rng.sample(run, len(run))) + text[end:], start, end)
-    return cost >= 0.97 * total / shuffles
+    return cost >= order * total / shuffles
 
 
 def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
