@@ -3,9 +3,9 @@
 A source's rows are cut into blocks. Block j of a source with weight w has release time floor(j / w)
 and deadline ceil((j + 1) / w); at each slot the released block with the earliest deadline is placed,
 so after any number t of slots a source has had w t blocks, off by less than one. Weights are ratios of
-whole numbers, taken exactly. The driver plans slots until a source runs dry, or one period of the
-schedule if it repeats before (.6, .3 and .1 do every 10 slots); every block's slot then follows from
-its number. When a source runs dry, the rest share the slots by their own weights in turn: no row is
+whole numbers, taken exactly; the schedule repeats after their sum (.6, .3 and .1 do every 10 slots).
+The mix states its weights in whole parts of at most PERIOD slots, whatever the size of the input, so the driver plans
+one period, or until a source runs dry before; every block's slot then follows from its number. When a source runs dry, the rest share the slots by their own weights in turn: no row is
 dropped, and there are at most as many such phases as sources.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import Scratch, numbered
 
-#: The driver plans so many slots at most, and a plan is broadcast up to so many numbers.
-MOST_SLOTS, MOST_SENT = 1 << 20, 1 << 23
+#: Weights are whole parts of about so many slots at most, and a plan is broadcast up to so many numbers.
+PERIOD, MOST_SENT = 1 << 16, 1 << 23
 
 
 def parts(weights: dict[str, float]) -> dict[str, int]:
@@ -36,6 +36,18 @@ def parts(weights: dict[str, float]) -> dict[str, int]:
     return {s: n // common for s, n in whole.items()}
 
 
+def stated(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+    """The weights as whole parts: exact where their period allows, else rounded to parts of it, none of them to 0.
+
+    So a source's weight is about half a part from the one given at most (1 / 131072 of all), but for those lifted to one part.
+    """
+    exact = parts(weights)
+    total, most = sum(exact.values()), max(period, 16 * len(exact))
+    if total > most:
+        exact = parts({s: max(1, (2 * n * most + total) // (2 * total)) for s, n in exact.items()})
+    return {s: exact.get(s, 0) for s in weights}
+
+
 def pfair(shares: dict[str, int], blocks: dict[str, int] | None = None) -> list[str]:
     """The source of each slot, by earliest deadline among released blocks: a period, or until a source's blocks are used up."""
     period = sum(shares.values())
@@ -86,14 +98,14 @@ def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
     return plan
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, rows_in_block: int | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, rows_in_block: int = 64, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """docs with source_key, block, slot, position and target_weight: the order of the mix.
 
     weights gives target weights by source; sources without one take part with the least weight given.
     Without weights a source's is its number of rows to the power of temperature. Within a source,
-    rows come in the order of their columns' hash; a block is rows_in_block of them (without that
-    number 64, or the MOST_SLOTS-th part of all where that is more), its last may be shorter. position is slot * rows_in_block plus the place in the block: gaps occur after
-    short blocks only. A null source is the source "" (an empty name likewise); null ids and repeated
+    rows come in the order of their columns' hash; a block is rows_in_block of them, its last may be
+    shorter. position is slot * rows_in_block plus the place in the block: gaps occur after short
+    blocks only. target_weight is the weight as stated(), the one that the less than one block holds for. A null source is the source "" (an empty name likewise); null ids and repeated
     rows are placed like others; an empty table gives none. Clashing columns are replaced.
     """
     spark = docs.sparkSession
@@ -105,7 +117,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         if not rows:
             return keyed.select(*own, "source_key", *[F.lit(None).cast("bigint").alias(c) for c in added[1:4]], F.lit(None).cast("double").alias("target_weight"))
         target = {s: float(weights.get(s, min(weights.values()))) for s in rows} if weights else {s: n**temperature for s, n in rows.items()}
-        rows_in_block = rows_in_block or max(64, math.ceil(sum(rows.values()) / MOST_SLOTS))
+        target = stated(target)
         blocks = {s: math.ceil(n / rows_in_block) for s, n in rows.items()}
         table, total = [], sum(target.values())
         for p in phases(blocks, target):

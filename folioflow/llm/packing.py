@@ -233,6 +233,8 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, i
         return packed.unionByName(full)
 
 
+#: Two numbers for each stretch are broadcast up to so many stretches.
+MOST_STRETCHES = 500_000
 PLACED = "stretch bigint, doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence bigint, offset bigint, padding bigint"
 
 
@@ -277,22 +279,48 @@ def packed_stretch(ranks_path: str, pattern: str, capacity: int, rows_at_once: i
     return run
 
 
-def pack_in_order(docs: DataFrame, row_col: str, ranks_path: str, pattern: str, capacity: int = 1024, rows_in_stretch: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stretches(docs: DataFrame, row_col: str, text_col: str, scratch: Scratch, rows_in_stretch: int, bytes_in_stretch: int) -> DataFrame:
+    """docs with the column stretch: numbers ascend with the rows' order; a stretch has rows_in_stretch consecutive numbers at most.
+
+    Where these rows hold more than bytes_in_stretch, they are cut further, at rows by whose start so many bytes are full.
+    """
+    row = F.col(row_col).cast("bigint")
+    run = F.floor(row / rows_in_stretch).cast("bigint")
+    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("bigint")
+    sizes = docs.select(run.alias("run"), row.alias("row"), size.alias("size"))
+    heavy = sizes.groupBy("run").agg(F.sum("size").alias("all")).filter(F.col("all") > bytes_in_stretch).select("run")
+    heavy = scratch.save(heavy, "heavy")
+    before = Window.partitionBy("run").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)  # rows_in_stretch numbers at most
+    parts = sizes.join(heavy, "run", "left_semi").withColumn("part", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / bytes_in_stretch))
+    cuts = parts.groupBy("run", "part").agg(F.min("row").alias("row")).groupBy("run").agg(F.collect_list("row").alias("_cuts"))
+    cuts = scratch.save(cuts.select(F.col("run").alias("_run"), "_cuts"), "cuts", keep=True)
+    nth = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= row)) - 1, F.lit(0))
+    return docs.withColumn("_at", run).join(cuts, F.col("_at") == F.col("_run"), "left").withColumn("stretch", F.col("_at") * rows_in_stretch + F.when(F.col("_cuts").isNull(), 0).otherwise(nth)).drop("_at", "_run", "_cuts")
+
+
+def pack_in_order(docs: DataFrame, row_col: str, ranks_path: str, pattern: str, capacity: int = 1024, rows_in_stretch: int = 2048, bytes_in_stretch: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """pack(), with sequences that follow the order of docs' rows by the number row_col, which must be unique.
 
-    Documents whose numbers fall into the same rows_in_stretch of them are a stretch: packed by one
-    task, among themselves, and numbered after the stretches before.
+    Documents whose numbers fall into the same rows_in_stretch of them are a stretch, or several where
+    they have more than bytes_in_stretch: packed by one task, among themselves, and numbered after the
+    stretches before.
     """
     spark = docs.sparkSession
     with Scratch(spark, "packing") as scratch:
-        stretch = F.floor(F.col(row_col) / rows_in_stretch).cast("bigint").alias("stretch")
-        source = docs.select(stretch, F.col(row_col).cast("bigint").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
+        source = docs.select(F.col(row_col).cast("bigint").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
+        source = stretches(source, "row", "text", scratch, rows_in_stretch, bytes_in_stretch).select("stretch", "row", "doc_id", "text")
         cut = scratch.save(source.groupBy("stretch").applyInArrow(packed_stretch(ranks_path, pattern, capacity), PLACED), "pieces", keep=True)
-        sizes = cut.groupBy("stretch").agg((F.max("sequence") + 1).alias("n"))
-        before = Window.partitionBy(F.lit(0)).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
-        first = sizes.select(F.col("stretch").alias("_s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+        # a stretch's first number: what the thousands before it have, and what its thousand has before it
+        thousand = F.floor(F.col("_s") / (1000 * rows_in_stretch)).alias("_t")
+        sizes = scratch.save(cut.groupBy(F.col("stretch").alias("_s")).agg((F.max("sequence") + 1).alias("n")).withColumn("_t", thousand), "sizes", keep=True)
+        before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        thousands = sizes.groupBy("_t").agg(F.sum("n").alias("n"))
+        thousands = thousands.select(F.col("_t").alias("_of"), before(Window.orderBy("_t")).alias("_base"))  # a row for about two million documents
+        inside = sizes.withColumn("_in", before(Window.partitionBy("_t").orderBy("_s")))
+        first = inside.join(thousands, F.col("_t") == F.col("_of")).select("_s", (F.col("_base") + F.col("_in")).alias("_first"))
         first = scratch.save(first, "first", keep=True)
-        joined = cut.join(F.broadcast(first), F.col("stretch") == F.col("_s"))
+        few = first.count() <= MOST_STRETCHES
+        joined = cut.join(F.broadcast(first) if few else first, F.col("stretch") == F.col("_s"))
         return joined.select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("_first") + F.col("sequence")).alias("sequence_id"), "offset", "padding")
 
 

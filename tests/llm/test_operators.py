@@ -6,6 +6,7 @@ import string
 import tempfile
 import zlib
 from collections import Counter
+from fractions import Fraction
 from pathlib import Path
 
 import duckdb
@@ -25,7 +26,7 @@ from folioflow.llm import packing, quality, secrets, sharding, warc  # noqa: E40
 from folioflow.llm.common import Scratch  # noqa: E402
 from folioflow.llm.exact_dedup import OP9_SQL, exact_dedup, op9_exact_dedup  # noqa: E402
 from folioflow.llm.fingerprints import edited, fingerprint_documents, fingerprints, likeness, sample  # noqa: E402
-from folioflow.llm.mixing import mix, parts, pfair, phases  # noqa: E402
+from folioflow.llm.mixing import PERIOD, mix, parts, pfair, phases, stated  # noqa: E402
 from folioflow.llm.near_dedup import near_dedup, op10_near_dedup  # noqa: E402
 from folioflow.llm.substring_dedup import op6_substring_dedup, remove_repeats  # noqa: E402
 
@@ -112,6 +113,24 @@ def test_packing_edge_cases(spark, odd, empty):
     assert packing.pack(empty, path, P.PATTERN).collect() == []
 
 
+def test_packing_in_order_cuts_stretches_by_bytes(spark):
+    """Heavy runs of rows are cut further; every token is placed once, and sequences follow the stretches."""
+    texts = ["word " * (1 + i * 37 % 400) for i in range(300)]
+    docs = spark.createDataFrame([(i // 2, t if i % 50 else None, i) for i, t in enumerate(texts)], "doc_id bigint, text string, row bigint")
+    path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    whole = packing.pack_in_order(docs, "row", path, pattern, rows_in_stretch=128).toPandas()
+    for most in (1, 20_000, 60_000):
+        got = packing.pack_in_order(docs, "row", path, pattern, rows_in_stretch=128, bytes_in_stretch=most).toPandas()
+        assert Counter(zip(got.doc_id, got.start, got.ids, strict=True)) == Counter(zip(whole.doc_id, whole.start, whole.ids, strict=True))
+        ordered = got.sort_values(["sequence_id", "offset"])
+        assert (ordered.groupby("sequence_id").length.sum() <= 1024).all()
+        assert (ordered.offset == ordered.groupby("sequence_id").length.cumsum() - ordered.length).all()
+        assert sorted(set(got.sequence_id)) == list(range(got.sequence_id.max() + 1))
+        if most == 1:  # a text with bytes is the last of its stretch: sequences keep the rows' order
+            assert ordered.doc_id.is_monotonic_increasing
+    assert packing.pack_in_order(docs.limit(0), "row", path, pattern).count() == 0
+
+
 def test_fill_is_the_best_subset():
     rng = random.Random(3)
     for _ in range(200):
@@ -505,7 +524,43 @@ def test_mixing_places_every_row_once(spark):
     assert order[:end] == [want[t % p["period"]] for t in range(end)]
 
 
+def test_mixing_is_brute_force_pfair(spark):
+    """Slot by slot with fractions: the released block with the earliest deadline, anew when a source is dry."""
+    sizes = {"a": 2003, "b": 700, "c": 331, "d": 64, "": 7}
+    docs = spark.createDataFrame([(i, s or None) for s, n in sizes.items() for i in range(n)], "doc_id bigint, source string")
+    for weights in (None, {"a": 0.5, "b": 0.3, "c": 0.1, "d": 0.1}):
+        got = mix(docs, weights, rows_in_block=8).toPandas()
+        assert len(got) == sum(sizes.values()) and not got.duplicated(["doc_id", "source_key"]).any()
+        given = {s: (weights.get(s, 0.1) if weights else n**0.5) for s, n in sizes.items()}
+        target = stated(given)
+        assert sum(target.values()) <= PERIOD + len(sizes)
+        assert all(abs(target[s] / sum(target.values()) - w / sum(given.values())) < 1e-4 for s, w in given.items())
+        left, want = {s: -(-n // 8) for s, n in sizes.items()}, []
+        while left:
+            total, done = sum(target[s] for s in left), dict.fromkeys(left, 0)
+            for t in itertools.count():
+                w = {s: Fraction(target[s], total) for s in left}
+                ready = [(-(-(done[s] + 1) // w[s]), s) for s in left if done[s] // w[s] <= t]
+                _, s = min(ready)
+                want.append(s)
+                done[s] += 1
+                assert all(abs(done[x] - w[x] * (t + 1)) < 1 for x in left)
+                if done[s] == left[s]:
+                    break
+            left = {s: n - done[s] for s, n in left.items() if n > done[s]}
+        assert got.drop_duplicates("slot").sort_values("slot").source_key.tolist() == want
+
+
+def test_stated_weights_are_exact_or_close():
+    assert stated({"a": 0.6, "b": 0.3, "c": 0.1, "none": 0.0}) == {"a": 6, "b": 3, "c": 1, "none": 0}
+    many = stated({str(i): (i + 1) ** 0.5 for i in range(10_000)})
+    assert len(many) == 10_000 and min(many.values()) == 1 and sum(many.values()) < 200_000
+
+
 def test_mixing_edge_cases(spark, odd, empty):
+    got, clash = mix(odd).toPandas(), mix(odd.withColumns({"slot": F.lit(9), "position": F.lit(9), "block": F.lit("x")})).toPandas()
+    assert got.position.is_unique and sorted(got.doc_id.fillna(-1)) == sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in odd.collect())
+    assert sorted(clash.position) == sorted(got.position)
     assert mix(odd).count() == odd.count()
     assert mix(empty).collect() == []
 
