@@ -37,23 +37,34 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
-def decided(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+def decided(pages: DataFrame, scratch: Scratch, least: int = LEAST_REVISIT, most: int = 1000) -> DataFrame:
     """pages with payload, payload_digest, payload_bytes, record_type and refers_to.
 
     Of records with equal payloads of at least `least` bytes the one with the largest page_id is the
     response; rows that repeat that page_id are responses too. Payloads are equal if their length and
-    both digests, SHA-1 and SHA-256, are. A null html is an empty payload. Only a row per payload that
-    occurs again is joined, pre-aggregated before its shuffle.
+    both digests, SHA-1 and SHA-256, are. A null html is an empty payload; a null page_id refers to
+    the response like others, and is a response where all of a payload's are null. Other columns,
+    whatever their names, are left out. A row per payload that occurs again is pre-aggregated and
+    written. Payloads with more than one in `most` of all such rows are broadcast (at most `most`
+    rows), so their pages stay where they lie; only the other rows of at least `least` bytes meet by
+    digest, and the rest is dealt at random.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
     rows = rows.withColumn("sha256", F.sha2("payload", 256))
-    again = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes", "sha256").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
-    again = again.filter("n > 1").select(F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_b"), F.col("sha256").alias("_s"), "top")
-    joined = rows.join(again, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b")) & (F.col("sha256") == F.col("_s")), "left")
-    revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
-    return joined.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top")).alias("refers_to"))
+    same = F.concat_ws(":", "payload_digest", "payload_bytes", "sha256")
+    again = rows.filter(F.col("payload_bytes") >= least).groupBy(same.alias("_k")).agg(F.max("page_id").alias("_top"), F.count(F.lit(1)).alias("n"))
+    again = scratch.save(again.filter("n > 1"), "again", keep=True)
+    hot = F.col("n") * most > (again.agg(F.sum("n")).first()[0] or 0)
+    few = again.filter(hot).select("_k", F.col("_top").alias("_hot"), F.lit(True).alias("_found"))
+    held = rows.withColumn("_key", F.when(F.col("payload_bytes") >= least, same)).join(F.broadcast(few), F.col("_key") == F.col("_k"), "left").drop("_k")
+    # rows that need no other are spread; a seeded rand is the same again when a lost task is repeated
+    meets = F.when(F.col("_found").isNull() & F.col("_key").isNotNull(), F.col("_key")).otherwise(F.rand(11).cast("string"))
+    joined = held.withColumn("_key", meets).join(again.filter(~hot).select("_k", "_top"), F.col("_key") == F.col("_k"), "left")
+    top = F.coalesce("_hot", "_top")
+    revisit = top.isNotNull() & ~F.col("page_id").eqNullSafe(top)
+    return joined.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, top).alias("refers_to"))
 
 
 def record(page_id, url, payload: bytes, digest: str, size: int, kind: str, refers_to) -> bytes:
@@ -87,8 +98,10 @@ def members(batches):
 
 def write_archives(pages: DataFrame, path: str, records_in_file: int = 4000) -> None:
     """Write a record for each row of pages (page_id, url, html) to gzip-compressed WARC files in path."""
-    lines = decided(pages).mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
+    scratch = Scratch(pages.sparkSession, "warc-again")
+    lines = decided(pages, scratch).mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
     lines.write.option("encoding", "ISO-8859-1").option("lineSep", "\x00").option("maxRecordsPerFile", records_in_file).text(path)
+    scratch.drop(scratch.path)
 
 
 class Broken(Exception):

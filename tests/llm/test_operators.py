@@ -160,6 +160,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("most", [2, 4, 1000])
+def test_warc_copies_hot_or_not_with_null_and_repeated_ids(spark, tmp_path, most):
+    """Plain version by payload; a third of the rows is one page body, others are empty, and columns clash."""
+    bodies = ["h" * 1500] * 40 + ["m" * 1200] * 12 + [None, ""] * 15 + ["short"] * 10 + [c * 1000 for c in "aabbcd"] + ["n" * 1100] * 2
+    ids = [None if i % 11 == 5 else i // 2 if i % 7 == 0 else i for i in range(len(bodies))]
+    ids[-2:] = [None, None]
+    rows = [(i, f"http://x/{n}", b, "clash", 1) for n, (i, b) in enumerate(zip(ids, bodies, strict=True))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, payload string, n int").repartition(5)
+    got = rows_of(warc.decided(pages, Scratch(spark, "warc-test"), most=most), "page_id", "url", "payload_bytes", "record_type", "refers_to")
+    want = []
+    for i, url, body, *_ in rows:
+        body = body or ""
+        top = max((x for x, _, b, *_ in rows if b == body and x is not None), default=None)
+        revisit = len(body) >= 1000 and bodies.count(body) > 1 and top is not None and i != top
+        want.append((i, url, len(body), "revisit" if revisit else "response", top if revisit else None))
+    assert got == sorted(want, key=repr)
+
+
 def test_warc_files_are_ordinary_gzip_and_salvage_finds_what_is_whole(spark, tmp_path):
     warc.write_archives(spark.read.parquet(f"{SF}/pages.parquet").coalesce(1), f"{tmp_path}/w")
     raw = next(Path(f"{tmp_path}/w").glob("part-*")).read_bytes()
