@@ -4,13 +4,13 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioflow.plans.extracts import sql_trim
 from folioflow.plans.registry import query
 from folioflow.sources import files as S
 from folioflow.sources import tables as T
+from folioflow.sources.batches import by_row
 
 WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 LINKS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="h" Target="header1.xml"/><Relationship Id="f" Target="footer1.xml"/></Relationships>'
@@ -49,13 +49,13 @@ def pptx(text: str) -> bytes:
 def stored(t, name, make):
     """The files that `make` builds of the rows (doc_id, text, lang, source): (extension, bytes); written as a table and read again."""
 
-    def run(batches):
-        for batch in batches:
-            made = [(f"{i}.{ext}", data) for i, text, lang, source in zip(*[c.to_pylist() for c in batch.columns], strict=True) for ext, data in [make(i, text, lang, source)]]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.string()), pa.array([d for _, d in made], pa.binary())], names=["path", "content"])
+    def rows(i, text, lang, source):
+        ext, data = make(i, text, lang, source)
+        yield f"{i}.{ext}", data
 
-    rows = t.documents.select("doc_id", "text", "lang", "source")
-    return T.refresh(rows.mapInArrow(run, "path string, content binary"), T.fresh_path(t.spark, name))
+    schema = "path string, content binary"
+    found = t.documents.select("doc_id", "text", "lang", "source")
+    return T.refresh(found.mapInArrow(by_row(rows, schema), schema), T.fresh_path(t.spark, name))
 
 
 def numbered(df):
