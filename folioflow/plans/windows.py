@@ -130,8 +130,9 @@ SELECT k, s, item FROM (SELECT a.k, a.s, item, row_number() OVER (PARTITION BY a
 
 @query("jn11_best_overlap", OVERLAP)
 def jn11(t):
-    a = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("s"), (F.col("l_linenumber") + 2).alias("e"))
-    b = t.lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("item")).agg(F.min("l_linenumber").alias("bs"), (F.max("l_linenumber") + 1).alias("be"))
+    lines = R.dealt(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"), "l_orderkey")
+    a = lines.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("s"), (F.col("l_linenumber") + 2).alias("e"))
+    b = lines.groupBy(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("item")).agg(F.min("l_linenumber").alias("bs"), (F.max("l_linenumber") + 1).alias("be"))
     both = a.join(b, "k").filter("s <= be AND bs <= e").withColumn("score", F.least("e", "be") - F.greatest("s", "bs"))
     return R.first_per(both, ["k", "s"], [F.desc("score"), F.col("item")]).select("k", "s", "item")
 
@@ -171,7 +172,7 @@ SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM k a JOIN k b ON a.l_pa
 @query("jn6_shared_points", PAIRS)
 def jn6(t):
     """Documents (orders) sharing a point (part): the first 12 of each point are linked, as defined."""
-    k = t.lineitem.select("l_partkey", "l_orderkey").distinct()
+    k = R.dealt(t.lineitem.select("l_partkey", "l_orderkey"), "l_partkey").distinct()
     k = k.withColumn("n", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey"))).filter("n <= 12")
     b = k.select("l_partkey", F.col("l_orderkey").alias("b"), F.col("n").alias("m"))
     return k.join(b, "l_partkey").filter("n < m").select(F.col("l_orderkey").alias("a"), "b").distinct()
@@ -179,6 +180,6 @@ def jn6(t):
 
 @query("jn7_term_overlap", "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
 def jn7(t):
-    a = t.lineitem.select(F.col("l_suppkey").alias("a"), "l_partkey").distinct()
+    a = R.dealt(t.lineitem.select(F.col("l_suppkey").alias("a"), "l_partkey"), "l_partkey").distinct()
     b = a.withColumnRenamed("a", "b")
     return a.join(b, "l_partkey").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))

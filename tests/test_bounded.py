@@ -28,3 +28,12 @@ def test_batches_of_made_rows_are_bounded_and_made_one_row_at_a_time(monkeypatch
 def test_splitters_hand_on_small_batches(spark):
     text = "One sentence of words. " * 40000
     assert C.chunks_of(spark.createDataFrame([(i, text) for i in range(4)] + [(9, None)], "id long, text string").coalesce(1), "id", "text", C.windows()).count() == 4 * len(list(C.windows()(text)))
+
+
+def test_parts_grow_in_number_not_in_size(spark, monkeypatch):
+    from folioflow.operators import rows as R
+
+    monkeypatch.setattr(R, "PART", 100)
+    small, large = (R.dealt(spark.range(n).withColumnRenamed("id", "k"), "k") for n in (250, 2500))
+    assert (small.rdd.getNumPartitions(), large.rdd.getNumPartitions()) == (3, 25)
+    assert large.distinct().count() == 2500 and R.dealt(spark.range(0), "id").count() == 0
