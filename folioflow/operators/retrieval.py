@@ -44,27 +44,47 @@ def dense_scores(rows: DataFrame, query: list[float], embedding: str = "embeddin
     return rows.filter(F.size(embedding) > 0).withColumn("dense_score", cosine(F.col(embedding), vector(query)))
 
 
+def nearness(query: list[float], embedding: str = "embedding") -> Column:
+    """Struct (score) of a vector, null for one without length."""
+    return F.when(F.size(embedding) > 0, F.struct(cosine(F.col(embedding), vector(query)).alias("score")))
+
+
+def near_scores(rows: DataFrame) -> DataFrame:
+    """dense_scores (id, dense_score) of rows that have the nearness as _near."""
+    return rows.filter("_near IS NOT NULL").select("id", F.col("_near.score").alias("dense_score"))
+
+
 def query_tokens(query: str) -> list[str]:
     return [t for t in re.split(r"[\W_]+", query.lower()) if len(t) > 1]
 
 
+def term_counts(content: Column, query: str) -> Column:
+    """Struct (n, hits): the tokens of a text, and how many of them are each of the query's words (by name)."""
+    words = sorted(set(query_tokens(query)))
+    hits = lambda t: F.array(*[F.size(t) - F.size(F.array_remove(t, w)) for w in words]).cast("array<int>")
+    return X.once(X.tokens(content), lambda t: F.struct(F.size(t).alias("n"), hits(t).alias("hits")))
+
+
 def sparse_scores(rows: DataFrame, query: str, content: str = "content") -> DataFrame:
     """TF-IDF scores; rows without tokens go, rows without a hit stay at 0; an empty query gives none.
 
     Only the query's tokens are counted, in one pass of conditional aggregates: no term is shuffled.
     """
+    return counted_scores(rows.withColumn("_terms", term_counts(F.col(content), query)), query).drop("_terms")
+
+
+def counted_scores(rows: DataFrame, query: str) -> DataFrame:
+    """sparse_scores of rows that have the query's term_counts as _terms: these can be joined without their texts."""
     counts = Counter(query_tokens(query))
     words = sorted(counts)
     if not words:
         return rows.limit(0).withColumn("sparse_score", F.lit(0.0))
-    tokens = rows.withColumn("_t", X.tokens(F.col(content))).withColumn("_n", F.size("_t"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("_t", w)).alias(f"df{i}") for i, w in enumerate(words)]).first()
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("_terms.hits")[i] > 0).alias(f"df{i}") for i in range(len(words))]).first()
     score = F.lit(0.0)
     for i, w in enumerate(words):
         idf = math.log((stats["n"] + 1) / (stats[f"df{i}"] + 1)) + 1
-        hits = F.col("_n") - F.size(F.array_remove(F.col("_t"), w))
-        score = score + hits / F.col("_n") * idf * counts[w]
-    return tokens.filter("_n > 0").withColumn("sparse_score", score).drop("_t", "_n")
+        score = score + F.col("_terms.hits")[i] / F.col("_terms.n") * idf * counts[w]
+    return rows.filter("_terms.n > 0").withColumn("sparse_score", score)
 
 
 def best_first(score: str, id_col: str) -> Column:
@@ -128,14 +148,19 @@ def rebalance(rows: DataFrame, k: int, doc: str, rank: str = "rank") -> DataFram
     return tiered.orderBy(tier, rank).limit(k).drop("_tier", "_all")
 
 
-def hybrid_search(rows: DataFrame, query: str, query_vector: list[float], k: int = 8) -> DataFrame:
-    """rows (id, document_id, content, embedding) to the k best (id, document_id, rrf_score, rank)."""
-    dense = dense_scores(rows.select("id", "embedding"), query_vector)
-    sparse = sparse_scores(rows.select("id", "content"), query)
+def hybrid_search(rows: DataFrame, query: str, query_vector: list[float], k: int = 8, vectors: DataFrame | None = None) -> DataFrame:
+    """rows (id, document_id, content, embedding) to the k best (id, document_id, rrf_score, rank).
+
+    With vectors (id, embedding) rows have none of their own, and those without one there are left out. What the search needs of a
+    text and of a vector is counted where they lie, so neither is shuffled.
+    """
     kind = X.chunk_class(F.col("content"), F.lit(""))
     weight = F.create_map(*[F.lit(x) for pair in TYPE_WEIGHT.items() for x in pair])[kind]
-    fused = fuse(dense, sparse, max(4 * k, 24), weights=rows.select("id", weight.alias("weight")))
-    ranked = fused.join(rows.select("id", "document_id"), "id")
+    near = nearness(query_vector).alias("_near")
+    read = [F.col("id"), F.col("document_id"), term_counts(F.col("content"), query).alias("_terms"), weight.alias("weight")]
+    found = rows.select(*read, near) if vectors is None else rows.select(*read).join(vectors.select("id", near), "id")
+    fused = fuse(near_scores(found), counted_scores(found.select("id", "_terms"), query), max(4 * k, 24), weights=found.select("id", "weight"))
+    ranked = found.select("id", "document_id").join(F.broadcast(fused), "id")
     ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rrf_score"), "id")))  # at most max(4k, 24) rows
     return rebalance(ranked, k, "document_id").select("id", "document_id", "rrf_score", "rank")
 
@@ -215,14 +240,15 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str, embedding: str, k:
     return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
 
 
-def transfer(source: DataFrame, target: DataFrame, query: str, query_vector: list[float], k: int = 6, concepts: int = 5, each: int = 2, threshold: float = 0.6) -> DataFrame:
+def transfer(source: DataFrame, target: DataFrame, query: str, query_vector: list[float], k: int = 6, concepts: int = 5, each: int = 2, threshold: float = 0.6, vectors: DataFrame | None = None) -> DataFrame:
     """(concept, relevance, id, score, suggested): what rows of target say on the concepts of source's best rows.
 
     The k best rows of source give named terms; the `concepts` most relevant are searched for in target,
-    `each` rows apiece. A concept is suggested for transfer if its relevance reaches the threshold.
+    `each` rows apiece. A concept is suggested for transfer if its relevance reaches the threshold. vectors as in hybrid_search.
     """
-    hits = hybrid_search(source, query, query_vector, k).select("id", "rank")
-    rows = dense_scores(source.join(hits, "id"), query_vector).withColumn("concept", F.explode(E.named_terms(F.col("content"))))
+    hits = hybrid_search(source, query, query_vector, k, vectors).select("id", "rank")
+    best = source.join(F.broadcast(hits), "id")  # k rows
+    rows = dense_scores(best if vectors is None else vectors.join(F.broadcast(best), "id"), query_vector).withColumn("concept", F.explode(E.named_terms(F.col("content"))))
     _, relevance = E.concept_relevance(F.col("content"), F.col("concept"), F.col("dense_score"))
     named = rows.withColumn("relevance", relevance)
     first = named.withColumn("_n", F.row_number().over(Window.partitionBy("concept").orderBy("rank"))).filter("_n = 1")  # a concept counts where it is met first
@@ -230,7 +256,7 @@ def transfer(source: DataFrame, target: DataFrame, query: str, query_vector: lis
     out = None
     for c in top:
         vector_of = hash_vector(c["concept"], len(query_vector))
-        found = hybrid_search(target, c["concept"], vector_of, each).select(F.lit(c["concept"]).alias("concept"), F.lit(c["relevance"]).alias("relevance"), "id", F.round("rrf_score", 9).alias("score"), F.lit(c["relevance"] >= threshold).alias("suggested"))
+        found = hybrid_search(target, c["concept"], vector_of, each, vectors).select(F.lit(c["concept"]).alias("concept"), F.lit(c["relevance"]).alias("relevance"), "id", F.round("rrf_score", 9).alias("score"), F.lit(c["relevance"] >= threshold).alias("suggested"))
         out = found if out is None else out.unionByName(found)
     empty = source.sparkSession.createDataFrame([], "concept string, relevance double, id bigint, score double, suggested boolean")
     return out if out is not None else empty

@@ -16,6 +16,20 @@ def corpus(t: Tables):
     return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.col("text").alias("content"), "embedding")
 
 
+def texts(t: Tables):
+    return t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.col("text").alias("content"))
+
+
+def vectors(t: Tables):
+    return t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+
+
+def counted(t: Tables, query: str):
+    """The corpus with what its texts and vectors count for a query in their place: neither is shuffled."""
+    near = vectors(t).select("id", S.nearness(query_vector(t)).alias("_near"))
+    return texts(t).select("id", S.term_counts(F.col("content"), query).alias("_terms")).join(near, "id")
+
+
 def query_vector(t):
     return t.embeddings.filter("vec_id = 3").first()["embedding"]
 
@@ -45,16 +59,13 @@ sp AS (SELECT id, sum(len(list_filter(k, lambda x: x = w)) / len(k) * idf * qv)
 
 @query("q1b_sparse_scores", TFIDF + " SELECT id, round(score, 9) AS sparse_score FROM sp")
 def q1b(t):
-    return S.sparse_scores(corpus(t), QUERY).select("id", F.round("sparse_score", 9).alias("sparse_score"))
+    return S.counted_scores(counted(t, QUERY), QUERY).select("id", F.round("sparse_score", 9).alias("sparse_score"))
 
 
 @query("mth2_idf", TFIDF + " SELECT w, round(idf, 9) AS idf FROM df")
 def mth2(t):
-    from folioflow.functions import text as X
-
     words = sorted(set(S.query_tokens(QUERY)))
-    tok = corpus(t).select(X.tokens(F.col("content")).alias("k"))
-    counts = tok.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("k", w)).alias(w) for w in words])
+    counts = counted(t, QUERY).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("_terms.hits")[i] > 0).alias(w) for i, w in enumerate(words)])
     return counts.select("n", F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(w).alias("df")) for w in words])).alias("x")).select("x.w", F.round(F.log((F.col("n") + 1) / (F.col("x.df") + 1)) + 1, 9).alias("idf"))
 
 
@@ -65,8 +76,8 @@ f AS (SELECT coalesce(d.id, s.id) AS id, coalesce(1.0 / (60 + d.r), 0) + coalesc
 
 @query("q1c_fusion", FUSED + " SELECT id, round(score, 9) AS rrf_score FROM f")
 def q1c(t):
-    c = corpus(t)
-    f = S.fuse(S.dense_scores(c, query_vector(t)), S.sparse_scores(c, QUERY), 32)
+    c = counted(t, QUERY)
+    f = S.fuse(S.near_scores(c), S.counted_scores(c, QUERY), 32)
     return f.select("id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
@@ -89,7 +100,7 @@ SELECT id, document_id, round(score, 9) AS rrf_score, rank FROM n ORDER BY CASE
 
 @query("q1_hybrid_search", HYBRID)
 def q1(t):
-    return S.hybrid_search(corpus(t), QUERY, query_vector(t)).withColumn("rrf_score", F.round("rrf_score", 9))
+    return S.hybrid_search(texts(t), QUERY, query_vector(t), vectors=vectors(t)).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
 ROLE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{k}'" for k, words in X.QA_ROLES) + " ELSE CASE turn % 3 WHEN 0 THEN 'question' WHEN 1 THEN 'answer' ELSE 'other' END END"
@@ -111,8 +122,8 @@ def focused(t):
     """Turns that match a question best by both rankings; their vectors are those of their number, three turns make a question's group."""
     other = F.when(F.col("turn") % 3 == 0, "question").when(F.col("turn") % 3 == 1, "answer").otherwise("other")
     named = X.first_class(F.lower("text"), X.QA_ROLES, "other")
-    vectors = t.embeddings.select(F.col("vec_id").alias("_v"), "embedding")
-    rows = t.conversations.join(vectors, (F.col("conv_id") * 8 + F.col("turn")) % 400 == F.col("_v"))
+    held = t.embeddings.select(F.col("vec_id").alias("_v"), "embedding").filter("_v BETWEEN -399 AND 399")  # no others are met
+    rows = t.conversations.join(F.broadcast(held), (F.col("conv_id") * 8 + F.col("turn")) % 400 == F.col("_v"))
     rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("document_id"), "turn", F.col("text").alias("content"), F.when(named == "other", other).otherwise(named).alias("qa_role"), F.expr("turn div 3").alias("question_id"), "embedding")
     dense = S.dense_scores(rows.select("id", "embedding"), query_vector(t)).withColumn("dense_score", F.round("dense_score", 9))
     fused = S.fuse(dense, S.sparse_scores(rows.select("id", "content"), FOCUS_QUERY), 120)
@@ -137,17 +148,16 @@ def q2_blocks(t):
 
 @query("q3_agent_context")
 def q3(t):
-    from folioflow.functions import text as X
-
-    hits = S.hybrid_search(corpus(t), QUERY, query_vector(t)).join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
+    hits = S.hybrid_search(texts(t), QUERY, query_vector(t), vectors=vectors(t))
+    hits = t.documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(hits), "id")  # 8 rows
     return hits.agg(R.keep_in_order(F.col("rank"), X.snippet(F.col("text"), 200), "\n").alias("context"))
 
 
 @query("q4_transfer")
 def q4(t):
     """From the best rows of one source, concepts; for each of the best five the two best rows of another source."""
-    c = corpus(t)
-    return S.transfer(c.filter("document_id = 'src0'"), c.filter("document_id = 'src1'"), QUERY, query_vector(t))
+    c = texts(t)
+    return S.transfer(c.filter("document_id = 'src0'"), c.filter("document_id = 'src1'"), QUERY, query_vector(t), vectors=vectors(t))
 
 
 PAIRS = "FROM embeddings q JOIN embeddings s ON s.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0"
