@@ -96,14 +96,15 @@ def heading_lines(text: Column) -> Column:
 
 def key_points(text: Column, limit: int = MOST_POINTS, longest: int = POINT_LENGTH) -> Column:
     """The first lines of LEAST_POINT characters, without marks at their ends; sentences if no line is so long. Those that begin alike count once."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")
     long = lambda xs: F.filter(xs, lambda x: F.length(x) >= LEAST_POINT)
-    points = long(F.transform(lines, lambda x: F.btrim(x, F.lit(POINT_ENDS))))
-    sentences = long(F.transform(F.split(F.coalesce(text, F.lit("")), r"[。！？.!?\r\n]+"), lambda x: X.strip_all(x)))
-    found = F.when(F.size(points) > 0, points).otherwise(sentences)
-    starts = F.transform(found, lambda x: F.left(x, F.lit(SAME_POINT)))
-    first = F.filter(found, lambda x, i: F.array_position(starts, F.left(x, F.lit(SAME_POINT))) == i + 1)
-    return F.transform(F.slice(first, 1, limit), lambda x: F.left(x, F.lit(max(SAME_POINT, longest))))
+
+    def found(t: Column) -> Column:
+        lines = F.split(F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n")
+        sentences = long(F.transform(F.split(t, r"[。！？.!?\r\n]+"), lambda x: X.strip_all(x)))
+        return X.once(long(F.transform(lines, lambda x: F.btrim(x, F.lit(POINT_ENDS)))), lambda p: F.when(F.size(p) > 0, p).otherwise(sentences))
+
+    points = X.first_alike(X.once(F.coalesce(text, F.lit("")), found), SAME_POINT, limit)
+    return F.transform(points, lambda x: F.left(x, F.lit(max(SAME_POINT, longest))))
 
 
 def mostly_english(text: Column) -> Column:
