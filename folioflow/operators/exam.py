@@ -91,8 +91,8 @@ def options(text: Column) -> Column:
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(OPTION), F.lit(1)).alias("label"), F.regexp_extract_all(text, F.lit(OPTION), F.lit(2)).alias("text"))
     clean = F.transform(both, lambda o: F.struct(F.upper(o["label"]).alias("label"), X.strip_all(F.split_part(X.strip_all(o["text"]), F.lit("\n"), F.lit(1))).alias("text")))
     full = F.filter(clean, lambda o: o["text"] != "")
-    first = F.filter(full, lambda o, i: F.array_position(full["label"], o["label"]) == i + 1)
-    return F.when(F.size(first) >= 2, F.array_sort(first)).otherwise(F.filter(first, lambda o: F.lit(False)))
+    first = X.once(full, lambda f: F.filter(f, lambda o, i: F.array_position(f["label"], o["label"]) == i + 1))
+    return X.once(first, lambda f: F.when(F.size(f) >= 2, F.array_sort(f)).otherwise(F.slice(f, 1, 0)))
 
 
 def difficulty(text: Column, kind: Column) -> Column:
@@ -124,7 +124,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def numbered(b: DataFrame) -> DataFrame:
     """Adds level, number and path to marked blocks.
 
-    Marks that a text uses less often stand above the others. A block without a number of its own counts on
+    A block without a mark of these has level 0 and no path. Marks that a text uses less often stand above the others. A block without a number of its own counts on
     from the last at its level; a deeper level starts anew below each higher one, and levels left out count as 1.
     """
     whole = Window.partitionBy("id")
@@ -132,7 +132,7 @@ def numbered(b: DataFrame) -> DataFrame:
     b = b.withColumn("level", F.array_position(order["k"], F.col("mark")).cast("int")).withColumn("own", number_of(F.col("raw")))
     so_far = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     above = F.array(F.lit(0).cast("bigint"), *[F.count_if(F.col("level") <= k).over(so_far) for k in range(1, LEVELS)])
-    b = b.withColumn("above", F.element_at(above, F.col("level")))
+    b = b.withColumn("above", F.get(above, F.col("level") - 1))
     section = Window.partitionBy("id", "level", "above").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     b = b.withColumn("given", F.count("own").over(section))
     run = Window.partitionBy("id", "level", "above", "given").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
@@ -153,20 +153,17 @@ def questions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     b = blocks(df, id_col, text_col)
     whole = Window.partitionBy("id")
     so_far = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    d = numbered(b.filter("mark is not null"))
+    unmarked = F.col("mark").isNull() & (F.max("block").over(whole) == 0)  # a text without a question: its block 0 is all of it
+    d = b.withColumn("mark", F.when(unmarked, "none").otherwise(F.col("mark"))).filter("mark is not null")
+    d = numbered(d)
     level = F.col("level")
     d = d.withColumn("title", F.last(F.when(level == 1, F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80))), ignorenulls=True).over(so_far))
     d = d.withColumn("header", E.section_header(F.col("text"), F.col("mark"), level))
     seen = [F.last(F.when(F.col("header") & (level <= k), F.struct(F.lit(None).cast("string").alias("p"))).when(~F.col("header") & (level == k), F.struct(F.col("path").alias("p"))), ignorenulls=True).over(so_far)["p"] for k in range(1, LEVELS)]
-    parents = F.filter(F.slice(F.array(*seen), F.lit(1), level - 1), lambda p: p.isNotNull())
+    parents = F.filter(F.slice(F.array(*seen), F.lit(1), F.greatest(level - 1, F.lit(0))), lambda p: p.isNotNull())
     d = d.withColumn("parent_path", F.when(F.size(parents) > 0, F.element_at(parents, -1))).filter(~F.col("header"))
     d = d.withColumn("question", F.row_number().over(whole.orderBy("block")))
-    d = d.select("id", "question", F.coalesce(F.nullif("path", F.lit("")), F.col("question").cast("string")).alias("number_path"), "parent_path", "level", F.col("mark").alias("marker"), F.when(level > 1, F.col("title")).alias("section_title"), F.coalesce("title", F.lit("")).alias("_title"), "text")
-    none = F.lit(None).cast("string")
-    marked = d.select(F.col("id").alias("_id")).distinct()
-    plain = b.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    plain = plain.join(marked, plain["id"] == marked["_id"], "left_anti")
-    d = d.unionByName(plain.select("id", F.lit(1).alias("question"), F.lit("1").alias("number_path"), none.alias("parent_path"), F.lit(1).alias("level"), F.lit("none").alias("marker"), none.alias("section_title"), F.lit("").alias("_title"), "text"))
+    d = d.select("id", "question", F.coalesce(F.nullif("path", F.lit("")), F.col("question").cast("string")).alias("number_path"), "parent_path", F.greatest(level, F.lit(1)).alias("level"), F.col("mark").alias("marker"), F.when(level > 1, F.col("title")).alias("section_title"), F.coalesce("title", F.lit("")).alias("_title"), "text")
     by_question = whole.orderBy("question").rowsBetween(Window.unboundedPreceding, 0)
     is_material = (level == 1) & F.col("text").rlike(MATERIAL)
     group = F.last(F.when(level == 1, F.struct(F.when(is_material, F.count_if(is_material).over(by_question)).alias("n"), F.when(is_material, F.col("text")).alias("text"))), ignorenulls=True).over(by_question)
@@ -176,7 +173,7 @@ def questions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shown = F.when(F.col("m")["n"].isNotNull() & (F.col("kind") == "standard"), "material_analysis").otherwise(F.col("kind"))
     return d.select(
         "id", "question", "number_path", "parent_path", "level", "marker", "section_title", shown.alias("type"),
-        F.when(F.col("kind") == "choice", options(F.col("text"))).otherwise(F.filter(options(F.col("text")), lambda o: F.lit(False))).alias("options"),
+        F.when(F.col("kind") == "choice", options(F.col("text"))).otherwise(F.array().cast("array<struct<label:string,text:string>>")).alias("options"),
         "score", difficulty_level(F.col("score")).alias("difficulty"), F.concat(F.lit("mat_"), F.col("m")["n"].cast("string")).alias("material_id"), F.col("m")["text"].alias("material"), "text",
     )
 
