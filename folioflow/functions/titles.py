@@ -37,22 +37,23 @@ def title_of(c: Column) -> Column:
     return F.btrim(X.strip_all(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), F.lit(TITLE_ENDS))
 
 
-def noise(title: Column) -> Column:
-    return (F.length(title) < 4) | title.rlike(r"^[^\p{L}\p{Nl}\p{No}]+$") | X.has_any(F.lower(title), NOISE)
-
-
 def institution(title: Column) -> Column:
     return X.has_any(F.lower(title), INSTITUTIONS)
 
 
 def title_score(title: Column, by_name: bool = False) -> Column:
     """How much a cleaned line, or part of a file's name, looks like a title."""
-    size, low = F.length(title), F.lower(title)
     some = lambda cond, n: F.when(cond, n).otherwise(0)
-    han, latin = title.rlike(HAN_CHARACTER), title.rlike(LATIN_LETTER)
-    score = F.when(size.between(6, 40), FITTING).when(size.between(41, 80), LONG).otherwise(0) + (BY_NAME if by_name else 0)
-    score = score + some(han, HAN) + some(latin, LATIN) + some(han & latin, BOTH) + some(X.has_any(title, SUBJECTS_CJK), SUBJECT_CJK) + some(X.has_any(low, SUBJECTS), SUBJECT)
-    return F.when(noise(title), NOISE_SCORE).otherwise(score + some(institution(title), INSTITUTION) + some(X.has_any(low, PERSONS), PERSON))
+
+    def of(x: Column) -> Column:
+        title, low, han, latin, size = (x[k] for k in ("title", "low", "han", "latin", "size"))
+        score = F.when(size.between(6, 40), FITTING).when(size.between(41, 80), LONG).otherwise(0) + (BY_NAME if by_name else 0)
+        score = score + some(han, HAN) + some(latin, LATIN) + some(han & latin, BOTH) + some(han & X.has_any(title, SUBJECTS_CJK), SUBJECT_CJK) + some(X.has_any(low, SUBJECTS), SUBJECT)
+        noisy = (size < 4) | X.has_any(low, NOISE) | title.rlike(r"^[^\p{L}\p{Nl}\p{No}]+$")
+        return F.when(noisy, NOISE_SCORE).otherwise(score + some(X.has_any(low, INSTITUTIONS), INSTITUTION) + some(X.has_any(low, PERSONS), PERSON))
+
+    read = F.struct(title.alias("title"), F.lower(title).alias("low"), title.rlike(HAN_CHARACTER).alias("han"), title.rlike(LATIN_LETTER).alias("latin"), F.length(title).alias("size"))
+    return X.once(read, of)
 
 
 def best_of(candidates: Column) -> Column:
