@@ -165,17 +165,17 @@ def jn13(t):
     return O.near_in_time(e, "user_id", "s", "event_id", 3600, 4).select("id", "other", F.greatest(F.lit(0.0), 1 - F.col("delta") / 3600.0).alias("weight"))
 
 
-PAIRS = """WITH k AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS n FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem))
-SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM k a JOIN k b ON a.l_partkey = b.l_partkey AND a.n < b.n WHERE a.n <= 12 AND b.n <= 12"""
+PAIRS = """SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey"""
 
 
 @query("jn6_shared_points", PAIRS)
 def jn6(t):
-    """Documents (orders) sharing a point (part): the first 12 of each point are linked, as defined."""
-    k = R.dealt(t.lineitem.select("l_partkey", "l_orderkey"), "l_partkey").distinct()
-    k = k.withColumn("n", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey"))).filter("n <= 12")
-    b = k.select("l_partkey", F.col("l_orderkey").alias("b"), F.col("n").alias("m"))
-    return k.join(b, "l_partkey").filter("n < m").select(F.col("l_orderkey").alias("a"), "b").distinct()
+    """Documents (orders) sharing a point (part): all of each point are linked, once by the least of the points they share."""
+    sets = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("points"))
+    k = R.dealt(sets.select("l_orderkey", "points", F.explode("points").alias("l_partkey")), "l_partkey")
+    b = k.select("l_partkey", F.col("l_orderkey").alias("b"), F.col("points").alias("other"))
+    both = k.join(b.hint("merge"), "l_partkey").filter("l_orderkey < b")
+    return both.filter(F.array_intersect("points", "other")[0] == F.col("l_partkey")).select(F.col("l_orderkey").alias("a"), "b")
 
 
 @query("jn7_term_overlap", "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
